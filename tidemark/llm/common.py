@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from functools import reduce
 from pathlib import Path
 
@@ -47,3 +48,20 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tidemark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this package whose ``query(spark, sf_dir)`` it is.
 MODULES = {
     "op2_byte_bpe": "bpe",
+    "op5_simhash": "simhash",
 }
 
 
