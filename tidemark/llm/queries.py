@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_byte_bpe": "bpe",
     "op5_simhash": "simhash",
+    "op10_mixing": "mixing",
 }
 
 
