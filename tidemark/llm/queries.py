@@ -9,6 +9,8 @@ MODULES = {
     "op2_byte_bpe": "bpe",
     "op5_simhash": "simhash",
     "op10_mixing": "mixing",
+    "op3_pii": "pii",
+    "op4_fingerprint": "fingerprint",
 }
 
 
