@@ -11,6 +11,7 @@ MODULES = {
     "op10_mixing": "mixing",
     "op3_pii": "pii",
     "op4_fingerprint": "fingerprint",
+    "op9_language_id": "language",
 }
 
 
