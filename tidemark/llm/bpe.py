@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import ship, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries each worker remembers of chunks and of token pairs before it starts afresh.
@@ -171,9 +171,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_for(ranks, pattern: str) -> Encoder:
-    """The worker process's encoder for a broadcast of ranks; it outlives tasks."""
-    key = f"{ranks.id if hasattr(ranks, 'id') else ranks._jbroadcast.id()} {pattern}"
+def encoder_for(key: str, ranks, pattern: str) -> Encoder:
+    """The worker process's encoder for a broadcast of ranks, by the digest of both; it outlives tasks."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(ranks.value, pattern)
@@ -187,8 +186,10 @@ def encode_documents(df: DataFrame, path: str | None = None, *, text: str = "tex
     (about 1 MB, fixed) is read on the driver and broadcast.
     """
     spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
-    pattern = public_tokenizers.PATTERN
+    ship(spark)
+    table_of_ranks, pattern = read_ranks(path or public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
+    key = hashlib.sha256(repr((sorted(table_of_ranks.items()), pattern)).encode()).hexdigest()
+    ranks = spark.sparkContext.broadcast(table_of_ranks)
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     extra = [T.StructField("n_tokens", T.LongType())]
     if with_ids:
@@ -197,7 +198,7 @@ def encode_documents(df: DataFrame, path: str | None = None, *, text: str = "tex
     schema = T.StructType(kept.schema.fields[:-1] + extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_for(ranks, pattern)
+        encoder = encoder_for(key, ranks, pattern)
         names = {i: str(i) for i in encoder.prefixes.tokens}.__getitem__
         for batch in batches:
             counts, ids_of, listed, decoded = [], [], [], []
