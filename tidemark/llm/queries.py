@@ -12,6 +12,7 @@ MODULES = {
     "op3_pii": "pii",
     "op4_fingerprint": "fingerprint",
     "op9_language_id": "language",
+    "op1_toxicity": "toxicity",
 }
 
 
