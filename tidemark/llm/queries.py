@@ -13,6 +13,7 @@ MODULES = {
     "op4_fingerprint": "fingerprint",
     "op9_language_id": "language",
     "op1_toxicity": "toxicity",
+    "op8_topk": "topk",
 }
 
 
