@@ -14,6 +14,7 @@ MODULES = {
     "op9_language_id": "language",
     "op1_toxicity": "toxicity",
     "op8_topk": "topk",
+    "op7_passages": "substring",
 }
 
 
