@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -65,3 +66,9 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent).as_posix())
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in the place that driver and executors share."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{(configured or Path(tempfile.mkdtemp(prefix='tidemark-')).as_uri()).rstrip('/')}/{uuid.uuid4().hex}"

@@ -230,6 +230,20 @@ def label_batch(net: Network | None, batch: pd.DataFrame) -> pd.DataFrame:
     return batch.assign(lang_pred=label, score=score)
 
 
+def known_languages(df: DataFrame, least: float, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language with a score of ``least`` or more."""
+    spark = df.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(trained(narrow(df, doc_id=doc_id, text=text, lang=lang)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = label_batch(shared.value, pd.DataFrame({"text": batch[text].fillna("")}))
+            yield batch[(found["lang_pred"] != UND).to_numpy() & (found["score"] >= least).to_numpy()]
+
+    return df.mapInPandas(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the language of every whole text of ``documents``."""
     return detect(table(spark, sf_dir, "documents"))

@@ -154,6 +154,28 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
     return docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
+    """The mix itself, with all columns of ``df``: a row for each time that some of a document is taken.
+
+    A row's text is the words of the document's blocks that are taken so often, the text itself where
+    those are all. Ids have to be unique and not null.
+    """
+    spark = df.sparkSession
+    sizes = sized(df, doc_id, text, source)
+    sources = targets(sizes)
+    docs = cut(placed(sizes, sources))
+    hits = pieces(docs).join(block_draws(spark, sources), ["sid", "block"], "left").select("row", "block", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    lists = hits.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "drawn"))), lambda x: x["drawn"]).alias("_drawn"))
+    plan = docs.join(lists, "row").where("array_max(_drawn) > 0").select(F.col("doc_id").alias("_id"), (F.col("start") % BLOCK).alias("_skip"), "_drawn")
+    taken = df.join(plan, F.col(f"`{doc_id}`") == F.col("_id")).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("_drawn"))))
+    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
+    some = F.filter(words, lambda w, i: F.get("_drawn", F.floor((i + F.col("_skip")) / BLOCK).cast("int")) >= F.col("_turn"))
+    chosen = F.when(F.array_min("_drawn") >= F.col("_turn"), F.col(f"`{text}`")).otherwise(F.array_join(some, " "))
+    out = taken.withColumn("_text", chosen)
+    pick = {text: F.col("_text"), n_chars: F.char_length("_text").cast("bigint")}
+    return out.select([(pick[c] if c in pick else F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the mix of all ``documents``."""
     return mix(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ MODULES = {
     "op1_toxicity": "toxicity",
     "op8_topk": "topk",
     "op7_passages": "substring",
+    "op6_chat": "chat",
 }
 
 

@@ -116,6 +116,16 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the smallest id of each component. Rows without an id go;
+    of rows that repeat an id one stays."""
+    found = cut(near_duplicates(df, doc_id=doc_id, text=text))
+    counts = found.where("doc_id is not null").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = df.join(F.broadcast(stay) if counts["ids"] <= BROADCAST_KEYS else stay, doc_id, "left_semi")
+    return kept if counts["rows"] == counts["ids"] else kept.dropDuplicates([doc_id])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: near-duplicates among all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
