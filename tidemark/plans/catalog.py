@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import pit_queries
+
+GROUPS = (pit_queries.QUERIES,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    """What was knowable at the cutoff under the observed policy, one version of each key."""
+    return pit_queries.observed_head(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for group in GROUPS for name, (run, _) in group.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.items() if sql}
