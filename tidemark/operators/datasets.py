@@ -1,0 +1,121 @@
+"""Frozen datasets, as-of training selection and purged chronological splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.values import all_reasons, digest, first_reason
+
+
+def training_selection(rows: DataFrame, asof: Column, *, allow_research: bool = False) -> DataFrame:
+    """Adds reason: why a sample cannot be learned from at ``asof``, by the first fault; null if it can."""
+    pairs = [
+        (F.col("sample_status") != "ready", "feature_sample_not_ready"),
+        (F.col("feature_ready_at").isNull() | (F.col("feature_ready_at") > F.col("intended_entry_at")), "feature_not_ready_before_entry"),
+        ((F.col("decision_at") > asof) | (F.col("feature_ready_at") > asof), "feature_after_training_asof"),
+        (F.col("label_status") != "ready", "label_not_ready"),
+        (F.col("label_available_at").isNull() | (F.col("label_available_at") > asof), "label_after_training_asof"),
+    ]
+    if not allow_research:
+        pairs += [(F.col("rights_available_at") > asof, "learning_rights_after_training_asof"), (~F.coalesce(F.col("learning_ready"), F.lit(False)), "learning_rights_or_strict_pit_requirements_unmet")]
+    return rows.withColumn("reason", first_reason(*pairs))
+
+
+def learning_reasons(asof: Column) -> Column:
+    """All reasons at once, for scoped selection; an empty array is eligible."""
+    return all_reasons(
+        (F.col("sample_status") != "ready", "feature_sample_not_ready"),
+        (F.col("feature_ready_at").isNull(), "feature_clock_missing"),
+        (F.col("feature_ready_at") > F.col("intended_entry_at"), "feature_not_ready_before_entry"),
+        (F.col("decision_at") > asof, "decision_after_asof"),
+        (F.col("label_status") != "ready", "label_not_ready"),
+        (F.col("label_available_at") > asof, "label_after_asof"),
+        (F.col("rights_available_at") > asof, "rights_after_asof"),
+    )
+
+
+def fold_plans(rows: DataFrame, *, kind: str, train: int, validation: int, test: int, step: int, gap: int = 0, date: str = "decision_date") -> DataFrame:
+    """Folds over the distinct decision dates: fold, train/validation/test first and last dates, training_asof.
+
+    ``expanding`` trains from the first date, ``rolling`` on the last ``train`` dates before the cut.
+    Dates are a small table; folds are found by joining its places.
+    """
+    if kind not in ("expanding", "rolling"):
+        raise ValueError("kind has to be expanding or rolling")
+    if any(isinstance(n, bool) or not isinstance(n, int) or n < 1 for n in (train, validation, test, step)) or gap < 0:
+        raise ValueError("sizes have to be 1 or more, the gap 0 or more")
+    dates = rows.select(F.col(date).alias("d")).where("d is not null").distinct()
+    dates = dates.withColumn("i", (F.row_number().over(Window.orderBy("d")) - 1).cast("bigint"))
+    lead = lambda n: F.lead("d", n).over(Window.orderBy("i"))
+    first = F.min("d").over(Window.partitionBy()) if kind == "expanding" else F.lag("d", train).over(Window.orderBy("i"))
+    cut = dates.select(
+        "i",
+        first.alias("train_from"),
+        F.lag("d", 1).over(Window.orderBy("i")).alias("train_to"),
+        lead(gap).alias("validation_from"),
+        lead(gap + validation - 1).alias("validation_to"),
+        lead(2 * gap + validation).alias("test_from"),
+        lead(2 * gap + validation + test - 1).alias("test_to"),
+    )
+    fits = (F.col("i") >= train) & ((F.col("i") - train) % step == 0) & F.col("test_to").isNotNull()
+    plans = cut.where(fits).withColumn("fold", ((F.col("i") - train) / step).cast("bigint")).drop("i")
+    return plans.withColumn("training_asof", F.col("validation_from").cast("timestamp_ntz"))
+
+
+def assign(rows: DataFrame, plans: DataFrame, *, date: str = "decision_date", decision_at: str = "decision_at", exit_at: str = "intended_exit_at") -> DataFrame:
+    """Every row in each fold's partition with its reasons; no reasons means membership.
+
+    A training row is purged if its exit does not come before the first decision of validation, a
+    validation row likewise against test; touching counts. Folds are few and broadcast.
+    """
+    part = F.when(F.col(date).between(F.col("train_from"), F.col("train_to")), "train").when(F.col(date).between(F.col("validation_from"), F.col("validation_to")), "validation").when(F.col(date).between(F.col("test_from"), F.col("test_to")), "test")
+    placed = rows.join(F.broadcast(plans), F.col(date).between(F.col("train_from"), F.col("test_to"))).withColumn("partition", part).where("partition is not null")
+    first = placed.groupBy("fold").agg(
+        F.min(F.when(F.col("partition") == "validation", F.col(decision_at))).alias("_first_validation"), F.min(F.when(F.col("partition") == "test", F.col(decision_at))).alias("_first_test")
+    )
+    joined = placed.join(F.broadcast(first), "fold")
+    late = lambda name, bound: (F.col("partition") == name) & (F.col(exit_at).isNull() | (F.col(exit_at) >= F.col(bound)))
+    reasons = all_reasons(
+        ((F.col("partition") == "train") & ~F.coalesce(F.col("label_available_at") <= F.col("training_asof"), F.lit(False)), "training_ineligible_at_asof"),
+        (late("train", "_first_validation"), "label_interval_overlaps_validation"),
+        (late("validation", "_first_test"), "validation_label_overlaps_test"),
+        ((F.col("partition") == "test") & F.col(exit_at).isNull(), "invalid_schedule"),
+    )
+    return joined.withColumn("reasons", reasons).drop("_first_validation", "_first_test")
+
+
+def partition_counts(assigned: DataFrame, minimum: int = 1) -> DataFrame:
+    """fold, partition, n_members, n_excluded and status against the least size."""
+    out = assigned.groupBy("fold", "partition").agg(F.count_if(F.size("reasons") == 0).alias("n_members"), F.count_if(F.size("reasons") > 0).alias("n_excluded"))
+    return out.withColumn("status", F.when(F.col("n_members") >= minimum, "OK").otherwise("INSUFFICIENT_DATA"))
+
+
+def frozen(items: DataFrame, key: list[str], content: list[str]) -> DataFrame:
+    """Members with the digest of their content; a snapshot's digest is that of its members' digests, by key."""
+    return items.select(*key, digest(*[F.col(c) for c in (*key, *content)]).alias("content_sha256"))
+
+
+def snapshot_digest(members: DataFrame) -> DataFrame:
+    """One row: n_items and an order-free digest of all members, so equal sets give equal snapshots."""
+    part = F.conv(F.substring("content_sha256", 1, 15), 16, 10).cast("decimal(38,0)")
+    return members.agg(F.count("*").alias("n_items"), F.sum(part).cast("string").alias("content_sum"))
+
+
+def replayed(frozen_items: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
+    """Items whose content is missing from, or changed in, what is stored now."""
+    now = current.select(*key, F.col("content_sha256").alias("_now"))
+    status = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("content_sha256"), "changed")
+    return frozen_items.join(now, key, "left").select(*key, status.alias("status")).where("status is not null")
+
+
+def orphans(children: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose parent does not exist."""
+    return children.join(parents.select(*key).distinct(), key, "left_anti")
+
+
+def latest(rows: DataFrame, key: list[str], at: str, ties: list[str]) -> DataFrame:
+    """The last row of each key by time, ties by the greatest other columns."""
+    others = [c for c in rows.columns if c not in key]
+    order = F.struct(at, *ties)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*key, "_r.*")

@@ -73,8 +73,22 @@ SELECT o_orderkey AS sample_id, CAST(o_orderdate AS DATE) AS decision_date, CAST
        (CAST(o_orderkey * 37 % 401 AS DOUBLE) - 200) / 1000 AS actual, (CAST(o_orderkey * 53 % 301 AS DOUBLE) - 150) / 1000 AS predicted,
        CAST(o_orderkey * 29 % 101 AS DOUBLE) / 100 AS probability, o_orderkey % 97 <> 0 AS mature
 FROM orders""",
+    "samples": """
+SELECT CAST(o_orderkey AS STRING) AS sample_id, o_custkey AS security, CAST(o_orderdate AS DATE) AS decision_date, CAST(o_orderdate AS {ts}) + INTERVAL '22' HOUR AS decision_at,
+       CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '1' HOUR * (o_orderkey % 48) END AS feature_ready_at, CAST(o_orderdate AS {ts}) + INTERVAL '38' HOUR AS intended_entry_at,
+       CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '24' HOUR * (5 + o_orderkey % 4) END AS intended_exit_at, CASE WHEN o_orderkey % 19 = 0 THEN 'blocked' ELSE 'ready' END AS sample_status,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'pending' ELSE 'ready' END AS label_status, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '24' HOUR * (7 + o_orderkey % 30) END AS label_available_at,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '2400' HOUR END AS rights_available_at, o_orderkey % 29 <> 0 AS learning_ready
+FROM orders""",
+    "learning": """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey * 41 % 211 AS DOUBLE) / 100 END AS x1, CAST(o_orderkey * 67 % 127 AS DOUBLE) / 50 AS x2,
+       CAST(o_orderkey * 41 % 211 AS DOUBLE) / 200 - CAST(o_orderkey * 67 % 127 AS DOUBLE) / 150 + CAST(o_orderkey * 97 % 53 AS DOUBLE) / 500 - 0.15 AS y
+FROM orders""",
+    "account_events": """
+SELECT concat('run', CAST(b.security % 5 AS STRING)) AS run_id, s.idx, b.trading_date, concat('N', CAST(b.security AS STRING)) AS symbol, b.open, b.close, b.volume, (s.idx + b.security) % 7 = 0 AS signal
+FROM bars b JOIN sessions s ON s.trading_date = b.trading_date""",
 }
-NEEDS = {"bars": ["ticks"], "sessions": ["bars"]}
+NEEDS = {"bars": ["ticks"], "sessions": ["bars"], "account_events": ["bars", "sessions"]}
 
 
 def _fill(sql: str, words: dict[str, str]) -> str:
