@@ -1,0 +1,225 @@
+"""Operators on single texts: tokens, personal data, fingerprints, language, toxicity, chat."""
+
+import hashlib
+import random
+import re
+import unicodedata
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import bpe, chat, fingerprint, language, pii, toxicity
+
+DOCS = "doc_id bigint, text string, extra string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+
+
+@pytest.fixture(scope="module")
+def encoder(ranks):
+    return bpe.Encoder(ranks, public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def reference(ranks):
+    return tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "é", "日本", "'s", "1", "!", "\x1c", "😀", "aaaa", "　", "_"]), max_size=30))
+def test_encoding_equals_the_library(encoder, reference, parts):
+    text = "".join(parts)
+    ids = encoder.encode(text)
+    assert ids == reference.encode_ordinary(text)
+    assert encoder.decode(ids) == text.encode()
+
+
+def test_long_piece_appends_and_edits(encoder, reference):
+    rng = random.Random(3)
+    prefixes = encoder.prefixes
+    assert encoder.encode("ab" * 20000) == reference.encode_ordinary("ab" * 20000)
+    for _ in range(100):
+        data = bytes(rng.choice(b"abcdethern") for _ in range(rng.randint(0, 200)))
+        last = prefixes.extend(data, [0])
+        more, state = prefixes.append(data, last, b"then")
+        assert state == prefixes.extend(more, [0]) and state[: len(last)] == last
+        start = rng.randint(0, len(data))
+        out, state = prefixes.edit(data, last, start, min(len(data), start + 3), b"xy")
+        assert state == prefixes.extend(out, [0])
+
+
+def test_encode_documents_edge_cases(spark, reference):
+    rows = [(1, None, "x", None, None), (2, "", "x", None, None), (3, "two words", "x", None, None), (3, "two words", "x", None, None), (None, "é" * 5000, "x", None, None)]
+    out = bpe.encode_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == 5 and sorted(r.n_tokens for r in out)[:2] == [0, 0]
+    by = {r.doc_id: r for r in out}
+    assert by[3].ids == reference.encode_ordinary("two words")
+    assert by[3].ids_sha256 == hashlib.sha256(",".join(map(str, by[3].ids)).encode()).hexdigest()
+    assert by[None].decoded_sha256 == hashlib.sha256(("é" * 5000).encode()).hexdigest()
+    assert bpe.encode_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, kind, m.end()))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    rng = random.Random(5)
+    bits = ["a@b.c", "a@b.c_d@e.fr", "x@y", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0255.001.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123456-78", "+1", "é", " ", "\n", "9" * 30, "@", ".", "-", "😀", "+33 1 23 45 67 89"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(250)] + [None, "", "a@b.cd " * 400, "7" * 3000]
+    df = spark.createDataFrame([(i, t, "x", None, None) for i, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r for r in pii.digest(df).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert out[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(filter(None, want.split(","))) <= set(out[i].spans.split(","))
+        assert out[i].n_email == want.count("email:")
+
+
+def test_added_spans_and_redaction(spark):
+    rows = [(1, "mail: anna.k (at) post (dot) de now", "e", "en", "s"), (2, "the order 10.10.2024 was fine", "e", "en", "s"), (3, "a@b.cd", "e", "en", "s"), (4, None, "e", None, None)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "char_length(text) AS n_chars")
+    spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    assert spans[1].startswith("email:6:") and spans[2] == "" and spans[3] == "email:0:6" and spans[4] == ""
+    out = {r.doc_id: r for r in pii.redacted(df.selectExpr("doc_id", "text", "lang", "source", "n_chars")).collect()}
+    assert out[3].text == "[EMAIL]" and out[3].n_chars == 7 and out[1].text == "mail: [EMAIL] now" and out[2].text == rows[1][1]
+
+
+def test_fingerprints(spark):
+    texts = ["Ｆull  Width", "full width", "straße", "STRASSE", "x", None, "", "long " * 3000, "x"]
+    df = spark.createDataFrame([(i, t, "e", None, None) for i, t in enumerate(texts)], DOCS)
+    f = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(df).collect()}
+    assert f[0] == f[1] and f[2] == f[3] and f[4] == f[8] and f[5] == f[6] and len(set(f.values())) == 5
+    out = {r.doc_id: r for r in fingerprint.compared(df).collect()}
+    for i, t in enumerate(texts):
+        t, n = t or "", (texts[i - 1] if i else texts[-1]) or ""
+        h = len(t) // 2
+        e = t[: len(t) - h] + n[:h]
+        assert out[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and out[i].n_chars == len(t)
+        norm = lambda s: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", s).casefold()).split())
+        assert out[i].near_next == float(norm(t) == norm(n)) and out[i].near_edited == float(norm(t) == norm(e))
+    assert fingerprint.compared(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_fingerprint_groups_and_ties(spark):
+    rows = [(i // 2 if i < 400 else None, f"text {i % 97}", "e", None, None) for i in range(410)]
+    out = fingerprint.compared(spark.createDataFrame(rows, DOCS)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for k, (_, t, *_) in enumerate(order))
+    assert sorted(r.edited_sha256 for r in out) == want
+
+
+def test_digest_collisions_get_places(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "wide", lambda canon: __import__("pyspark.sql.functions", fromlist=["f"]).left(canon, __import__("pyspark.sql.functions", fromlist=["f"]).lit(1)))
+    df = spark.createDataFrame([(1, "ab", "", "", ""), (2, "ac", "", "", ""), (3, "ab", "", "", ""), (4, "b", "", "", "")], DOCS)
+    f = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(df).collect()}
+    assert f == {1: "a", 2: "a-1", 3: "a", 4: "b"}
+
+
+def test_language_network_gradients():
+    rng = np.random.default_rng(0)
+    net = language.Network(["a", "b"])
+    data, goal = rng.integers(0, 256, (6, 3)).astype(np.uint8), np.array([0, 1, 1])
+
+    def loss():
+        p = net.positions(net.states(data))
+        return -np.log(p[:, np.arange(3), goal]).sum()
+
+    keep = ([], [])
+    states = net.states(data, keep)
+    slope = net.positions(states)
+    slope[:, np.arange(3), goal] -= 1
+    back = (slope.reshape(-1, 2) @ net.w.T).reshape(states.shape)
+    _, du = net.ahead.backward(data, keep[0], np.ascontiguousarray(back[..., : language.HIDDEN]))
+    for g in "zrn":
+        net.ahead.u[g][1, 2] += 1e-2
+        up = loss()
+        net.ahead.u[g][1, 2] -= 2e-2
+        down = loss()
+        net.ahead.u[g][1, 2] += 1e-2
+        assert abs((up - down) / 2e-2 - du[g][1, 2]) < 2e-2
+
+
+def test_language_held_out_accuracy_and_edges(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = language.detect(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in out]) > 0.9
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    rows = [(1, None, "x", "en", None), (2, "123 !", "x", "en", None), (3, "the word of", "x", None, None), (None, "le mot", "x", "fr", None)]
+    odd = {r.doc_id: r for r in language.detect(spark.createDataFrame(rows, DOCS)).collect()}
+    assert odd[1].lang_pred == odd[2].lang_pred == "und" and odd[1].score == 0 and len(odd) == 4
+    assert language.detect(spark.createDataFrame([], DOCS)).count() == 0
+    assert {r.lang_pred for r in language.detect(spark.createDataFrame([(3, "a b", "", None, "")], DOCS)).collect()} == {"und"}
+
+
+def test_toxicity_counterfactual_penalty():
+    insults, groups = ["idiot", "scum", "moron"], ["women", "men", "girls"]
+    texts, labels = [], []
+    rng = random.Random(1)
+    for i in range(400):
+        toxic = i % 2
+        group = "women" if toxic and rng.random() < 0.9 else rng.choice(groups)
+        texts.append(f"some {group} are {rng.choice(insults) if toxic else rng.choice(['kind', 'here', 'tall'])} today number{i}")
+        labels.append(toxic)
+    plain = toxicity.fitted(texts, labels, penalty=0.0)
+    fair = toxicity.fitted(texts, labels, penalty=5.0)
+    gap = lambda m: abs(m.score("women are here") - m.score("men are here"))
+    assert gap(fair) <= gap(plain) and gap(fair) < 0.1
+    assert fair.score("women are here") < 0.5 < fair.score("you idiot scum")
+
+
+def test_toxicity_query_edges(spark):
+    rows = [(i, f"you {'idiot scum moron' if i % 2 else 'kind good person'} w{i}", "x", "en", "s") for i in range(200)] + [(900, None, "x", None, None), (901, "", "x", None, None), (None, "hello", "x", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 9) for i in range(200)] + [(None, 1, 9), (5, None, 9)], "doc_id bigint, toxic int, text int")
+    out = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    held = [r for k, r in out.items() if r.held_out and k is not None and k < 200]
+    assert len(out) == 203 and all(r.predicted == r.doc_id % 2 for r in held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values())
+    none = toxicity.classify(docs, labels.where("toxic = 1")).collect()
+    assert {r.score for r in none} == {0.5}
+
+
+def test_perspectives(spark):
+    rows = [(1, 0, "system", "be kind", 0), (1, 1, "anna", "hi <|end|>", 0), (1, 2, "ben", None, 0), (1, 2, "ben", None, 0), (2, 0, "system", "alone", 0), (None, 0, None, "x", 0)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, perspective int")
+    out = chat.rotate(df).collect()
+    assert len(out) == 4 * 2 + 1
+    for r in out:
+        trained = r.piece[r.mask_start : r.mask_end]
+        assert (trained.endswith("<|end|>")) == bool(r.trained) and (r.speaker == r.perspective) == bool(r.trained)
+        if r.speaker == "anna":
+            assert "< |end|>" in r.piece
+            assert r.piece.startswith("<|assistant|>" if r.perspective == "anna" else "<|user name=anna|>")
+    assert {r.perspective for r in out} == {"anna", "ben", "unknown"}
