@@ -150,7 +150,7 @@ def normaliser(name: str) -> Callable[[DataFrame], DataFrame]:
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw responses as bytes with their digest: path, size, sha256, body."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("utf-8")).alias("body"))
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.decode("content", "utf-8").alias("body"))
 
 
 def verified_raw(manifests: DataFrame, files: DataFrame) -> DataFrame:
