@@ -54,3 +54,15 @@ def gaps(observations: DataFrame, sessions: DataFrame, series: list[str]) -> Dat
     dense = spine(observations.select(*series, "trading_date"), sessions, series)
     first = F.min(F.when(F.col("observed"), F.col("idx"))).over(Window.partitionBy(*series))
     return dense.withColumn("_first", first).where("not observed and idx > _first").select(*series, "trading_date")
+
+
+def session_table(spark, start: str, end: str, *, holidays: list[str] = (), early: dict[str, str] | None = None, zone: str = "America/New_York", opens: str = "09:30", closes: str = "16:00", version: str) -> DataFrame:
+    """Sessions by rule: weekdays that are no holiday, with local hours as UTC. Holidays and early closes are data."""
+    days = spark.sql("SELECT explode(sequence(DATE '" + start + "', DATE '" + end + "', INTERVAL 1 DAY)) AS trading_date").where(F.weekday("trading_date") < 5)
+    if holidays:
+        days = days.where(~F.col("trading_date").isin([F.lit(h).cast("date") for h in holidays]))
+    close = F.lit(closes)
+    for day_, at in (early or {}).items():
+        close = F.when(F.col("trading_date") == F.lit(day_).cast("date"), at).otherwise(close)
+    utc = lambda clock: F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", F.col("trading_date").cast("string"), clock)), zone).cast("timestamp_ntz")
+    return days.select(F.lit(version).alias("calendar_version"), "trading_date", utc(F.lit(opens)).alias("open_utc"), utc(close).alias("close_utc"), F.lit(zone).alias("timezone"))

@@ -135,6 +135,18 @@ def with_reason(classified: DataFrame, *, verified_only: bool = True, semantics:
     return classified.withColumn("reason", F.coalesce(first_reason(*pairs), F.col("time_reason"), first_reason(*more) if more else F.lit(None).cast("string")))
 
 
+def assertion_reason(cutoff: Column, policy: str, rule: dict | None = None) -> tuple[Column, Column]:
+    """(available_at, reason) of an assertion row: published_at, publication_date, received_at, usable_at,
+    verified, content_verified."""
+    if policy == "observed":
+        available = F.greatest("received_at", "usable_at")
+        return available, first_reason((~F.col("verified"), "assertion_unverified"), (F.col("received_at").isNull() | F.col("usable_at").isNull(), "assertion_receipt_missing"), (available > cutoff, "assertion_after_cutoff"))
+    if policy == "historical_verified":
+        return F.col("published_at"), first_reason((~F.col("verified"), "assertion_unverified"), (~F.col("content_verified"), "assertion_version_unproven"), (F.col("published_at").isNull(), "assertion_publication_unknown"), (F.col("published_at") > cutoff, "assertion_after_cutoff"))
+    available = F.coalesce(F.col("published_at").cast("timestamp"), assumed_available(F.col("publication_date"), rule["timezone"], rule["delay_hours"]))
+    return available, first_reason((~F.col("verified"), "assertion_unverified"), (available.isNull(), "assertion_publication_unknown"), (available > cutoff.cast("timestamp"), "assertion_after_cutoff"))
+
+
 def calendar_bound(versions: DataFrame, sessions: DataFrame, cutoff: Column, policy: str, *, calendar_version: str | None = None, allow_reference: bool = False) -> DataFrame:
     """Adds bound_reason and bound_end by each row's session.
 

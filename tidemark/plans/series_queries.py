@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as quality
-from tidemark.operators import calendar, features, labels
+from tidemark.operators import calendar, diagnostics, features, labels
 from tidemark.plans.roles import ctes, role
 
 SERIES = ["security"]
@@ -113,6 +113,31 @@ def statuses(spark: SparkSession, sf: str) -> DataFrame:
     return labels.with_status(_endpoints(spark, sf), guards).groupBy("horizon", "status", "reason").agg(F.count("*").alias("n"))
 
 
+HOLIDAYS, EARLY = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25"], {"2024-07-03": "13:00", "2024-11-29": "13:00", "2024-12-24": "13:00"}
+
+
+def rule_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return calendar.session_table(spark, "2024-01-01", "2024-12-31", holidays=HOLIDAYS, early=EARLY, version="rule-1")
+
+
+def blockers(spark: SparkSession, sf: str) -> DataFrame:
+    clock = [F.lit(x).cast("timestamp_ntz") for x in (EVALUATION, SIMULATION)]
+    rows = labels.with_status(_endpoints(spark, sf), labels.clock_guards(*clock, delay_hours=48))
+    return diagnostics.blockers(rows, ["security", "decision_date"])
+
+
+def reassessed(spark: SparkSession, sf: str) -> DataFrame:
+    clock = [F.lit(x).cast("timestamp_ntz") for x in (EVALUATION, SIMULATION)]
+    rows = labels.with_status(_endpoints(spark, sf), labels.clock_guards(*clock, delay_hours=48))
+    later = diagnostics.reassessed(rows, F.lit("1998-05-01 00:00:00").cast("timestamp_ntz"))
+    return later.groupBy("status", "later_status").agg(F.count("*").alias("n"))
+
+
+def forward_gates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = calendar.plan(role(spark, sf, "sessions")).withColumn("reason", diagnostics.forward_timing(F.lit("1996-05-06 23:00:00").cast("timestamp_ntz")))
+    return rows.groupBy(F.coalesce("reason", F.lit("open")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 _BARS, _CAL = ctes("bars"), ctes("bars", "sessions")
 _SPINE = (
     _CAL
@@ -285,4 +310,37 @@ WHERE exit_open / entry_open IS NOT NULL""",
    WHEN entry_open IS NULL OR exit_open IS NULL THEN 'blocked:past_endpoint_price_missing_or_collection_failure' ELSE 'ready' END AS v FROM ends)
 SELECT CAST(horizon AS INTEGER) AS horizon, split_part(v, ':', 1) AS status, nullif(split_part(v, ':', 2), '') AS reason, count(*) AS n FROM s GROUP BY 1, 2, 3""",
     ),
+    "calendar_rows": (
+        rule_sessions,
+        f"""
+WITH d AS (SELECT CAST(range AS DATE) AS trading_date FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2025-01-01', INTERVAL 1 DAY)
+), c AS (SELECT trading_date, CASE WHEN trading_date IN ({", ".join(f"DATE '{d}'" for d in EARLY)}) THEN INTERVAL 13 HOUR ELSE INTERVAL 16 HOUR END AS late
+         FROM d WHERE isodow(trading_date) <= 5 AND trading_date NOT IN ({", ".join(f"DATE '{d}'" for d in HOLIDAYS)}))
+SELECT 'rule-1' AS calendar_version, trading_date, ((trading_date::TIMESTAMP + INTERVAL '570' MINUTE) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS open_utc,
+       ((trading_date::TIMESTAMP + late) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS close_utc, 'America/New_York' AS timezone FROM c""",
+    ),
+    "blocker_categories": (
+        blockers,
+        _ENDS
+        + f"""
+, s AS (SELECT security, decision_date, CASE WHEN exit_at IS NULL OR entry_at IS NULL THEN 'calendar:calendar_horizon_outside_provided_range' WHEN exit_at > TIMESTAMP '{SIMULATION}' THEN 'waiting:target_open_not_yet_reached'
+   WHEN exit_at > TIMESTAMP '{EVALUATION}' THEN 'waiting:target_open_after_label_evaluation_asof'
+   WHEN (entry_open IS NULL OR exit_open IS NULL) AND TIMESTAMP '{EVALUATION}' <= exit_close + INTERVAL '48' HOUR THEN 'waiting:waiting_for_received_usable_open_price_within_delay'
+   WHEN entry_open IS NULL OR exit_open IS NULL THEN 'prices:past_endpoint_price_missing_or_collection_failure' END AS v FROM ends)
+SELECT split_part(v, ':', 1) AS category, split_part(v, ':', 2) AS reason, count(*) AS n_rows, count(DISTINCT (security, decision_date)) AS n_samples FROM s WHERE v IS NOT NULL GROUP BY 1, 2""",
+    ),
+    "pending_reassessment": (
+        reassessed,
+        _ENDS
+        + f"""
+, s AS (SELECT *, CASE WHEN exit_at IS NULL OR entry_at IS NULL THEN 'blocked' WHEN exit_at > TIMESTAMP '{EVALUATION}' THEN 'pending' WHEN entry_open IS NULL OR exit_open IS NULL THEN CASE WHEN TIMESTAMP '{EVALUATION}' <= exit_close + INTERVAL '48' HOUR THEN 'pending' ELSE 'blocked' END ELSE 'ready' END AS status FROM ends)
+SELECT status, CASE WHEN status <> 'pending' THEN status WHEN exit_at > TIMESTAMP '1998-05-01' OR TIMESTAMP '1998-05-01' <= exit_close + INTERVAL '48' HOUR THEN 'pending' ELSE 'blocked' END AS later_status, count(*) AS n FROM s GROUP BY 1, 2""",
+    ),
+    "forward_timing": (
+        forward_gates,
+        _CAL
+        + """
+, p AS (SELECT close_utc + INTERVAL '1' HOUR AS decision_at, lead(open_utc) OVER (ORDER BY idx) AS entry_at FROM sessions)
+SELECT CASE WHEN entry_at IS NULL THEN 'schedule_outside_calendar' WHEN TIMESTAMP '1996-05-06 23:00:00' < decision_at THEN 'before_decision_time' WHEN TIMESTAMP '1996-05-06 23:00:00' >= entry_at THEN 'entry_already_passed' ELSE 'open' END AS reason, count(*) AS n FROM p GROUP BY 1""",
+    ),
 }
