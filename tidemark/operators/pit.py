@@ -228,11 +228,17 @@ def head_status(eligible_rows: DataFrame, key: list[str], policy: str) -> DataFr
     return df.withColumn("status", status).drop("_at", "_head", "_torn", "_latest")
 
 
-def exclusion_counts(reasoned: DataFrame, headed: DataFrame) -> DataFrame:
+def judged(reasoned: DataFrame, key: list[str], policy: str) -> DataFrame:
+    """All versions with reason, or else status. The key's window is told apart by whether a version is
+    eligible, so a filter on that passes below it, and counts need no second plan."""
+    rows = head_status(reasoned.withColumn("eligible", F.col("reason").isNull()), [*key, "eligible"], policy)
+    return rows.withColumn("status", F.when(F.col("eligible"), F.col("status")))
+
+
+def exclusion_counts(rows: DataFrame) -> DataFrame:
     """reason, n: exclusions by first reason, with conflicts and withdrawals; superseded versions are no exclusion."""
-    early = reasoned.where("reason is not null").select("reason")
-    late = headed.where(F.col("status").isin("unresolved_version_conflict", "known_withdrawal")).select(F.col("status").alias("reason"))
-    return early.unionByName(late).groupBy("reason").agg(F.count("*").alias("n"))
+    late = F.when(F.col("status").isin("unresolved_version_conflict", "known_withdrawal"), F.col("status"))
+    return rows.select(F.coalesce("reason", late).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def cross_provider(selected: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -292,5 +298,6 @@ def pit_query(versions: DataFrame, links: DataFrame, *, cutoff: Column, policy:
         rows = resolve_symbols(rows, assertions)
         more += ((F.col("mapping_reason") == r, r) for r in ("symbol_mapping_conflict", "no_eligible_effective_symbol_mapping"))
     reasoned = with_reason(rows, verified_only=verified_only, semantics=semantics, session_scope=session_scope, more=tuple(more))
-    headed = head_status(reasoned.where("reason is null"), key, policy)
-    return {"reasoned": reasoned, "headed": headed, "data": headed.where("status = 'selected'"), "exclusions": exclusion_counts(reasoned, headed)}
+    rows = judged(reasoned, key, policy)
+    headed = rows.where("eligible").drop("eligible", "reason")
+    return {"reasoned": reasoned, "headed": headed, "data": headed.where("status = 'selected'"), "exclusions": exclusion_counts(rows)}
