@@ -185,7 +185,9 @@ def sample(docs: DataFrame) -> tuple[list[str], list[bytes], list[str]]:
     order = -F.ln(luck("draw") + 1e-12) * F.try_element_at(often, F.col("lang"))
     size = F.char_length("text")
     start = (1 + luck("place") * F.greatest(F.lit(1), size - WINDOW)).cast("int")
-    drawn = taught.select("lang", "doc_id", order.alias("order"), F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part")).where("order is not null")
+    # about twice SAMPLE rows come below this bound, however many there are, so few are sent to the driver
+    bound = 2.0 * SAMPLE / len(counts)
+    drawn = taught.select("lang", "doc_id", order.alias("order"), F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part")).where(F.col("order") <= bound)
     rows = drawn.orderBy("order", "doc_id", "part").limit(SAMPLE).collect()
     rows = [r for r in rows if r["part"]]
     return sorted(counts), [r["part"].encode() for r in rows], [r["lang"] for r in rows]
