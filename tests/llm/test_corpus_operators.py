@@ -177,6 +177,27 @@ def test_passages(spark):
     assert substring.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_edits_of_one_paragraph_match_brute_force(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for copies in (240, 60):
+        base = fresh(110)
+        texts.append(base)
+        for _ in range(copies):
+            edited = list(base)
+            for place in rng.sample(range(5, 105), 2):
+                edited[place] = fresh(1)[0]
+            texts.append(edited)
+    texts += [fresh(110) for _ in range(20)]
+    shingles = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    want = reachable(range(len(texts)), linked)
+    sizes = Counter(want.values())
+    out = substring.repeated_passages(spark.createDataFrame(rows_of([" ".join(t) for t in texts]), DOCS)).where("kind = 'paragraph'").collect()
+    assert {r.doc_id: r.cluster_id for r in out} == {i: c for i, c in want.items() if sizes[c] > 1}
+
+
 def test_band_recall():
     assert 1 - (1 - substring.SIMILAR**substring.ROWS) ** substring.BANDS > 0.999
 

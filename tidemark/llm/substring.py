@@ -3,8 +3,9 @@
 Paragraphs (lines) of MIN_WORDS words or more get a MinHash signature over five-word shingles, cut
 into BANDS bands of ROWS rows (recall 0.9998 at a similarity of 0.8). Paragraphs that share a band
 are joined to the band's representative, a different one in each band, exact Jaccard is verified on
-their texts, and links form components. Equal paragraphs collapse before that, so copies cost no
-pairs.
+their texts, and links form components. Bands whose other members are not yet in one component are
+then gone through in blocks, and crowded ones in pairs of blocks, until each pair in a band is verified
+or joined through verified links. Equal paragraphs collapse before that, so copies cost no pairs.
 
 A passage pasted into a longer paragraph is no paragraph of its own, so texts are also cut into
 windows of WINDOW words that start at content-defined anchors (the least shingle hash among SPREAD
@@ -42,6 +43,8 @@ SEEDS = np.random.default_rng(3).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uin
 SAMPLED, CROWDED = 64, 32
 #: Parts that the windows of a crowded key are dealt out to.
 SALTS = 1024
+#: Most paragraphs of a band that are compared in one place, and about how many characters these may have.
+BLOCK, BLOCK_SIZE = 4096, 32_000_000
 UNITS = "doc_id bigint, start int, end int, words int, key bigint, keys array<bigint>, kind string"
 
 
@@ -169,26 +172,89 @@ def clustered(rows: DataFrame, kind: str) -> DataFrame:
     return out.select("doc_id", F.lit(kind).alias("kind"), "start", "end", "words", F.col("head.doc_id").alias("cluster_id"), keep.alias("keep"))
 
 
+def block_links(uids: list[int], labels: list[int], lines: list[str]) -> list[tuple[int, int]]:
+    """Links that join all paragraphs of a block which pairs of SIMILAR or more connect, labels being joined already."""
+    if len(set(labels)) < 2:
+        return []
+    ids: dict[tuple, int] = {}
+    sets = []
+    for line in lines:
+        words = line.encode().lower().split()
+        sets.append(np.array(list({ids.setdefault(t, len(ids)) for t in zip(*(words[i:] for i in range(SHINGLE)))}), dtype=np.int64))
+    sizes = np.array([len(x) for x in sets])
+    flat, first = np.concatenate(sets), np.cumsum(sizes) - sizes
+    label, waiting, has, out = np.array(labels), np.ones(len(uids), bool), np.zeros(len(ids), np.int64), []
+    for one, mine in enumerate(sets):
+        waiting[one] = False
+        others = waiting & (label != label[one])
+        if not others.any():
+            continue
+        has[mine] = 1
+        both = np.add.reduceat(has[flat], first)
+        has[mine] = 0
+        for other in np.flatnonzero(others & (both >= SIMILAR * (sizes + sizes[one] - both))):
+            if label[other] != label[one]:
+                out.append((uids[one], uids[other]))
+                label[label == label[other]] = label[one]
+    return out
+
+
+def blockwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``block_links`` of each block of rows sorted by block; a block may go over several batches."""
+    block, rows = None, []
+    for batch in batches:
+        out = []
+        for *of, uid, label, line in zip(*(batch[c] for c in ("key", "i", "j", "uid", "label", "line"))):
+            if of != block:
+                out += block_links(*map(list, zip(*rows))) if rows else []
+                block, rows = of, []
+            rows.append((uid, label, line))
+        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    yield pd.DataFrame(block_links(*map(list, zip(*rows))) if rows else [], columns=["u", "v"], dtype="int64")
+
+
+def joined(rest: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) with all pairs in a band of ``rest`` (key, uid, size) looked at: first inside
+    blocks of a band, then in bands still apart for every two blocks."""
+    for crossed in (False, True):
+        known = named.withColumnRenamed("node", "uid")
+        labelled = cut(rest.join(known, "uid", "left").select("key", "uid", "size", F.coalesce("component", "uid").alias("label")))
+        bands = labelled.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SIZE)).cast("int").alias("blocks")
+        live = bands.where("low < high").select("key", blocks)
+        live = cut(live.where("blocks > 1") if crossed else live)
+        if not (n := live.count()):
+            break
+        block = F.pmod(F.xxhash64("uid", "key"), F.col("blocks")).cast("int")
+        met = labelled.join(F.broadcast(live) if n <= BROADCAST_IDS else live, "key").withColumn("i", block)
+        met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if crossed else F.col("i"))
+        met = met.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "uid", "label").join(texts, "uid")
+        new = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(blockwise, "u bigint, v bigint")
+        named = cut(components(cut(new).unionByName(named.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+    return named
+
+
 def paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
     """Near-equal paragraphs. Copies collapse before bands are dealt out, and each band is dealt out
     once; the few crowded bands get their representative by a small join instead."""
-    distinct = cut(units.groupBy(F.col("key").alias("uid")).agg(F.any_value("keys").alias("keys")))
-    bands = distinct.select("uid", F.explode("keys").alias("key"))
+    distinct = cut(units.groupBy(F.col("key").alias("uid")).agg(F.any_value("keys").alias("keys"), F.any_value(F.col("end") - F.col("start")).alias("size")))
+    bands = distinct.select("uid", "size", F.explode("keys").alias("key"))
     order = F.struct(F.xxhash64("uid", "key"), "uid")
     many = crowded(bands, "uid")
     side = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
     w = Window.partitionBy("key")
-    usual = bands.join(side, "key", "left_anti").select("uid", F.min(order).over(w)["uid"].alias("v"))
+    usual = bands.join(side, "key", "left_anti").select("key", "uid", "size", F.min(order).over(w)["uid"].alias("v"))
     heads = bands.join(side, "key", "left_semi").groupBy("key").agg(F.min(order)["uid"].alias("v"))
-    full = bands.join(F.broadcast(cut(heads)) if many.count() <= BROADCAST_IDS else cut(heads), "key").select("uid", "v")
-    pairs = cut(usual.unionByName(full).where("uid <> v").select(F.greatest("uid", "v").alias("u"), F.least("uid", "v").alias("v")).distinct())
+    full = bands.join(F.broadcast(cut(heads)) if many.count() <= BROADCAST_IDS else cut(heads), "key").select("key", "uid", "size", "v")
+    rest = cut(usual.unionByName(full).where("uid <> v"))
+    pairs = cut(rest.select(F.greatest("uid", "v").alias("u"), F.least("uid", "v").alias("v")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct())
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("uid"), "line")
     texts = cut(lines.join(ids, "uid", "left_semi").groupBy("uid").agg(F.min("line").alias("line")))
     one, other = (texts.select(F.col("uid").alias(k), F.col("line").alias(n)) for k, n in (("u", "one"), ("v", "other")))
     links = pairs.join(one, "u").join(other, "v").select("u", "v", "one", "other").mapInPandas(similar, "u bigint, v bigint")
-    named = cut(components(links).withColumnRenamed("node", "key"))
+    named = joined(rest.select("key", "uid", "size"), cut(components(links)), texts).withColumnRenamed("node", "key")
     rows = units.select("doc_id", "start", "end", "words", "key").join(named, "key", "left").select("doc_id", "start", "end", "words", F.coalesce("component", "key").alias("component"))
     return clustered(cut(rows), "paragraph")
 
