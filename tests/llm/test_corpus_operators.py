@@ -177,6 +177,25 @@ def test_passages(spark):
     assert substring.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_keep_every_word_once_and_reach_their_ends(spark):
+    rng = random.Random(33)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    text, planted = fresh(140), [fresh(51) for _ in range(12)]
+    bodies = [text[:81], text, text[60:]] + [fresh(30) + p + fresh(30) for p in planted for _ in range(2)]
+    texts = [" ".join(fresh(20) + b + fresh(20)) for b in bodies]
+    out = [r for r in substring.repeated_passages(spark.createDataFrame(rows_of(texts), DOCS)).collect() if r.kind == "passage"]
+    kept = [set(t.split()) for t in texts]
+    for r in out:
+        assert r.words == len(texts[r.doc_id][r.start : r.end].split())
+        if not r.keep:
+            kept[r.doc_id] -= set(texts[r.doc_id][r.start : r.end].split())
+    times = Counter(w for words in kept for w in words)
+    assert all(times[w] == 1 for t in texts for w in t.split())
+    spans = {(r.doc_id, r.keep): texts[r.doc_id][r.start : r.end] for r in out}
+    for k, p in enumerate(planted):
+        assert spans[3 + 2 * k, True] == spans[4 + 2 * k, False] == " ".join(p)
+
+
 def test_edits_of_one_paragraph_match_brute_force(spark):
     rng = random.Random(21)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]

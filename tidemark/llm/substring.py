@@ -9,12 +9,17 @@ or joined through verified links. Equal paragraphs collapse before that, so copi
 
 A passage pasted into a longer paragraph is no paragraph of its own, so texts are also cut into
 windows of WINDOW words that start at content-defined anchors (the least shingle hash among SPREAD
-neighbours): whatever is repeated over WINDOW + SPREAD - 1 words or more shares a window. Windows that
-occur in different documents are merged into passages, and passages that share one are a cluster.
+neighbours): whatever is repeated over WINDOW + SPREAD - 1 words or more shares a window. Of a window
+that occurs in different documents the first occurrence is kept, and every other one is removable.
+Windows repeated at one distance from the kept ones are runs; the words beside a run at the end of a
+stretch are compared with those beside the kept occurrence, as far as an anchor may be away. What is removable, and what is kept for
+others, is merged into passages; those that share a run are a cluster. A kept passage may overlap a
+removable one of its document: such words are kept in a still earlier place, so every word stays once.
 
 The result has one row for each removable or kept stretch, not for documents without any: doc_id,
 kind (paragraph or passage), start and end (code points), words, cluster_id (smallest doc_id of the
-cluster) and keep (true for the cluster's first stretch). Words are runs of anything but the six
+cluster) and keep (for paragraphs true for the cluster's first stretch, for passages true where others
+are removable because of it). Words are runs of anything but the six
 ASCII white spaces; A-Z are lower-cased. Null text is empty text; null ids take no part; rows that
 repeat an id count as one document. An empty table gives an empty table; other columns are not read.
 """
@@ -22,11 +27,12 @@ repeat an id count as one document. An empty table gives an empty table; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, narrow, shared_folder, ship, table
@@ -46,6 +52,7 @@ SALTS = 1024
 #: Most paragraphs of a band that are compared in one place, and about how many characters these may have.
 BLOCK, BLOCK_SIZE = 4096, 32_000_000
 UNITS = "doc_id bigint, start int, end int, words int, key bigint, keys array<bigint>, kind string"
+BESIDE = "doc_id bigint, place int, key bigint, left boolean, hashes array<bigint>, points array<int>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -259,28 +266,99 @@ def paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
     return clustered(cut(rows), "paragraph")
 
 
-def passages(windows: DataFrame) -> DataFrame:
+def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For the asked windows of each text the hashes of the words beside them, nearest first, and the code
+    points where these words begin (before a window) or end (after it)."""
+    for batch in batches:
+        rows = []
+        for doc_id, text, places, keys, lefts in zip(*(batch[c] for c in ("doc_id", "text", "places", "keys", "lefts"))):
+            words = Words(text)
+            at, keys, lefts = np.asarray(places, dtype=np.int64), np.asarray(keys, dtype=np.int64), np.asarray(lefts, dtype=bool)
+            fits = at <= len(words.hash) - WINDOW
+            at, keys, lefts = at[fits], keys[fits], lefts[fits]
+            if not len(at):
+                continue
+            same = spans_hash(words.hash, at, at + WINDOW).view(np.int64) == keys
+            hashes = words.hash.view(np.int64)
+            for place, key, left in zip(at[same].tolist(), keys[same].tolist(), lefts[same].tolist()):
+                near = slice(max(0, place - SPREAD + 1), place) if left else slice(place + WINDOW, place + WINDOW + SPREAD - 1)
+                turn = -1 if left else 1
+                rows.append((doc_id, place, key, left, hashes[near][::turn], (words.start if left else words.end)[near][::turn]))
+        yield pd.DataFrame(rows, columns=["doc_id", "place", "key", "left", "hashes", "points"])
+
+
+def common(one: str, other: str) -> Column:
+    """How many elements two arrays have in common from their first on."""
+    differs = F.array_position(F.zip_with(one, other, lambda a, b: a.eqNullSafe(b)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(one)).cast("int")
+
+
+def widened(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, of, shift, low, high, point, kept_point): words beside the runs at the ends of removable
+    stretches that equal those beside the kept occurrence, and the code points where they begin or end."""
+    along = Window.partitionBy("doc_id").orderBy("first", "last")
+    before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = runs.withColumn("opens", F.when(F.col("first") > before + WINDOW, 1).otherwise(0)).withColumn("part", F.sum("opens").over(along))
+    part = Window.partitionBy("doc_id", "part")
+    left, right = F.col("first") - F.min("first").over(part) < SPREAD, F.max("last").over(part) - F.col("last") < SPREAD
+    side = lambda at, place, key, is_left: F.when(at, F.struct(F.col(place).alias("place"), F.col(key).alias("key"), F.lit(is_left).alias("left")))
+    sides = numbered.withColumns({"l": side(left, "first", "first_key", True), "r": side(right, "last", "last_key", False)})
+    edges = cut(sides.select("doc_id", "of", "shift", F.explode(F.array_compact(F.array("l", "r"))).alias("edge")).select("doc_id", "of", "shift", "edge.*"))
+    kept = edges.select(F.col("of").alias("doc_id"), (F.col("place") + F.col("shift")).alias("place"), "key", "left")
+    asked = edges.select("doc_id", "place", "key", "left").unionByName(kept).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "key", "left")).alias("asked"))
+    asked = cut(asked.select("doc_id", F.col("asked.place").alias("places"), F.col("asked.key").alias("keys"), F.col("asked.left").alias("lefts")))
+    ids = asked.select("doc_id")
+    some = docs.join(F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    found = some.join(asked, "doc_id").select("doc_id", "text", "places", "keys", "lefts").mapInPandas(beside, BESIDE)
+    found = cut(found.dropDuplicates(["doc_id", "place", "key", "left"]))
+    tops = found.select(F.col("doc_id").alias("of"), F.col("place").alias("_at"), "key", "left", F.col("hashes").alias("kept_hashes"), F.col("points").alias("kept_points"))
+    met = edges.withColumn("_at", F.col("place") + F.col("shift")).join(found, ["doc_id", "place", "key", "left"]).join(tops, ["of", "_at", "key", "left"])
+    met = met.withColumn("n", common("hashes", "kept_hashes")).where("n > 0")
+    low = F.when(F.col("left"), F.col("place") - F.col("n")).otherwise(F.col("place") + WINDOW)
+    points = [F.get(c, F.col("n") - 1).alias(n) for c, n in (("points", "point"), ("kept_points", "kept_point"))]
+    return cut(met.select("doc_id", "of", "shift", low.alias("low"), (low + F.col("n")).alias("high"), *points))
+
+
+def passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Stretches of exactly repeated words inside texts. Windows are read and dealt out by key once;
     those of the few crowded keys are known to repeat, so each such key is spread over SALTS parts."""
-    windows = windows.select("doc_id", "start", "end", F.col("words").alias("place"), "key")
-    many = crowded(windows, "doc_id").select("key", F.lit(True).alias("many"))
-    side = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
-    salt = F.when(F.col("many"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    windows = windows.select("doc_id", F.col("words").alias("place"), "start", "end", "key")
+    many = crowded(windows, "doc_id").select("key")
+    few = many.count() <= BROADCAST_IDS
+    place = F.struct("doc_id", "place", "start", "end")
+    tops = cut(windows.join(F.broadcast(many) if few else many, "key", "left_semi").groupBy("key").agg(F.min(place).alias("top")))
+    salt = F.when(F.col("top").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
     w = Window.partitionBy("key", "salt")
-    dealt = windows.join(side, "key", "left").withColumn("salt", salt)
-    seen = dealt.withColumns({"_low": F.min("doc_id").over(w), "_high": F.max("doc_id").over(w)})
-    found = seen.where("_low < _high or many").drop("_low", "_high", "many", "salt")
-    along = Window.partitionBy("doc_id").orderBy("place")
-    before = F.max("place").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col("place") > before + WINDOW), 1).otherwise(0)
-    numbered = found.withColumn("opens", opens).withColumn("part", F.sum("opens").over(along))
-    merged = cut(numbered.select("doc_id", "start", "end", "place", "key", F.xxhash64("doc_id", "part").alias("node")))
-    lowest = cut(merged.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("_top")).where("v < _top").select("key", "v"))
-    links = merged.select("key", F.col("node").alias("u")).join(lowest, "key").where("u <> v").select("u", "v").distinct()
+    dealt = windows.join(F.broadcast(tops) if few else tops, "key", "left").withColumn("salt", salt)
+    seen = dealt.withColumns({"_low": F.min(place).over(w), "_high": F.max("doc_id").over(w)})
+    found = seen.where("_low.doc_id < _high or top is not null").select("doc_id", "place", "start", "end", "key", F.coalesce("top", "_low").alias("top"))
+    others = found.where("doc_id <> top.doc_id or place <> top.place").select("doc_id", "place", "start", "end", "key", F.col("top.doc_id").alias("of"), (F.col("top.place") - F.col("place")).alias("shift"), F.col("top.start").alias("kept_start"), F.col("top.end").alias("kept_end"))
+    along = Window.partitionBy("doc_id", "of", "shift").orderBy("place")
+    opens = F.when(F.col("place") > F.lag("place").over(along) + WINDOW, 1).otherwise(0)
+    numbered = others.withColumn("opens", opens).withColumn("part", F.sum("opens").over(along))
+    ends = [F.min("place").alias("first"), F.max("place").alias("last"), F.min_by("key", "place").alias("first_key"), F.max_by("key", "place").alias("last_key")]
+    ends += [F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_start").alias("kept_start"), F.max("kept_end").alias("kept_end")]
+    runs = cut(numbered.groupBy("doc_id", "of", "shift", "part").agg(*ends).drop("part"))
+
+    link = F.xxhash64("of", F.col("first") + F.col("shift"), F.col("last") + F.col("shift")).alias("link")
+    places = ["doc_id", "of", "shift", F.col("first").alias("low"), (F.col("last") + WINDOW).alias("high")]
+    more = widened(docs, runs.select("doc_id", "of", "shift", "first", "last", "first_key", "last_key"))
+    point = [F.col("point").alias(c) for c in ("start", "end")] + [F.col("kept_point").alias(c) for c in ("kept_start", "kept_end")]
+    both = runs.select(*places, "start", "end", "kept_start", "kept_end", link).unionByName(more.select("doc_id", "of", "shift", "low", "high", *point, F.lit(None).cast("bigint").alias("link")))
+    kept = [F.col("of").alias("doc_id"), *[(F.col(c) + F.col("shift")).alias(c) for c in ("low", "high")], F.col("kept_start").alias("start"), F.col("kept_end").alias("end"), "link"]
+    spans = both.select("doc_id", "low", "high", "start", "end", "link", F.lit(False).alias("keep")).unionByName(both.select(*kept, F.lit(True).alias("keep")).distinct())
+    inside = Window.partitionBy("doc_id", "keep").orderBy("low", "high")
+    before = F.max("high").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("low") > before, 1).otherwise(0)
+    parts = spans.withColumn("opens", apart).withColumn("part", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = cut(parts.withColumn("node", F.xxhash64("doc_id", "keep", "part")).drop("opens", "part"))
+    names = merged.where("keep").select("link", F.col("node").alias("v"))
+    links = merged.where("not keep").select("link", F.col("node").alias("u")).join(names, "link").select("u", "v").distinct()
     named = cut(components(links))
-    whole = merged.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("place") - F.min("place") + WINDOW).alias("words"))
-    rows = whole.join(named, "node", "left").select("doc_id", "start", "end", "words", F.coalesce("component", "node").alias("component"))
-    return clustered(cut(rows), "passage")
+    whole = merged.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keep").alias("keep"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("high") - F.min("low")).alias("words"))
+    rows = cut(whole.join(named, "node"))
+    first = rows.groupBy("component").agg(F.min("doc_id").alias("cluster_id"))
+    return rows.join(first, "component").select("doc_id", F.lit("passage").alias("kind"), "start", "end", "words", "cluster_id", "keep")
 
 
 def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,7 +371,7 @@ def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     docs.mapInPandas(unit_rows, UNITS).write.partitionBy("kind").parquet(folder)
     units = spark.read.schema(UNITS).parquet(folder)
     of_kind = lambda kind: units.where(F.col("kind") == kind)
-    return paragraphs(docs, of_kind("paragraph")).unionByName(passages(of_kind("passage")))
+    return paragraphs(docs, of_kind("paragraph")).unionByName(passages(docs, of_kind("passage")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
