@@ -314,3 +314,10 @@ def test_reviewed_interval(spark):
     rows = spark.createDataFrame([(DAY,), (dt.date(2025, 1, 1),)], "trading_date date")
     out = ingest.reviewed(rows, {"start": "2024-01-01", "end": "2024-12-31", "price_semantics": "as_traded", "currency": "USD", "version": "r1"})
     assert [r.normalizer_version for r in out.collect()] == ["r1"]
+
+
+def test_every_signup_and_purchase_is_a_dated_action(spark, sf):
+    from tidemark.plans.roles import role
+
+    events = spark.read.parquet(f"{sf}/events.parquet").where("event_type in ('signup', 'purchase')")
+    assert sorted(r.version_id for r in role(spark, sf, "dated_actions").collect()) == sorted(f"e{r.event_id}" for r in events.collect())
