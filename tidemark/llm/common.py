@@ -5,12 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of text, about, that a Python task holds at a time.
+SLICE = 1 << 20
 #: A word is a maximal run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,19 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is used.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="tidemark-")).as_uri()
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
+def parts_for(df: DataFrame, rows: int, each: int) -> int:
+    """A number of partitions for ``rows`` rows, about ``each`` of them in one, that keeps every core busy."""
+    return min(100_000, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def text_of(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -70,5 +86,34 @@ def ship(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name in the place that driver and executors share."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(configured or Path(tempfile.mkdtemp(prefix='tidemark-')).as_uri()).rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows where about SLICE bytes of ``text`` are full."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(size + 64) // SLICE, append=-1)) + 1
+        for start, end in zip([0, *ends[:-1]], ends):
+            yield batch.slice(start, end - start)
+
+
+def texts_mapped(df: DataFrame, text: str, added: str, work: Callable[[list[str]], list], *, keep_text: bool = False) -> DataFrame:
+    """``df`` with the columns ``added`` (a schema) that ``work`` makes of a list of texts, null read as empty.
+
+    Every other column passes as it is, in Arrow form: ids beside nulls keep their type and value.
+    ``text`` itself goes unless it is to be kept.
+    """
+    ship(df.sparkSession)
+    new = T._parse_datatype_string(added).fields
+    names = [c for c in df.columns if keep_text or c != text]
+    kinds = [pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in new]
+    schema = T.StructType([df.schema[c] for c in names] + new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, text):
+            made = work([t or "" for t in part.column(text).to_pylist()])
+            columns = [part.column(c) for c in names] + [pa.array(m, k) for m, k in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(run, schema)

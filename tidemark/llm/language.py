@@ -5,29 +5,29 @@ segment of bytes with gated recurrent units, every position gets a distribution
 a document's distribution is the mean over all its positions. Texts are scored whole, in segments;
 the work is per row, so nothing is shuffled.
 
-It learns from a bounded sample: at most SAMPLE windows of WINDOW characters, drawn by a hash of the
-id so that languages weigh alike, of the LANGUAGES most frequent ones. Null or letterless text is
+It learns from a bounded sample: at most SAMPLE windows of WINDOW characters, drawn by a hash of id and
+text so that languages weigh alike; a language is learned if a window of it is drawn. When it scores,
+states start afresh with every READ bytes, so context is never longer. Null or letterless text is
 `und` with score 0, and so is everything if no row teaches. Repeated rows score alike, null ids are
 kept, an empty table gives an empty table, other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_bucket, narrow, ship, table
+from tidemark.llm.common import fold_bucket, narrow, table, texts_mapped
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE, WINDOW, LANGUAGES = 1600, 1024, 200
+SAMPLE, WINDOW = 1600, 1024
 HIDDEN, SEGMENT, BATCH, STEPS, RATE = 8, 48, 160, 260, 0.02
 #: Segments that are scored at once, and bytes of a segment when scoring.
 AT_ONCE, READ = 2048, 64
 UND = "und"
+#: Most languages whose counts are broadcast; beyond it they are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -177,20 +177,17 @@ class Network:
 def sample(docs: DataFrame) -> tuple[list[str], list[bytes], list[str]]:
     """(labels, windows of text, label of each window), at most SAMPLE of them."""
     taught = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold_bucket("doc_id", FOLDS) != HELD_OUT))
-    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return [], [], []
-    often = F.create_map([F.lit(x) for pair in counts.items() for x in pair])
-    luck = lambda name: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    order = -F.ln(luck("draw") + 1e-12) * F.try_element_at(often, F.col("lang"))
+    counts = taught.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    luck = lambda name: F.pmod(F.xxhash64(F.lit(name), "doc_id", "text"), F.lit(1 << 31)) / float(1 << 31)
     size = F.char_length("text")
     start = (1 + luck("place") * F.greatest(F.lit(1), size - WINDOW)).cast("int")
+    parts = taught.select("lang", "doc_id", (-F.ln(luck("draw") + 1e-12)).alias("luck"), F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part"))
+    side = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
     # about twice SAMPLE rows come below this bound, however many there are, so few are sent to the driver
-    bound = 2.0 * SAMPLE / len(counts)
-    drawn = taught.select("lang", "doc_id", order.alias("order"), F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part")).where(F.col("order") <= bound)
-    rows = drawn.orderBy("order", "doc_id", "part").limit(SAMPLE).collect()
-    rows = [r for r in rows if r["part"]]
-    return sorted(counts), [r["part"].encode() for r in rows], [r["lang"] for r in rows]
+    drawn = parts.join(side, "lang").withColumn("order", F.col("luck") * F.col("n")).where(F.col("order") <= 2.0 * SAMPLE / max(1, languages))
+    rows = [r for r in drawn.select("lang", "doc_id", "part", "order").orderBy("order", "doc_id", "part").limit(SAMPLE).collect() if r["part"]]
+    return sorted({r["lang"] for r in rows}), [r["part"].encode() for r in rows], [r["lang"] for r in rows]
 
 
 def trained(docs: DataFrame) -> Network | None:
@@ -205,45 +202,34 @@ def trained(docs: DataFrame) -> Network | None:
 
 def detect(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", net: Network | None = None) -> DataFrame:
     """One row per row: doc_id, held_out, lang_pred, score (the pooled probability of lang_pred)."""
-    spark = df.sparkSession
-    ship(spark)
     docs = narrow(df, doc_id=doc_id, text=text, lang=lang)
     net = net or trained(docs)
-    shared = spark.sparkContext.broadcast(net)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield label_batch(shared.value, batch)
+    shared = df.sparkSession.sparkContext.broadcast(net)
 
-    slim = docs.select("doc_id", (fold_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    slim = docs.select("doc_id", (fold_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
+    return texts_mapped(slim, "text", "lang_pred string, score double", lambda texts: labelled(shared.value, texts))
 
 
-def label_batch(net: Network | None, batch: pd.DataFrame) -> pd.DataFrame:
-    texts = batch.pop("text")
-    label, score = np.full(len(batch), UND, dtype=object), np.zeros(len(batch))
+def labelled(net: Network | None, texts: list[str]) -> list[list]:
+    """The label of each text and its pooled probability."""
+    label, score = [UND] * len(texts), [0.0] * len(texts)
     rows = [k for k, t in enumerate(texts) if net and any(map(str.isalpha, t))]
     if rows:
-        pooled = net.pooled([texts.iloc[k].encode() for k in rows])
+        pooled = net.pooled([texts[k].encode() for k in rows])
         best = pooled.argmax(axis=1)
-        label[rows] = np.array(net.labels, dtype=object)[best]
-        score[rows] = np.clip(pooled[np.arange(len(rows)), best], 0, 1)
-    return batch.assign(lang_pred=label, score=score)
+        for k, place, p in zip(rows, best.tolist(), pooled[np.arange(len(rows)), best].tolist()):
+            label[k], score[k] = net.labels[place], min(1.0, max(0.0, p))
+    return [label, score]
 
 
 def known_languages(df: DataFrame, least: float, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows, with all their columns, whose text is in a learned language with a score of ``least`` or more."""
-    spark = df.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(trained(narrow(df, doc_id=doc_id, text=text, lang=lang)))
+    shared = df.sparkSession.sparkContext.broadcast(trained(narrow(df, doc_id=doc_id, text=text, lang=lang)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = label_batch(shared.value, pd.DataFrame({"text": batch[text].fillna("")}))
-            yield batch[(found["lang_pred"] != UND).to_numpy() & (found["score"] >= least).to_numpy()]
+    def work(texts: list[str]) -> list:
+        return [[name != UND and p >= least for name, p in zip(*labelled(shared.value, texts))]]
 
-    return df.mapInPandas(run, df.schema)
+    return texts_mapped(df, text, "_known boolean", work, keep_text=True).where("_known").drop("_known")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 A text's margin is a bias plus what each of its different words adds; a word adds the weights of
 itself and of its character n-grams as far as they exceed FLOOR, so that length alone makes no text
-toxic. The weights are fitted in numpy to the labels, with a penalty on the squared
-change of the margin when the identity terms in a labelled text are swapped for others of the same
-kind: what a text says about a group, not which group it names, decides.
-
-It learns from a bounded sample: at most SAMPLE labelled rows of at most LONGEST characters, drawn by
-a hash of the id with both labels alike, of those outside the held-out fold; where no row has both a
-text and a label, all scores are 0.5. All texts are scored whole, in their row; nothing is shuffled.
-Null text is empty text and gets the bias's score. Repeated rows score alike, null ids are kept, an
-empty table gives an empty table, other columns are not read.
+toxic. The weights are fitted in numpy to the labels, with a penalty on the squared change of the
+margin when terms in a labelled text are swapped for others of the same kind: identity terms of four
+languages, and stand-ins for them, words of the learned texts that both labels use about as often.
+What a text says about a group, not which group it names, decides.
+
+It learns from a bounded sample: at most SAMPLE labelled rows of any length, drawn by a hash of the id
+with both labels alike, of those outside the held-out fold; of an id labelled both ways the greater
+label counts. Where not both labels have a text, nothing is learned: all scores are 0.5 and, by the
+rule that 0.5 is enough, predicted 1. All texts are scored whole, in their row; nothing is shuffled
+but the labels. Null text is empty text and gets the bias's score. Repeated rows score alike, null ids
+are kept, an empty table gives an empty table, other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_bucket, narrow, ship, table
+from tidemark.llm.common import fold_bucket, narrow, table, texts_mapped
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, LONGEST = 3000, 4000
+SAMPLE = 3000
 #: Identity terms by kind; a swap puts another term of the same list in place of one.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -40,10 +41,22 @@ IDENTITY = (
     ("black", "white", "asian", "latino", "arab"),
     ("immigrants", "natives", "refugees", "foreigners"),
     ("old", "young", "disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "transgender", "heteros"),
+    ("türken", "deutsche", "polen", "araber", "syrer"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "étrangers", "français"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros", "españoles"),
 )
 KIND = {term: kind for kind in IDENTITY for term in kind}
 #: Lengths of n-grams; how many labelled texts a part must occur in, about; the evidence below which a word adds nothing.
 GRAMS, RARE, FLOOR = (4, 5), 10, 0.5
+#: Stand-ins: least letters, least texts of either label, most ratio between the labels' rates, terms of a kind.
+LETTERS, COMMON, EVEN, GROUP = 4, 5, 1.3, 4
 SWAPS, PENALTY, DECAY, STEPS, RATE = 3, 0.5, 2e-3, 90, 0.15
 #: Words each worker remembers before it starts afresh.
 REMEMBERED = 300_000
@@ -60,9 +73,9 @@ def parts_of(word: str) -> set[str]:
     return {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
 
 
-def swapped(words: set[str], turn: int) -> set[str]:
-    """The words with every identity term replaced by the one ``turn`` places on in its kind."""
-    return {KIND[w][(KIND[w].index(w) + turn) % len(KIND[w])] if w in KIND else w for w in words}
+def swapped(words: set[str], turn: int, kinds: dict[str, tuple[str, ...]]) -> set[str]:
+    """The words with every term of a kind replaced by the one ``turn`` places on in its kind."""
+    return {kinds[w][(kinds[w].index(w) + turn) % len(kinds[w])] if w in kinds else w for w in words}
 
 
 class Incidence:
@@ -106,10 +119,32 @@ class Model:
         return {"bias": self.bias, "weights": self.weights, "_known": {}}
 
 
-def fitted(texts: list[str], labels: list[int], *, penalty: float = PENALTY, steps: int = STEPS) -> Model:
+def stand_ins(bags: list[set[str]], labels: list[int]) -> list[tuple[str, ...]]:
+    """Kinds of words of the learned texts that name things without a judgement: words of LETTERS letters or
+    more that texts of both labels use about as often, grouped with those of the nearest frequency."""
+    sizes = Counter(labels)
+    used = {label: Counter(w for bag, mark in zip(bags, labels) if mark == label for w in bag) for label in (0, 1)}
+    rates = {w: (used[0][w] / sizes[0], n / sizes[1]) for w, n in used[1].items() if len(w) >= LETTERS and min(n, used[0][w]) >= COMMON}
+    even = sorted((w for w, (a, b) in rates.items() if max(a, b) <= EVEN * min(a, b)), key=lambda w: (-sum(rates[w]), w))
+    return [tuple(even[k : k + GROUP]) for k in range(0, len(even) - 1, GROUP)]
+
+
+def counterfactuals(bags: list[set[str]], labels: list[int]) -> list[tuple[int, set[str]]]:
+    """(place of a text, its words after a swap): SWAPS swaps of identity terms, one of the learned stand-ins."""
+    found = {term: kind for kind in stand_ins(bags, labels) for term in kind if term not in KIND}
+    pairs = [(k, swapped(bag, turn, KIND)) for k, bag in enumerate(bags) for turn in range(1, SWAPS + 1) if not bag.isdisjoint(KIND)]
+    return pairs + [(k, swapped(bag, 1, found)) for k, bag in enumerate(bags) if not bag.isdisjoint(found)]
+
+
+def mean_change(model: Model, bags: list[set[str]], pairs: list[tuple[int, set[str]]]) -> float:
+    """Root of the mean squared margin change under the swaps."""
+    total = lambda words: sum(map(model.adds, words))
+    return math.sqrt(sum((total(bags[k]) - total(other)) ** 2 for k, other in pairs) / max(1, len(pairs)))
+
+
+def fitted(bags: list[set[str]], labels: list[int], *, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """Adam on the logistic loss plus ``penalty`` times the squared margin change under swaps."""
-    bags = [words_of(t) for t in texts]
-    pairs = [(k, swapped(bag, turn)) for k, bag in enumerate(bags) for turn in range(1, SWAPS + 1) if not bag.isdisjoint(KIND)]
+    pairs = counterfactuals(bags, labels)
     words = sorted(set().union(*bags, *(bag for _, bag in pairs)))
     place = {w: k for k, w in enumerate(words)}
     held, seen = Counter(w for bag in bags for w in bag), Counter()
@@ -151,38 +186,36 @@ def fitted(texts: list[str], labels: list[int], *, penalty: float = PENALTY, ste
     return Model(float(theta[-1]), {p: float(w) for p, w in zip(names, theta[:-1]) if abs(w) > 1e-4})
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most SAMPLE rows; both labels alike as far as there are rows."""
-    marks = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", "label")
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[set[str]], list[int]]:
+    """Word sets and labels of at most SAMPLE rows; both labels alike as far as there are rows."""
+    marks = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return [], []
     size = F.when(F.col("label") == 1, float(counts[1])).otherwise(float(counts[0]))
     order = -F.ln(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 31)) / float(1 << 31) + 1e-12) * size
-    # about four times SAMPLE labels come below this bound, however many there are: few enough to broadcast
+    # about four times SAMPLE ids come below this bound, however many there are: few enough to broadcast
     few = marks.select("doc_id", "label", order.alias("order")).where((F.col("order") <= 2.0 * SAMPLE) & (fold_bucket("doc_id", FOLDS) != HELD_OUT))
-    taught = docs.where(F.length("text").between(1, LONGEST)).join(F.broadcast(few), "doc_id")
-    drawn = taught.select("text", "label", "order").orderBy("order", "text", "label").limit(SAMPLE).collect()
-    return [r["text"] for r in drawn], [int(r["label"]) for r in drawn]
+    taught = docs.where("length(text) > 0").join(F.broadcast(few), "doc_id")
+    drawn = taught.select("label", "order", "text").orderBy("order", "text", "label").limit(SAMPLE)
+    rows = texts_mapped(drawn, "text", "words string", lambda texts: [[" ".join(sorted(words_of(t))) for t in texts]]).collect()
+    rows.sort(key=lambda r: (r["order"], r["words"], r["label"]))
+    return [set(r["words"].split()) for r in rows], [int(r["label"]) for r in rows]
 
 
 def classify(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, score, predicted. ``labels`` has doc_id and ``label``."""
     spark = df.sparkSession
-    ship(spark)
     docs = narrow(df, doc_id=doc_id, text=text)
-    texts, marks = sample(docs, narrow(labels, doc_id=doc_id, label=label))
-    shared = spark.sparkContext.broadcast(fitted(texts, marks) if len(set(marks)) == 2 else Model())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            scores = np.array([model.score(t) for t in batch.pop("text")], dtype=float)
-            yield batch.assign(score=scores, predicted=(scores >= 0.5).astype("int32"))
-
-    slim = docs.select("doc_id", (fold_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    bags, marks = sample(docs, narrow(labels, doc_id=doc_id, label=label))
+    shared = spark.sparkContext.broadcast(fitted(bags, marks) if len(set(marks)) == 2 else Model())
+
+    def work(values: list[str]) -> list:
+        scores = [shared.value.score(t) for t in values]
+        return [scores, [int(x >= 0.5) for x in scores]]
+
+    slim = docs.select("doc_id", (fold_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
+    return texts_mapped(slim, "text", "score double, predicted int", work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
