@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, components, language, mixing, pii, simhash, substring, topk
+from tidemark.llm import bpe, components, language, mixing, pii, simhash, substring, topk, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, uid int"
 
@@ -81,11 +81,40 @@ def test_near_links_lose_nothing(spark):
     assert reachable(signed, links) == reachable(signed, near)
 
 
+def test_near_links_over_a_large_group(spark):
+    """Hundreds of near copies share the keys of few segment values, beside many loose fingerprints."""
+    rng = random.Random(16)
+    prints = set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        prints |= {centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 4))}) for _ in range(400)}
+        prints |= {centre ^ (rng.getrandbits(32) << 32) for _ in range(60)}
+    prints |= {rng.getrandbits(64) for _ in range(300)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    links = [(r.u, r.v) for r in simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()]
+    whole = np.array(sorted(prints), dtype=np.uint64)
+    near = [(i, j) for i, p in enumerate(whole) for j in np.flatnonzero(np.bitwise_count(whole[:i] ^ p) <= 2)]
+    assert (np.bitwise_count((np.array(links)[:, 0] ^ np.array(links)[:, 1]).view(np.uint64)) <= 2).all()
+    place = {int(p) - (1 << 64) if int(p) >> 63 else int(p): k for k, p in enumerate(whole)}
+    assert reachable(range(len(whole)), [(place[u], place[v]) for u, v in links]) == reachable(range(len(whole)), near)
+
+
 def test_one_of_each_keeps_rows_whole(spark):
     texts = ["the quick brown fox jumps over it", "the quick brown fox jumps over it", "something else entirely was written here", None]
-    rows = rows_of(texts) + [(None, "no id", "en", "s", 5, "x", 1), rows_of(texts)[2]]
-    out = simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted(r.doc_id for r in out) == [0, 2, 3] and {r.fp for r in out} == {"clash"}
+    odd = [(None, "no id at all here", "en", "s", 5, "x", 1), (None, texts[0], "en", "s", 5, "x", 1), (1, "an id that was seen before", "en", "s", 5, "y", 1), (2, texts[2], "de", "r", 5, "x", 1)]
+    out = simhash.one_of_each(spark.createDataFrame(rows_of(texts) + odd + [rows_of(texts)[2]], DOCS)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == [(False, 0, texts[0]), (False, 1, odd[2][1]), (False, 2, texts[2]), (False, 3, ""), (True, 0, odd[0][1])]
+    assert next(r for r in out if r.doc_id == 2).lang == "de"  # of rows alike in id and text the least by the others
+    assert simhash.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = 2**53 + 1
+    rows = [(big, "the word of it was there", "en", "s", 5, "x", 1), (None, "le mot de la fin", "fr", "s", 5, "x", 1), (big + 2, "the word of it was here", "en", "s", 5, "x", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(big, 1), (big + 2, 0)], "doc_id bigint, toxic int")
+    for out in (simhash.near_duplicates(df), bpe.encode_documents(df), language.detect(df), toxicity.classify(df, labels), language.known_languages(df, 0.0), pii.digest(df)):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {big, big + 2, None}
 
 
 def water(sizes):
