@@ -48,12 +48,21 @@ def test_long_piece_appends_and_edits(encoder, reference):
     assert encoder.encode("ab" * 20000) == reference.encode_ordinary("ab" * 20000)
     for _ in range(100):
         data = bytes(rng.choice(b"abcdethern") for _ in range(rng.randint(0, 200)))
-        last = prefixes.extend(data, [0])
+        last = prefixes.extend(data.decode("latin-1"), [0])
         more, state = prefixes.append(data, last, b"then")
-        assert state == prefixes.extend(more, [0]) and state[: len(last)] == last
+        assert state == prefixes.extend(more.decode("latin-1"), [0]) and state[: len(last)] == last
         start = rng.randint(0, len(data))
         out, state = prefixes.edit(data, last, start, min(len(data), start + 3), b"xy")
-        assert state == prefixes.extend(out, [0])
+        assert state == prefixes.extend(out.decode("latin-1"), [0])
+
+
+def test_pairs_stay_apart_as_merging_says(encoder):
+    prefixes, rng = encoder.prefixes, random.Random(12)
+    assert prefixes.rising
+    often = [t for t in prefixes.tokens if len(prefixes.tokens[t]) <= 3]
+    for _ in range(20000):
+        left, right = rng.choice(often), rng.choice(often)
+        assert prefixes.apart(left, right) == (prefixes.merged(prefixes.spelled[left] + prefixes.spelled[right])[0] == [left, right])
 
 
 def test_encode_documents_edge_cases(spark, reference):
@@ -192,13 +201,26 @@ def test_toxicity_counterfactual_penalty():
         group = "women" if toxic and rng.random() < 0.9 else rng.choice(groups)
         texts.append(f"some {group} are {rng.choice(insults) if toxic else rng.choice(['kind', 'here', 'tall'])} today number{i}")
         labels.append(toxic)
-    plain = toxicity.fitted(texts, labels, penalty=0.0)
-    fair = toxicity.fitted(texts, labels, penalty=5.0)
+    bags = [toxicity.words_of(t) for t in texts]
+    plain = toxicity.fitted(bags, labels, penalty=0.0)
+    fair = toxicity.fitted(bags, labels, penalty=5.0)
     gap = lambda m: abs(m.score("women are here") - m.score("men are here"))
     assert gap(fair) <= gap(plain) and gap(fair) < 0.1
     assert fair.score("women are here") < 0.5 < fair.score("you idiot scum")
 
 
+def test_toxicity_learns_from_swaps_on_documents(spark, sf01):
+    docs, labels = (spark.read.parquet(f"{sf01}/{t}.parquet") for t in ("documents", "labels"))
+    bags, marks = toxicity.sample(docs, labels.select("doc_id", labels.toxic.alias("label")))
+    pairs = toxicity.counterfactuals(bags, marks)
+    assert len(pairs) > 100 and max(map(len, bags)) > 800
+    fair = toxicity.fitted(bags, marks)
+    assert toxicity.mean_change(fair, bags, pairs) < 0.05
+    out = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in out]) > 0.9
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_query_edges(spark):
     rows = [(i, f"you {'idiot scum moron' if i % 2 else 'kind good person'} w{i}", "x", "en", "s") for i in range(200)] + [(900, None, "x", None, None), (901, "", "x", None, None), (None, "hello", "x", None, None)]
     docs = spark.createDataFrame(rows, DOCS)

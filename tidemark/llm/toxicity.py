@@ -56,8 +56,8 @@ KIND = {term: kind for kind in IDENTITY for term in kind}
 #: Lengths of n-grams; how many labelled texts a part must occur in, about; the evidence below which a word adds nothing.
 GRAMS, RARE, FLOOR = (4, 5), 10, 0.5
 #: Stand-ins: least letters, least texts of either label, most ratio between the labels' rates, terms of a kind.
-LETTERS, COMMON, EVEN, GROUP = 4, 5, 1.3, 4
-SWAPS, PENALTY, DECAY, STEPS, RATE = 3, 0.5, 2e-3, 90, 0.15
+LETTERS, COMMON, EVEN, GROUP = 4, 5, 3.0, 4
+SWAPS, PENALTY, DECAY, STEPS, RATE = 3, 5.0, 2e-3, 90, 0.15
 #: Words each worker remembers before it starts afresh.
 REMEMBERED = 300_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -171,14 +171,12 @@ def fitted(bags: list[set[str]], labels: list[int], *, penalty: float = PENALTY,
         slope = balance * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y)
         change = docs.sums(value)[source] - turned.sums(value) if len(pairs) else np.zeros(0)
         push = 2 * penalty * change / max(1, len(pairs))
+        to_words = loss = docs.back(slope)
         if len(pairs):
-            to_docs = np.bincount(source, push, len(bags))
-            to_words = docs.back(slope + to_docs) - turned.back(push)
-        else:
-            to_words = docs.back(slope)
+            to_words = loss + docs.back(np.bincount(source, push, len(bags))) - turned.back(push)
         # at first, a word without evidence yet still learns when the loss asks for more
-        open_to = (raw > 0) | (to_words < 0) & (step <= steps // 2)
-        grad = np.append(grams.back(np.where(open_to, to_words, 0)), slope.sum())
+        to_parts = np.where(raw > 0, to_words, np.where((loss < 0) & (step <= steps // 2), loss, 0))
+        grad = np.append(grams.back(to_parts), slope.sum())
         grad[:-1] += DECAY * theta[:-1]
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
