@@ -13,23 +13,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import ship, table
+from tidemark.llm.common import table, texts_mapped
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries each worker remembers of chunks and of token pairs before it starts afresh.
-REMEMBERED = 200_000
+#: Entries of words and of token pairs in one generation of a worker's memory.
+REMEMBERED = 100_000
 #: Spaces between two such characters always start a new piece, so texts can be cut there first.
 BETWEEN_WORDS = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ]) (?=[!-~À-ÖØ-öø-ÿ])")
+CLOSED = re.compile(r"[!-~À-ÖØ-öø-ÿ]").match
 #: White space as the tokenizer's pattern means it: the Unicode property, without the separators U+001C to U+001F.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -62,62 +61,152 @@ class Recent(dict):
         return value
 
 
+class Suffixes:
+    """For every place of a string the longest token that ends there, and from a token the next shorter one."""
+
+    def __init__(self):
+        self.goto: dict[int, int] = {}
+        self.token, self.fail = [-1], [0]
+        self.size: dict[int, int] = {}
+        self.shorter: dict[int, int] = {}
+        self.steps = Recent(REMEMBERED, self._step)
+
+    def add(self, spelled: str, rank: int) -> None:
+        at = 0
+        for byte in spelled.encode("latin-1"):
+            after = self.goto.get(at << 8 | byte)
+            if after is None:
+                after = self.goto[at << 8 | byte] = len(self.token)
+                self.token.append(-1)
+                self.fail.append(0)
+            at = after
+        self.token[at] = rank
+        self.size[rank] = len(spelled)
+
+    def _step(self, key: int) -> int:
+        at, byte = key >> 8, key & 255
+        while (after := self.goto.get(at << 8 | byte)) is None:
+            if not at:
+                return 0
+            at = self.fail[at]
+        return after
+
+    def link(self) -> None:
+        """Where to go on when a byte does not fit, from short prefixes to long ones."""
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, after in self.goto.items():
+            below.setdefault(key >> 8, []).append((key & 255, after))
+        level = [0]
+        while level:
+            deeper = []
+            for at in level:
+                for byte, after in below.get(at, ()):
+                    back = self.fail[after] = self._step(self.fail[at] << 8 | byte) if at else 0
+                    if self.token[after] >= 0:
+                        self.shorter[self.token[after]] = self.token[back]
+                    else:
+                        self.token[after] = self.token[back]
+                    deeper.append(after)
+            level = deeper
+
+
 class PrefixTable:
-    """Last valid token of every prefix of a byte string, for one vocabulary of ranks."""
+    """Last valid token of every prefix of a byte string, for one vocabulary of ranks.
+
+    Byte strings are handled as text of the same code points, one for each byte, which is what the
+    automaton that finds all tokens ending at a place reads.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.base = max(self.tokens) + 1
-        #: Only a token whose own bytes merge into it can end an encoding.
-        self.whole = {token: rank for token, rank in ranks.items() if self.merged(token) == [rank]}
-        self.follows = Recent(REMEMBERED, lambda pair: self.apart(*divmod(pair, self.base)))
-        #: The state after the first bytes of pieces, which many pieces share.
-        self.begun = Recent(REMEMBERED // 4, lambda data: self.extend(data, [0]))
-
-    def merged(self, data: bytes) -> list[int]:
-        """Ranks after merging the lowest-ranked neighbours, leftmost first; for short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        rank, none = self.ranks.get, self.base if hasattr(self, "base") else 1 << 60
+        self.spelled = {rank: token for token, rank in self.ranks.items()}
+        self.longest, self.none = max(map(len, ranks)), max(self.tokens) + 1
+        #: Of each token of several bytes the two parts of its last merge.
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.suffixes = Suffixes()
+        for token, rank in self.ranks.items():
+            merged, last = self.merged(token)
+            if merged == [rank]:  # only a token whose own bytes merge into it can end an encoding
+                self.suffixes.add(token, rank)
+                if last:
+                    self.halves[rank] = last
+        self.suffixes.link()
+        #: Whether merges come by rising rank: then two tokens' last merges tell whether they stay apart.
+        self.rising = all(max(pair) < rank or len(self.spelled[rank]) == 2 for rank, pair in self.halves.items()) and all(
+            part in self.halves or len(self.spelled[part]) == 1 for pair in self.halves.values() for part in pair
+        )
+        self.follows = Recent(REMEMBERED, lambda pair: self.apart(*divmod(pair, self.none)))
+
+    def merged(self, data: str) -> tuple[list[int], tuple[int, int] | None]:
+        """Ranks after merging the lowest-ranked neighbours, leftmost first, and the last pair merged; for short strings."""
+        parts, last = list(data), None
+        rank, none = self.ranks.get, self.none
         pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
         while pairs and (best := min(pairs)) != none:
             i = pairs.index(best)
+            last = parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del pairs[i]
             if i:
                 pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
             if i < len(pairs):
                 pairs[i] = rank(parts[i] + parts[i + 1], none)
-        return [self.ranks[p] for p in parts]
+        return [self.ranks[p] for p in parts], last and (self.ranks[last[0]], self.ranks[last[1]])
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether merging keeps these two tokens apart when they are neighbours."""
-        return self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        """Whether merging keeps these two tokens apart when they are neighbours.
+
+        Going back in time, the later of both tokens' last merges is undone again and again. What then
+        touches at the border were neighbours at that time, and would have merged if a token of theirs
+        came before the next merge of either.
+        """
+        spelled = self.spelled
+        if not self.rising:
+            return self.merged(spelled[left] + spelled[right])[0] == [left, right]
+        rank, halves, none = self.ranks.get, self.halves.get, self.none
+        until_left = until_right = none
+        while True:
+            joint = rank(spelled[left] + spelled[right], none)
+            if joint < until_left and joint <= until_right and joint != none:
+                return False
+            parts_left, parts_right = halves(left), halves(right)
+            if parts_left and (not parts_right or left > right):
+                until_left, left = left, parts_left[1]
+            elif parts_right:
+                until_right, right = right, parts_right[0]
+            else:
+                return True
 
-    def extend(self, data: bytes, last: list[int]) -> list[int]:
+    def extend(self, data: str, last: list[int]) -> list[int]:
         """Fill ``last`` (one token per prefix already known, entry 0 unused) up to all of ``data``."""
-        whole, follows, base, longest = self.whole.get, self.follows, self.base, self.longest
-        for end in range(len(last), len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = whole(data[start:end])
-                if token is not None and (not start or follows[last[start] * base + token]):
-                    last.append(token)
+        steps, longest_token, shorter, size_of = self.suffixes.steps, self.suffixes.token, self.suffixes.shorter, self.suffixes.size
+        follows, base, known, state = self.follows, self.none, len(last) - 1, 0
+        for c in data[max(0, known - self.longest) : known]:
+            state = steps[state << 8 | ord(c)]
+        for end, byte in enumerate(data[known:].encode("latin-1"), known + 1):
+            state = steps[state << 8 | byte]
+            token = longest_token[state]
+            while token >= 0:
+                start = end - size_of[token]
+                if not start or follows[last[start] * base + token]:
                     break
-            else:
+                token = shorter[token]
+            if token < 0:
                 raise ValueError("the ranks do not cover every byte")
+            last.append(token)
         return last
 
     def append(self, data: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """Exact state after appending; no earlier entry changes."""
-        return data + more, self.extend(data + more, list(last))
+        return data + more, self.extend((data + more).decode("latin-1"), list(last))
 
     def edit(self, data: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
         """State after replacing ``data[start:end]``: work stops once the old entries line up again."""
         out, shift = data[:start] + new + data[end:], len(new) - (end - start)
-        state, same = last[: start + 1], 0
+        state, same, text = last[: start + 1], 0, out.decode("latin-1")
         for at in range(start + 1, len(out) + 1):
-            self.extend(out[:at], state)
+            self.extend(text[:at], state)
             before = at - shift
             same = same + 1 if before > end and state[at] == last[before] else 0
             if same >= self.longest:
@@ -125,19 +214,19 @@ class PrefixTable:
         return out, state
 
     def walk(self, last: list[int]) -> list[int]:
-        ids, at = [], len(last) - 1
+        ids, at, spelled = [], len(last) - 1, self.spelled
         while at > 0:
-            ids.append(last[at])
-            at -= len(self.tokens[last[at]])
+            token = last[at]
+            ids.append(token)
+            at -= len(spelled[token])
         return ids[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        token = self.ranks.get(data)
+        spelled = data.decode("latin-1")
+        token = self.ranks.get(spelled)
         if token is not None:
             return [token]
-        if len(data) <= 8:
-            return self.walk(self.extend(data, [0]))
-        return self.walk(self.extend(data, list(self.begun[data[:8]])))
+        return self.walk(self.extend(spelled, [0]))
 
 
 class Encoder:
@@ -145,24 +234,36 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.prefixes = PrefixTable(ranks)
-        split = piece_pattern(pattern).findall
-        self._pieces = Recent(REMEMBERED // 2, lambda piece: tuple(self.prefixes.encode_piece(piece.encode())))
-        self._chunks = Recent(REMEMBERED, lambda chunk: self._whole_chunk(split(chunk)))
-
-    def _whole_chunk(self, pieces: list[str]) -> tuple[int, ...]:
-        if len(pieces) == 1 and len(pieces[0]) <= 64:
-            return self._pieces[pieces[0]]
-        encode = self.prefixes.encode_piece
-        return tuple(chain.from_iterable(self._pieces[p] if len(p) <= 64 else encode(p.encode()) for p in pieces))
+        self.split = piece_pattern(pattern).findall
+        self._words, self._others = Recent(2 * REMEMBERED, self._word), Recent(REMEMBERED // 4, self._piece)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.prefixes.encode_piece(piece.encode()))
+
+    def _pieces(self, text: str) -> tuple[int, ...]:
+        known, others = self._words.__getitem__, self._others.__getitem__
+        make = lambda p: self._piece(p) if len(p) > 64 else known(p[1:]) if p[0] == " " and p[1:].isalpha() and CLOSED(p[1]) and CLOSED(p[-1]) else others(p)
+        return tuple(chain.from_iterable(map(make, self.split(text))))
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a space and ``word``, for what stands between two spaces; () if it does not stand for itself."""
+        if not (CLOSED(word[:1]) and CLOSED(word[-1:])):
+            return ()
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1] in ",.;:!?" and word[:-1].isalpha() and CLOSED(word[-2]):
+            return self._words[word[:-1]] + self._others[word[-1]]
+        return self._pieces(" " + word)
 
     def encode(self, text: str) -> list[int]:
+        first, *rest = text.split(" ")
+        if CLOSED(first[-1:]) and (not rest or max(map(len, rest)) <= 200):
+            parts = list(map(self._words.__getitem__, rest))
+            if all(parts):
+                return list(chain(self._pieces(first), chain.from_iterable(parts)))
         first, *rest = BETWEEN_WORDS.split(text)
-        known = self._chunks.__getitem__ if max(map(len, rest), default=0) <= 200 else self._long
-        return list(chain(self._long(first), chain.from_iterable(map(known, [" " + word for word in rest]))))
-
-    def _long(self, chunk: str) -> tuple[int, ...]:
-        """As the memory of chunks, which keeps no long ones."""
-        return self._chunks[chunk] if len(chunk) <= 200 else self._chunks.make(chunk)
+        known = self._words.__getitem__
+        return list(chain(self._pieces(first), chain.from_iterable(len(w) <= 200 and known(w) or self._pieces(" " + w) for w in rest)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.prefixes.tokens.__getitem__, ids))
@@ -186,36 +287,24 @@ def encode_documents(df: DataFrame, path: str | None = None, *, text: str = "tex
     (about 1 MB, fixed) is read on the driver and broadcast.
     """
     spark = df.sparkSession
-    ship(spark)
     table_of_ranks, pattern = read_ranks(path or public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
     key = hashlib.sha256(repr((sorted(table_of_ranks.items()), pattern)).encode()).hexdigest()
     ranks = spark.sparkContext.broadcast(table_of_ranks)
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    extra = [T.StructField("n_tokens", T.LongType())]
-    if with_ids:
-        extra.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    extra += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    schema = T.StructType(kept.schema.fields[:-1] + extra)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+
+    def work(texts: list[str]) -> list:
         encoder = encoder_for(key, ranks, pattern)
-        names = {i: str(i) for i in encoder.prefixes.tokens}.__getitem__
-        for batch in batches:
-            counts, ids_of, listed, decoded = [], [], [], []
-            for value in batch.pop("_text"):
-                ids = encoder.encode(value)
-                counts.append(len(ids))
-                if with_ids:
-                    ids_of.append(ids)
-                listed.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-            batch["n_tokens"] = counts
-            if with_ids:
-                batch["ids"] = pd.Series(ids_of, index=batch.index, dtype=object)
-            batch["ids_sha256"], batch["decoded_sha256"] = listed, decoded
-            yield batch
-
-    return kept.mapInPandas(run, schema)
+        counts, ids_of, listed, decoded = [], [], [], []
+        for value in texts:
+            ids = encoder.encode(value)
+            counts.append(len(ids))
+            ids_of.append(np.array(ids, dtype=np.int32) if with_ids else None)
+            listed.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+        return [counts, ids_of, listed, decoded] if with_ids else [counts, listed, decoded]
+
+    ids = "ids array<int>, " if with_ids else ""
+    return texts_mapped(kept, "_text", f"n_tokens bigint, {ids}ids_sha256 string, decoded_sha256 string", work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
