@@ -31,3 +31,8 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf01():
+    return "/root/testdata/sf0.01"
