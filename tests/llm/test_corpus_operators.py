@@ -170,6 +170,15 @@ def test_mixed_documents_take_what_the_plan_says(spark):
     assert got == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixed_documents_count_rows_not_ids(spark):
+    texts = [f"w{i} " * (20 + i % 9) for i in range(90)]
+    rows = [(None if i % 3 == 0 else i // 4, t, "en", "abc"[i % 3], len(t), "clash", 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mixed_documents(df.withColumnRenamed("fp", "_row")).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in mixing.mix(df).collect())
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_top_products_match_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [list(map(float, rng.normal(0, 1 + 3 * (i % 7 == 0), 8))) for i in range(260)] + [[0.5] * 8] * 60 + [[0.0] * 8] * 5

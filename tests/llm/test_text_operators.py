@@ -234,14 +234,20 @@ def test_toxicity_query_edges(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind", 0), (1, 1, "anna", "hi <|end|>", 0), (1, 2, "ben", None, 0), (1, 2, "ben", None, 0), (2, 0, "system", "alone", 0), (None, 0, None, "x", 0)]
+    rows = [(1, 0, "system", "be kind", 0), (1, 1, "anna", "hi <|end|>", 0), (1, 2, "ben", None, 0), (1, 2, "ben", None, 0), (2, 0, "system", "alone", 0), (None, 0, None, "x", 0), (None, 0, "anna", "y", 0)]
+    rows += [(3, 0, "a|b", "one", 0), (3, 1, "a_b", "two", 0), (3, 1, "a_b", "three", 0), (3, None, "", "z" * 40000, 0)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, perspective int")
     out = chat.rotate(df).collect()
-    assert len(out) == 4 * 2 + 1
+    assert len(out) == 4 * 2 + 2 + 4 * 3
     for r in out:
         trained = r.piece[r.mask_start : r.mask_end]
         assert (trained.endswith("<|end|>")) == bool(r.trained) and (r.speaker == r.perspective) == bool(r.trained)
-        if r.speaker == "anna":
+        if r.speaker == "anna" and r.conv_id:
             assert "< |end|>" in r.piece
             assert r.piece.startswith("<|assistant|>" if r.perspective == "anna" else "<|user name=anna|>")
-    assert {r.perspective for r in out} == {"anna", "ben", "unknown"}
+    assert {r.perspective for r in out if r.conv_id == 3} == {"a|b", "a_b", ""}
+    whole = {(r.conv_id, r.perspective): r for r in chat.dialogues(chat.rotate(df).where("conv_id is not null")).collect()}
+    view = whole[3, "a_b"]
+    assert view.dialogue == "<|user name=a_b|>\none<|end|>\n<|assistant|>\nthree<|end|>\n<|assistant|>\ntwo<|end|>\n<|user name=unknown|>\n" + "z" * 40000 + "<|end|>\n"
+    assert [view.dialogue[m.start : m.end] for m in view.masks] == ["three<|end|>", "two<|end|>"]
+    assert chat.rotate(df.limit(0)).count() == 0

@@ -16,22 +16,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut, narrow, table
+from tidemark.llm.common import WORD, cut, narrow, parts_for, shared_folder, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Words in a block; slots in an output shard; documents that one chunk of a source's stream holds, about.
 BLOCK, SLOTS, CHUNK = 64, 16384, 1024
 ROUNDS = 12
+#: Slots that one task makes, about.
+EACH = 50_000
 #: Most source rows that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
 
-def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(row, doc_id, source, size): words of each document, with a row number that stays."""
-    docs = narrow(df, doc_id=doc_id, text=text, source=source)
+def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size): words of each document, with a row number that stays, or the one it has."""
+    docs = narrow(df, doc_id=doc_id, text=text, source=source, **({"row": row} if row else {}))
+    docs = docs if row else docs.withColumn("row", F.monotonically_increasing_id())
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size")))
+    return cut(docs.select("row", "doc_id", "source", size.alias("size")))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -123,7 +126,8 @@ def shard_slots(spark: SparkSession, sources: DataFrame) -> DataFrame:
     share = sources.select("sid", "blocks", "draws")
     kept = drawn.join(small(share, BROADCAST_SOURCES), "sid").select("shard", "sid", "blocks", "first", F.least(F.col("first") + F.col("n"), "draws").alias("end"))
     short = share.join(totals, "sid", "left").select(F.lit(shards).cast("long").alias("shard"), "sid", "blocks", F.coalesce("got", F.lit(0)).alias("first"), F.col("draws").alias("end"))
-    runs = kept.unionByName(short).where("first < end").repartition("sid", "shard")
+    # few rows that make many: dealt out by their number, which adaptive execution leaves alone
+    runs = kept.unionByName(short).where("first < end").repartition(parts_for(sources, wanted, EACH), "sid", "shard")
     return runs.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("slot"))
 
 
@@ -158,22 +162,28 @@ def mixed_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """The mix itself, with all columns of ``df``: a row for each time that some of a document is taken.
 
     A row's text is the words of the document's blocks that are taken so often, the text itself where
-    those are all. Ids have to be unique and not null.
+    those are all. Rows are numbered and written to the shared folder first, so null and repeated ids do
+    no harm: each row is a document.
     """
-    spark = df.sparkSession
-    sizes = sized(df, doc_id, text, source)
+    spark, columns, row = df.sparkSession, df.columns, "_row"
+    while row in columns:
+        row += "_"
+    folder = shared_folder(spark)
+    df.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+    df = spark.read.parquet(folder)
+    sizes = sized(df, doc_id, text, source, row)
     sources = targets(sizes)
     docs = cut(placed(sizes, sources))
     hits = pieces(docs).join(block_draws(spark, sources), ["sid", "block"], "left").select("row", "block", F.coalesce("drawn", F.lit(0)).alias("drawn"))
     lists = hits.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "drawn"))), lambda x: x["drawn"]).alias("_drawn"))
-    plan = docs.join(lists, "row").where("array_max(_drawn) > 0").select(F.col("doc_id").alias("_id"), (F.col("start") % BLOCK).alias("_skip"), "_drawn")
-    taken = df.join(plan, F.col(f"`{doc_id}`") == F.col("_id")).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("_drawn"))))
+    plan = docs.join(lists, "row").where("array_max(_drawn) > 0").select(F.col("row").alias("_id"), (F.col("start") % BLOCK).alias("_skip"), "_drawn")
+    taken = df.join(plan, F.col(row) == F.col("_id")).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("_drawn"))))
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
     some = F.filter(words, lambda w, i: F.get("_drawn", F.floor((i + F.col("_skip")) / BLOCK).cast("int")) >= F.col("_turn"))
     chosen = F.when(F.array_min("_drawn") >= F.col("_turn"), F.col(f"`{text}`")).otherwise(F.array_join(some, " "))
     out = taken.withColumn("_text", chosen)
     pick = {text: F.col("_text"), n_chars: F.char_length("_text").cast("bigint")}
-    return out.select([(pick[c] if c in pick else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return out.select([(pick[c] if c in pick else F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
