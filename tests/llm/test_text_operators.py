@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, fingerprint, language, pii, toxicity
 
@@ -117,12 +118,36 @@ def test_base_spans_equal_plain_patterns(spark):
 
 
 def test_added_spans_and_redaction(spark):
-    rows = [(1, "mail: anna.k (at) post (dot) de now", "e", "en", "s"), (2, "the order 10.10.2024 was fine", "e", "en", "s"), (3, "a@b.cd", "e", "en", "s"), (4, None, "e", None, None)]
-    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "char_length(text) AS n_chars")
-    spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
-    assert spans[1].startswith("email:6:") and spans[2] == "" and spans[3] == "email:0:6" and spans[4] == ""
-    out = {r.doc_id: r for r in pii.redacted(df.selectExpr("doc_id", "text", "lang", "source", "n_chars")).collect()}
-    assert out[3].text == "[EMAIL]" and out[3].n_chars == 7 and out[1].text == "mail: [EMAIL] now" and out[2].text == rows[1][1]
+    texts = {1: "mail: anna.k (at) post (dot) de now", 2: "the order 10.10.2024 was fine", 3: "a@b.cd", 4: None, 5: 'un token = "2321bac4d15ec8f90433955bf9d3cf9c01aa77ee" les', 6: "call 415-555-0132, thanks"}
+    texts |= {7: "commit 2321bac4d15ec8f90433955bf9d3cf9c01aa77ee", 8: "server 2001:db8::1f and", 9: "card 4111\u00a01111\u00a01111\u00a01111.", 10: "at 12:30:45 sharp", 11: "plain words " * 9000}
+    df = spark.createDataFrame([(k, t, "e", "en", "s") for k, t in texts.items()], DOCS).selectExpr("*", "char_length(text) AS n_chars")
+    out = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert out[1].spans.startswith("email:6:") and out[3].spans == "email:0:6" and out[6].spans.startswith("phone:5:") and out[9].spans.startswith("card:5:") and out[8].spans.startswith("ip:7:")
+    assert out[5].secrets == "secret:12:52" and out[5].n_added == 1
+    assert all(not out[k].spans and not out[k].secrets for k in (2, 4, 7, 10, 11))
+    clean = {r.doc_id: r for r in pii.redacted(df.selectExpr("doc_id", "text", "lang", "source", "n_chars")).collect()}
+    assert clean[3].text == "[EMAIL]" and clean[3].n_chars == 7 and clean[1].text == "mail: [EMAIL] now" and clean[2].text == texts[2] and '"[SECRET]"' in clean[5].text
+    assert pii.digest(df.limit(0)).count() == 0
+
+
+def test_added_spans_keep_apart(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(120):
+        spans = lambda n, kinds: sorted((s := rng.randrange(60), rng.choice(kinds), s + rng.randint(1, 9)) for _ in range(rng.randint(0, n)))
+        rows.append((spans(4, range(4)), spans(6, range(5))))
+    df = spark.createDataFrame(rows, f"base {pii.SPANS}, more {pii.SPANS}")
+    for r in df.select("base", "more", pii.apart(F.col("base"), F.col("more")).alias("out")).collect():
+        kept = [tuple(x) for x in r.out]
+        clash = lambda x, y: x[0] < y[2] and y[0] < x[2]
+        assert not any(clash(x, tuple(y)) for x in kept for y in r.base) and not any(clash(x, y) for i, x in enumerate(kept) for y in kept[:i])
+        for x in map(tuple, r.more):  # what is left out clashes with something
+            assert x in kept or any(clash(x, y) for y in [*map(tuple, r.base), *kept, *map(tuple, r.more)] if y != x)
+
+
+def test_trees_add_spans_to_documents(spark, sf01):
+    out = pii.digest(spark.read.parquet(f"{sf01}/documents.parquet")).collect()
+    assert sum(r.n_added for r in out) >= 10 and sum(r.n_added > 0 for r in out) < 0.1 * len(out)
 
 
 def test_fingerprints(spark):
