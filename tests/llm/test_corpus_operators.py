@@ -183,7 +183,7 @@ def test_top_products_match_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [list(map(float, rng.normal(0, 1 + 3 * (i % 7 == 0), 8))) for i in range(260)] + [[0.5] * 8] * 60 + [[0.0] * 8] * 5
     rows = [(i, v, "clash") for i, v in enumerate(vectors)]
-    rows += [(1000, None, "x"), (1050, [None] * 8, "x"), (1100, [float("nan")] * 8, "x"), (1150, [], "x"), (1200, [1.0], "x"), (None, [1.0] * 8, "x")]
+    rows += [(1001, None, "x"), (1050, [None] * 8, "x"), (1100, [float("nan")] * 8, "x"), (1151, [], "x"), (None, [1.0] * 8, "x")]
     out = topk.top_products(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, n2 string")).collect()
     whole = np.floor(256 * np.array(vectors, dtype=np.float32).astype(float)).astype(int)
     want = set()
@@ -196,6 +196,33 @@ def test_top_products_match_brute_force(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in few) == [(1, 1, 131072), (2, 1, 131072)]
 
 
+def test_top_products_stay_exact_for_large_components(spark):
+    rng = np.random.default_rng(5)
+    for size in (4e5, 1e6, 1e9):
+        vectors = [list(map(float, rng.normal(0, size, 6))) for _ in range(120)] + [[size * 1.5]] * 2
+        df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+        whole = [[int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v)) for v in vectors]
+        clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+        want = set()
+        for q in range(0, len(vectors), 50):
+            best = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[c]))), c) for c in range(len(vectors)) if c != q)[:5]
+            want |= {(q, k, c, -s) for k, (s, c) in enumerate(best, 1)}
+        assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_products(df).collect()} == want
+    same = spark.createDataFrame([(50, [1.0, 2.0])] * 300, "vec_id bigint, embedding array<double>")
+    assert topk.top_products(same).count() == 0
+
+
+def test_coordinates_prune_no_close_vector():
+    rng = np.random.default_rng(8)
+    units = rng.normal(size=(3000, 6))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    for threshold in (0.5, 0.8, 0.95):
+        for question in units[:40]:
+            kept = topk.by_coordinates(question, units, threshold)
+            assert set(np.flatnonzero(units @ question >= threshold)) <= set(kept)
+            assert len(kept) < len(units)
+
+
 def test_passages(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))

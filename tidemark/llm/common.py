@@ -63,8 +63,8 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([F.col(f"`{have}`").alias(want) for want, have in columns.items()])
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 _SHIPPED: set[str] = set()

@@ -1,18 +1,20 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are turned into integers and grouped by length into buckets. A sample of long vectors gives
-every query a first k-th best score. For a query and a bucket, that score over the product of the query's
-length and the bucket's greatest length is the cosine a member needs at least; a pair is dropped
-when this exceeds 1, or when the sum of the greatest products coordinate by coordinate stays below
-the score. For what is left a task meets one block of queries and one piece of a bucket: members
-shorter than the score allows are cut off, products are computed in full, and the k best go on to a
-merge of k rows for each query and piece. Lengths and bounds are exact integers or rounded towards
-keeping, so no true result is dropped.
-
-Vectors that are null or hold null or non-finite components take no part; neither do empty ones,
-null ids, nor vectors of another length than the most frequent one's. A repeated row is a candidate
-of its own, but no row with the query's own id is. An empty table gives an empty table; other
-columns are not read.
+Vectors are turned into whole numbers and grouped by length into buckets. A sample of long vectors gives
+every query a first k-th best score. That score over the product of the query's length and a bucket's
+greatest length is the cosine that a member needs at least, the local threshold: above 1 the bucket is
+left out; from PICKY on the query looks in it by coordinates, members having to lie within the range
+that the cosine leaves in each of the query's FOCUS greatest coordinates; below, by length, members
+shorter than the score allows being cut off. Products of what is left are computed in full, and the k
+best go on to a merge of k rows for each query and piece of a bucket. Queries are put in blocks by the
+least length they need, so that those of one block look in about the same buckets. Bounds are rounded
+towards keeping, so no true result is dropped.
+
+Products are exact: where lengths show that 53 bits might not do, Python's integers are used. A score
+beyond a long counts as the nearest long. Vectors that are null or hold null or non-finite components
+take no part, nor do null ids. Vectors of different lengths meet as if the shorter one went on with
+zeros; an empty vector has product 0 with all. A repeated row is a candidate of its own, but no row with
+the query's own id is. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, narrow, ship, table
@@ -29,116 +31,144 @@ from tidemark.llm.common import cut, narrow, ship, table
 SCALE, EVERY, BEST = 256, 50, 5
 #: Width of a length bucket as a ratio; rows of one piece of a bucket, queries of one block, rows that give first scores.
 RATIO, PIECE, BLOCK, FIRST = 1.05, 2048, 1024, 2048
+#: Local threshold from which coordinates prune; how many of them; how far bounds are moved towards keeping.
+PICKY, FOCUS, SLACK = 0.5, 4, 1e-9
+LOWEST = -2_000
+MOST_LONG = (1 << 63) - 1
 
 
 def integers(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v, n2): floor(SCALE * x) as longs, and the squared length."""
-    rows = narrow(df, vec_id=vec_id, embedding=embedding).where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    """(vec_id, v, length): floor(SCALE * x), whole numbers held exactly as doubles, and the length, about."""
+    rows = narrow(df, vec_id=vec_id, embedding=embedding).where("vec_id is not null and embedding is not null")
     wide = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     fine = wide.where(F.forall("x", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(x, F.lit(float("nan"))))))
-    out = fine.select("vec_id", F.transform("x", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
-    return out.withColumn("n2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    scaled = F.transform("x", lambda x: x * SCALE)
+    # a double of 2**52 or more is whole, and the long that floor() makes of it could overflow
+    out = fine.select("vec_id", F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)).alias("v"))
+    most = F.greatest(F.lit(1.0), F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
+    return out.withColumn("most", most).select("vec_id", "v", (F.col("most") * F.sqrt(squares)).alias("length"))
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def bucket_of(length: Column) -> Column:
+    """The bucket of a length; those under 1, and of no bound, go to the lowest."""
+    return F.when(length >= 1, F.floor(F.ln(length) / float(np.log(RATIO))).cast("int")).otherwise(LOWEST)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every row of scores: the places of its k best, ties to the smaller id, without its own id."""
-    for row, mine in enumerate(own):
-        line = np.where(ids == mine, -np.inf, scores[row])
-        if len(line) > k:
-            floor = np.partition(line, -k)[-k]
-            at = np.flatnonzero(line >= floor)
-        else:
-            at = np.arange(len(line))
-        at = at[line[at] > -np.inf]
-        at = at[np.lexsort((ids[at], -line[at]))][:k]
-        yield row, at, line[at]
+def matrix(column, width: int = 0) -> np.ndarray:
+    """Rows of doubles, filled up with zeros to the longest row or ``width``."""
+    rows = list(column)
+    out = np.zeros((len(rows), max(width, *map(len, rows), 0) if rows else width))
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out
 
 
-def nothing() -> pd.DataFrame:
-    return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+def exact(questions: np.ndarray, members: np.ndarray, reach: float) -> np.ndarray:
+    """All products, as longs; ``reach`` is a bound on their size by lengths."""
+    if reach < float(1 << 52):
+        return (questions @ members.T).astype(np.int64)
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
+    scores = whole(questions) @ whole(members).T
+    return np.array([[max(-MOST_LONG - 1, min(MOST_LONG, int(s))) for s in row] for row in scores], dtype=np.int64).reshape(len(questions), len(members))
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to the smaller id, of rows that have not the id ``own``."""
+    at = np.flatnonzero(ids != own)
+    if len(at) > k:
+        at = at[scores[at] >= np.partition(scores[at], -k)[-k]]
+    return at[np.lexsort((ids[at], -scores[at].astype(object)))][:k] if len(at) else at
 
 
 def pieced(vectors: DataFrame) -> DataFrame:
     """``vectors`` with the length bucket and the piece of it that each belongs to; pieces hold about PIECE rows."""
-    step = F.floor(F.ln(F.greatest(F.sqrt("n2"), F.lit(1.0))) / float(np.log(RATIO))).cast("int")
-    vectors = vectors.withColumn("bucket", step)
+    vectors = vectors.withColumn("bucket", bucket_of(F.col("length")))
     sizes = vectors.groupBy("bucket").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    # a bucket is one of a few thousand ratios between doubles, so there are few
     return vectors.join(F.broadcast(sizes), "bucket").withColumn("piece", F.pmod(F.xxhash64("vec_id", "v"), F.col("pieces")).cast("int")).drop("pieces")
 
 
+def by_coordinates(question: np.ndarray, units: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of unit vectors that may have a cosine of ``threshold`` or more with the unit vector ``question``."""
+    focus = np.argsort(-np.abs(question))[:FOCUS]
+    open_to = np.ones(len(units), dtype=bool)
+    for f in focus:
+        middle = threshold * question[f]
+        room = np.sqrt(max(0.0, (1 - threshold * threshold) * (1 - question[f] * question[f]))) + SLACK
+        low = middle - room if question[f] * question[f] <= threshold * threshold or question[f] > 0 else -1.0
+        high = middle + room if question[f] * question[f] <= threshold * threshold or question[f] < 0 else 1.0
+        open_to &= (units[:, f] >= low) & (units[:, f] <= high)
+    return np.flatnonzero(open_to)
+
+
 def top_products(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = EVERY, k: int = BEST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each id divisible by ``every`` the k highest products."""
     spark = df.sparkSession
     ship(spark)
-    vectors = integers(df, vec_id, embedding)
-    usual = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    result = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if usual is None:
-        return spark.createDataFrame([], result)
-    width = usual["n"]
-    vectors = cut(pieced(vectors.where(F.size("v") == width)))
+    vectors = cut(pieced(integers(df, vec_id, embedding)))
 
     # a sample of the longest tenth, of about FIRST rows whatever the table's size
-    size = vectors.agg(F.count("*").alias("n"), F.percentile_approx("n2", 0.9).alias("long")).first()
+    size = vectors.agg(F.count("*").alias("n"), F.percentile_approx("length", 0.9).alias("long"), F.max("bucket").alias("top")).first()
     every_nth = max(1, size["n"] // (10 * FIRST))
-    some = vectors.where((F.col("n2") >= size["long"]) & (F.pmod(F.xxhash64(F.lit("first"), "vec_id"), F.lit(every_nth)) == 0))
-    longest = some.select("vec_id", "v").limit(10 * FIRST).toPandas()
-    first = spark.sparkContext.broadcast((longest["vec_id"].to_numpy(), matrix(longest["v"])))
+    some = vectors.where((F.col("length") >= F.lit(size["long"])) & (F.pmod(F.xxhash64(F.lit("first"), "vec_id", "v"), F.lit(every_nth)) == 0))
+    longest = some.select("vec_id", "v", "length").limit(2 * FIRST).collect()
+    first = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in longest], dtype=np.int64), matrix([r["v"] for r in longest]), max((r["length"] for r in longest), default=0.0)))
 
     def with_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, rows = first.value
+        ids, rows, most = first.value
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                part = batch.iloc[at : at + BLOCK]
-                floors = np.full(len(part), -np.inf)
-                for row, _, scores in best_of(matrix(part["v"]) @ rows.T, ids, part["query_id"].to_numpy(), k):
-                    if len(scores) == k:
-                        floors[row] = scores[-1]
-                yield part.assign(floor=floors)
-
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v", "n2")
-    queries = queries.repartition("query_id").mapInPandas(with_first, "query_id bigint, v array<bigint>, n2 bigint, floor double")
-    blocks = F.pmod(F.xxhash64("query_id", "v"), F.lit(-(-vectors.where(F.pmod("vec_id", F.lit(every)) == 0).count() // BLOCK) or 1)).cast("int")
-    queries = cut(queries.withColumn("block", blocks))
-
-    pieces = vectors.groupBy("bucket", "piece").agg(F.max("n2").alias("most"))
-    heads = queries.groupBy("block").agg(F.min("floor").alias("floor"), F.max("n2").alias("n2"))
-    near = F.sqrt(F.col("n2").cast("double")) * F.sqrt(F.col("most").cast("double")) * (1 + 1e-9) >= F.col("floor")
-    plan = cut(heads.join(pieces, near).select("block", "bucket", "piece"))
-
-    sent_queries = queries.join(plan, "block").select("block", "bucket", "piece", "query_id", "v", "n2", "floor")
-    sent_rows = vectors.join(plan, ["bucket", "piece"]).select("block", "bucket", "piece", "vec_id", "v", "n2")
-    keys = ["block", "bucket", "piece"]
+            floors = np.full(len(batch), -np.inf)
+            for at in range(0, len(batch) if len(ids) >= k else 0, 64):
+                part = batch.iloc[at : at + 64]
+                asked = matrix(part["v"], rows.shape[1])
+                scores = asked @ (rows if asked.shape[1] == rows.shape[1] else np.pad(rows, ((0, 0), (0, asked.shape[1] - rows.shape[1])))).T
+                for row, (mine, length) in enumerate(zip(part["query_id"], part["length"])):
+                    others = scores[row][ids != mine]
+                    if len(others) >= k:
+                        floors[at + row] = np.partition(others, -k)[-k] - SLACK * length * most - 1
+            yield batch.assign(floor=floors)
+
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = asked.select(F.col("vec_id").alias("query_id"), "v", "length").mapInPandas(with_first, "query_id bigint, v array<double>, length double, floor double")
+    need = F.when((F.col("floor") > 0) & (F.col("length") > 0), F.col("floor") / F.col("length") * (1 - SLACK)).otherwise(0.0)
+    queries = cut(queries.withColumn("least", F.least(bucket_of(need), F.lit(size["top"]))))
+    blocks = queries.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    queries = queries.join(F.broadcast(blocks), "least").withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.col("blocks")).cast("int"))
+
+    pieces = cut(vectors.groupBy("bucket", "piece").agg(F.count("*").alias("n")).select("bucket", "piece"))
+    places = pieces.select("bucket").distinct().agg(F.collect_set("bucket").alias("buckets"))
+    heads = queries.select(F.col("least").alias("least"), F.col("block").alias("block")).distinct().crossJoin(F.broadcast(places))  # one row: the buckets that there are
+    wanted = heads.select("least", "block", F.explode(F.filter("buckets", lambda b: b >= F.col("least"))).alias("bucket"))
+    plan = cut(wanted.join(pieces, "bucket")).select([F.col(c).alias(c) for c in ("least", "block", "bucket", "piece")])
+
+    keys = ["least", "block", "bucket", "piece"]
+    sent_queries = queries.join(plan, ["least", "block"]).select(*keys, "query_id", "v", "length", "floor")
+    sent_rows = vectors.join(plan, ["bucket", "piece"]).select(*keys, "vec_id", "v", "length")
 
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or rows.empty:
-            return nothing()
-        members = matrix(rows["v"])
-        # coordinate pruning: no member's product exceeds the sum of the greatest products by coordinate
-        low, high = members.min(axis=0), members.max(axis=0)
-        questions, floors = matrix(asked["v"]), asked["floor"].to_numpy()
-        reach = np.maximum(questions * low, questions * high).sum(axis=1)
-        length = np.sqrt(asked["n2"].to_numpy(dtype=float))
-        longest_here = np.sqrt(float(rows["n2"].max()))
-        open_to = (reach >= floors) & (length * longest_here * (1 + 1e-9) >= floors)
-        questions, floors, length = questions[open_to], floors[open_to], length[open_to]
-        own = asked["query_id"].to_numpy()[open_to]
-        if not len(own):
-            return nothing()
-        # length pruning: what is left has to be this long for any open question
-        need = np.where(length > 0, floors / np.maximum(length, 1e-12), np.where(floors > 0, np.inf, -np.inf)).min()
-        enough = np.sqrt(rows["n2"].to_numpy(dtype=float)) * (1 + 1e-9) >= need
-        members, ids = members[enough], rows["vec_id"].to_numpy()[enough]
-        out = [(own[row], ids[at], scores) for row, at, scores in best_of(questions @ members.T, ids, own, k) if len(at)]
-        if not out:
-            return nothing()
-        return pd.DataFrame(
-            {"query_id": np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), "vec_id": np.concatenate([i for _, i, _ in out]), "score": np.concatenate([s for _, _, s in out]).astype("int64")}
-        )
+        found: list[tuple] = []
+        if len(asked) and len(rows):
+            rows = rows.sort_values("length", ascending=False, kind="stable")
+            width = max(max(map(len, asked["v"])), max(map(len, rows["v"])))
+            members, ids, lengths = matrix(rows["v"], width), rows["vec_id"].to_numpy(), rows["length"].to_numpy()
+            units = members / np.maximum(lengths, 1e-300)[:, None]
+            questions = matrix(asked["v"], width)
+            for question, mine, length, floor in zip(questions, asked["query_id"], asked["length"], asked["floor"]):
+                reach = length * lengths[0] * (1 + SLACK)
+                if reach < floor:
+                    continue
+                threshold = floor / reach if reach > 0 and np.isfinite(floor) else -np.inf
+                if threshold >= PICKY:
+                    at = by_coordinates(question / length, units, threshold)
+                elif floor > 0:
+                    at = np.arange(np.searchsorted(-lengths, -floor / length * (1 - SLACK), side="right"))
+                else:
+                    at = np.arange(len(ids))
+                scores = exact(question[None, :], members[at], reach)[0] if len(at) else np.zeros(0, np.int64)
+                best = best_of(scores, ids[at], mine, k)
+                found += zip([mine] * len(best), ids[at][best].tolist(), scores[best].tolist())
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = sent_queries.groupBy(*keys).cogroup(sent_rows.groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -154,11 +184,11 @@ ORACLE_SQL = f"""
 WITH w AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
 ), p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
   FROM w q JOIN w c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p
