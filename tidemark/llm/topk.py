@@ -126,7 +126,7 @@ def top_products(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                 for row, (mine, length) in enumerate(zip(part["query_id"], part["length"])):
                     others = scores[row][ids != mine]
                     if len(others) >= k:
-                        floors[at + row] = np.partition(others, -k)[-k] - SLACK * length * most - 1
+                        floors[at + row] = min(np.partition(others, -k)[-k], float(1 << 62)) - SLACK * length * most - 1
             yield batch.assign(floor=floors)
 
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
