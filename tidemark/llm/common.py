@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,11 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where that is unset and
+    all run in one process on one machine, a temporary folder; a cluster without it is an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = Path(tempfile.mkdtemp(prefix="tidemark-")).as_uri()
+        sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
