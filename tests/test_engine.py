@@ -201,24 +201,6 @@ def test_ridge_closed_form_and_constants(spark):
 
 
 ACTIONS = "array<struct<version_id:string,event_type:string,numerator:double,denominator:double,amount:double,payment_date:date>>"
-EVENTS = f"run_id string, idx bigint, trading_date date, symbol string, open double, close double, volume bigint, signal boolean, actions {ACTIONS}"
-
-
-def account(spark, opens, signals, actions=None, **options):
-    rows = [("r", i, d, "X", o, o, 10**6, i in signals, (actions or {}).get(i)) for i, (d, o) in enumerate(zip(weekdays(len(opens)), opens))]
-    settings = {"initial_cash": "1000", "horizon": 1, "costs": {}} | options
-    return {r.idx: r for r in simulation.simulate(spark.createDataFrame(rows, EVENTS), **settings).collect()}
-
-
-def test_account_by_hand(spark):
-    flat = account(spark, [100.0] * 5, {0})
-    assert (flat[4].cash, sum(r.n_fills for r in flat.values())) == ("1000.00", 2)
-    paid = account(spark, [100.0, 100.0, 110.0], {0}, initial_cash="1001", costs={"commission_fixed": "1"})
-    assert (paid[1].cash, paid[2].cash) == ("0.00", "1099.00")
-    split = account(spark, [100.0, 100.0, 50.0, 50.0], {0}, {2: [("s", "split", 2.0, 1.0, None, None)]}, horizon=5)
-    assert split[2].nav == "1000.00" and split[3].n_positions == 1
-    due = account(spark, [100.0, 100.0, 100.0, 100.0], {0}, {2: [("d", "dividend", None, None, 1.0, weekdays(4)[2])]}, horizon=5)
-    assert (due[2].cash, due[2].nav, due[3].cash) == ("0.00", "1010.00", "10.00")
 
 
 def test_quotes_round_half_to_even(spark):

@@ -109,6 +109,36 @@ def clock_guards(evaluation_at: Column, simulation_at: Column, delay_hours: floa
     }
 
 
+def context_guards(evaluation_at: Column, *, currency: str, endpoint_conflicts_only: bool = False) -> dict[str, Column]:
+    """The guards that a label's series, security, coverage and ledger decide.
+
+    Columns: price_kind, n_series, currency, n_conflicts (n_endpoint_conflicts), symbol, state (struct of verified,
+    symbol, listed_from, verified_through, delisted_on, halted_dates), price_semantics, coverage (struct of verified,
+    symbol, available_at), n_foreign_actions, ledger_reason, label_available_at.
+    """
+    state, cover = F.col("state"), F.col("coverage")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    halted = F.array_contains(state["halted_dates"], F.col("entry_date")) | F.array_contains(state["halted_dates"], F.col("exit_date"))
+    return {
+        "close_only": F.col("price_kind") == "close_only",
+        "mixed_series": F.col("n_series") > 1,
+        "currency_mismatch": no(F.col("currency") == currency),
+        "conflict": F.col("n_endpoint_conflicts" if endpoint_conflicts_only else "n_conflicts") > 0,
+        "state_unverified": no(state["verified"]),
+        "state_mismatch": no(state["symbol"] == F.col("symbol")),
+        "delisted": state["delisted_on"] <= F.col("exit_date"),
+        "halted": halted,
+        "prelisting": no(state["listed_from"] <= F.col("entry_date")),
+        "state_uncovered": no(state["verified_through"] >= F.col("exit_date")),
+        "not_as_traded": no(F.col("price_semantics") == "as_traded"),
+        "coverage_missing": no(cover["verified"] & (cover["available_at"] <= evaluation_at)),
+        "coverage_mismatch": no(cover["symbol"] == F.col("symbol")),
+        "action_mismatch": F.col("n_foreign_actions") > 0,
+        "ledger_blocked": F.col("ledger_reason").isNotNull(),
+        "available_late": F.col("label_available_at") > evaluation_at,
+    }
+
+
 def with_status(rows: DataFrame, guards: dict[str, Column]) -> DataFrame:
     """Adds status and reason by the first guard that holds; ready with a null reason if none does."""
     verdict = F.coalesce(

@@ -6,21 +6,46 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA, C, DEPTH, LEAF, SEED = 1.0, 1.0, 3, 8, 7
 MODELS = ("zero", "mean", "frequency", "ridge", "logistic", "tree")
 
 
+def medians(rows: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """Exact medians: values are counted, counts run over value order in range partitions, and the middle
+    one or two values are picked, so no task holds a column."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    counts = rows.select(F.inline(pairs)).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id())
+    ranged = ranged.persist()
+    sums = {}
+    before: dict[str, int] = {}
+    for r in ranged.groupBy("feature", "part").agg(F.sum("n").alias("n")).orderBy("feature", "part").collect():  # a row for each partition
+        sums[r["feature"], r["part"]] = before.get(r["feature"], 0)
+        before[r["feature"]] = before.get(r["feature"], 0) + r["n"]
+    if not sums:
+        return dict.fromkeys(names)
+    offset = F.create_map(*[F.lit(x) for (feature, part), n in sums.items() for x in (f"{feature}|{part}", n)])
+    total = F.create_map(*[F.lit(x) for feature, n in before.items() for x in (feature, n)])
+    along = Window.partitionBy("feature", "part").orderBy("value")
+    upto = F.sum("n").over(along) + offset[F.concat_ws("|", "feature", "part")]
+    placed = ranged.withColumns({"upto": upto, "total": total[F.col("feature")]})
+    middle = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    picked = placed.where(middle(low) | middle(high)).groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median")).collect()
+    ranged.unpersist()
+    return dict.fromkeys(names) | {r["feature"]: r["median"] for r in picked}
+
+
 def preprocess_stats(rows: DataFrame, names: list[str]) -> DataFrame:
-    """feature, n, n_missing, median, mean, std (population, after median imputation), constant: one pass for
-    the medians, one for the moments."""
-    medians = rows.agg(*[F.percentile(n, 0.5).alias(n) for n in names]).first()
+    """feature, n, n_missing, median, mean, std (population, after median imputation), constant."""
+    middle = medians(rows, names)
     stats = []
     for n in names:
-        filled = F.coalesce(F.col(n), F.lit(medians[n]))
-        stats.append(F.struct(F.lit(n).alias("feature"), F.count("*").alias("n"), F.count_if(F.col(n).isNull()).alias("n_missing"), F.lit(medians[n]).cast("double").alias("median"), F.avg(filled).alias("mean"), F.stddev_pop(filled).alias("std"), F.coalesce(F.min(filled) == F.max(filled), F.lit(True)).alias("constant")))
+        filled = F.coalesce(F.col(n), F.lit(middle[n]))
+        stats.append(F.struct(F.lit(n).alias("feature"), F.count("*").alias("n"), F.count_if(F.col(n).isNull()).alias("n_missing"), F.lit(middle[n]).cast("double").alias("median"), F.avg(filled).alias("mean"), F.stddev_pop(filled).alias("std"), F.coalesce(F.min(filled) == F.max(filled), F.lit(True)).alias("constant")))
     return rows.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
@@ -71,5 +96,63 @@ def fit(rows: DataFrame, names: list[str], target: str, model: str):
     return predict
 
 
-def tree_classifier() -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=DEPTH, minInstancesPerNode=LEAF, maxBins=256, seed=SEED)
+def constant(value: float) -> dict:
+    return {"kind": "constant", "value": float(value)}
+
+
+def _nested(node) -> list | float:
+    """A tree as nested lists [place of the feature, threshold, left, right]; a leaf is its value."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        stats = node.impurityStats()
+        counts = [float(stats.stats()[k]) for k in range(len(stats.stats()))]
+        return counts[1] / sum(counts) if len(counts) == 2 else float(node.prediction())
+    split = node.split()
+    return [int(split.featureIndex()), float(split.threshold()), _nested(node.leftChild()), _nested(node.rightChild())]
+
+
+def parameters(rows: DataFrame, names: list[str], target: str, model: str, task: str) -> dict:
+    """What a fitted model is made of, as plain values: kind, medians of missing values and the model's numbers."""
+    if model == "zero":
+        return constant(0.0)
+    if model == "mean":
+        return constant(rows.agg(F.avg(target)).first()[0])
+    if model == "frequency":
+        return constant(rows.agg((F.count_if(F.col(target) > 0) + 1) / (F.count("*") + 2)).first()[0])
+    stats = preprocess_stats(rows, names)
+    used = [r for r in stats.collect() if not r["constant"] and r["median"] is not None]
+    if not used:
+        raise ValueError("no informative feature")
+    data, columns = transform(rows, stats, scale=model != "tree")
+    train = VectorAssembler(inputCols=columns, outputCol="_x").transform(data.withColumn("_y", F.col(target).cast("double"))).select("_x", "_y")
+    inputs = [{"feature": r["feature"], "median": r["median"], "mean": 0.0 if model == "tree" else r["mean"], "scale": 1.0 if model == "tree" else r["std"]} for r in used]
+    if model == "tree":
+        kind = DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor
+        fitted = kind(featuresCol="_x", labelCol="_y", maxDepth=DEPTH, minInstancesPerNode=LEAF, maxBins=256, seed=SEED).fit(train)
+        return {"kind": "tree", "inputs": inputs, "tree": _nested(fitted._call_java("rootNode"))}
+    n, sd = train.agg(F.count("*"), F.stddev_pop("_y")).first()
+    if model == "ridge":
+        fitted = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=ALPHA * (sd or 1.0) / n).fit(train)
+    else:
+        fitted = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (C * n), standardization=False, tol=1e-10, maxIter=200).fit(train)
+    return {"kind": "linear", "inputs": inputs, "link": "logistic" if model == "logistic" else "identity", "weights": [float(w) for w in fitted.coefficients], "intercept": float(fitted.intercept)}
+
+
+def expression(saved: dict) -> Column:
+    """A model's prediction as an expression of the feature columns."""
+    if saved["kind"] == "constant":
+        return F.lit(float(saved["value"]))
+    z = [(F.coalesce(F.col(i["feature"]), F.lit(i["median"])) - i["mean"]) / i["scale"] for i in saved["inputs"]]
+    if saved["kind"] == "linear":
+        total = F.lit(saved["intercept"])
+        for x, w in zip(z, saved["weights"]):
+            total = total + x * w
+        grown = F.exp(-F.abs(total))  # never overflows
+        return total if saved["link"] == "identity" else F.when(total >= 0, 1 / (1 + grown)).otherwise(grown / (1 + grown))
+
+    def walk(node) -> Column:
+        if not isinstance(node, list):
+            return F.lit(float(node))
+        feature, threshold, left, right = node
+        return F.when(z[feature] <= threshold, walk(left)).otherwise(walk(right))
+
+    return walk(saved["tree"])

@@ -301,3 +301,33 @@ def pit_query(versions: DataFrame, links: DataFrame, *, cutoff: Column, policy:
     rows = judged(reasoned, key, policy)
     headed = rows.where("eligible").drop("eligible", "reason")
     return {"reasoned": reasoned, "headed": headed, "data": headed.where("status = 'selected'"), "exclusions": exclusion_counts(rows)}
+
+
+def asked(versions: DataFrame, *, symbols: list[str] | None = None, sources: list[str] | None = None, start: str | None = None, end: str | None = None, symbol_mode: str = "security", date: str = "trading_date") -> DataFrame:
+    """Versions of the asked sources and dates. In ``provider_label`` mode symbols are the providers' own labels;
+    in ``security`` mode they wait for the mapping of symbols to securities (resolve_symbols)."""
+    if symbol_mode not in ("security", "provider_label"):
+        raise ValueError("symbol mode has to be security or provider_label")
+    if start and end and start > end:
+        raise ValueError("the start has to be no later than the end")
+    conditions = [F.col("source").isin(sources)] if sources else []
+    conditions += [F.col("requested_symbol").isin(symbols)] if symbols and symbol_mode == "provider_label" else []
+    conditions += [F.col(date) >= F.lit(start).cast("date")] if start else []
+    conditions += [F.col(date) <= F.lit(end).cast("date")] if end else []
+    for condition in conditions:
+        versions = versions.where(condition)
+    return versions
+
+
+def result_status(headed: DataFrame) -> DataFrame:
+    """One row: n_selected, n_conflicts and the status CONFLICT, OK or EMPTY of a query's eligible versions."""
+    counts = headed.agg(F.count_if(F.col("status") == "selected").alias("n_selected"), F.count_if(F.col("status") == "unresolved_version_conflict").alias("n_conflicts"))
+    return counts.withColumn("status", F.when(F.col("n_conflicts") > 0, "CONFLICT").when(F.col("n_selected") > 0, "OK").otherwise("EMPTY"))
+
+
+def eligible_lineage(versions: DataFrame, eligible_ids: DataFrame, key: list[str], at: str = "source_version_at") -> DataFrame:
+    """version_id and previous_version_id of eligible versions, whose previous one is hidden unless it is eligible too."""
+    ids = eligible_ids.select("version_id").distinct()
+    rows = previous_version(versions, key, at).select("version_id", "previous_version_id").distinct().join(ids, "version_id", "left_semi")
+    seen = ids.select(F.col("version_id").alias("previous_version_id"), F.lit(True).alias("_seen"))
+    return rows.join(seen, "previous_version_id", "left").select("version_id", F.when(F.col("_seen"), F.col("previous_version_id")).alias("previous_version_id"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import learning_queries, pit_queries, series_queries, source_queries
+from tidemark.plans import build_queries, learning_queries, pit_queries, series_queries, source_queries
 
-GROUPS = (pit_queries.QUERIES, series_queries.QUERIES, learning_queries.QUERIES, source_queries.QUERIES)
+GROUPS = (pit_queries.QUERIES, series_queries.QUERIES, learning_queries.QUERIES, build_queries.QUERIES, source_queries.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

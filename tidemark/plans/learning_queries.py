@@ -1,4 +1,4 @@
-"""Selection, split, metric, model and account queries, and their SQL."""
+"""Selection, split, metric and model queries, and their SQL."""
 
 from __future__ import annotations
 
@@ -160,15 +160,6 @@ def cents(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(money(F.col("m") / F.lit(1000).cast("decimal(4,0)")).alias("amount")).groupBy().agg(F.sum("amount").cast("decimal(30,2)").cast("string").alias("total"), F.count("*").alias("n"))
 
 
-def _nav(spark: SparkSession, sf: str) -> DataFrame:
-    events = role(spark, sf, "account_events").withColumn("actions", F.lit(None).cast("array<struct<version_id:string,event_type:string,numerator:bigint,denominator:bigint,amount:double,payment_date:date>>"))
-    return simulation.simulate(events, initial_cash="100000.00", horizon=5, costs={"commission_bps": "5", "half_spread_bps": "2"}, fraction="0.25", participation="0.5")
-
-
-def account(spark: SparkSession, sf: str) -> DataFrame:
-    return _nav(spark, sf)
-
-
 def falls(spark: SparkSession, sf: str) -> DataFrame:
     nav = role(spark, sf, "bars").select("security", "trading_date", "close")
     return rounded(simulation.drawdown(nav, ["security"], "trading_date", "close"))
@@ -310,7 +301,6 @@ FROM g GROUP BY 1""".replace("round_even(CAST(CAST(micro AS DECIMAL(30, 0)) * q
 WITH m AS (SELECT CAST(l_partkey AS HUGEINT) * 5 AS m FROM lineitem), c AS (SELECT (m // 10) + CASE WHEN m % 10 > 5 OR (m % 10 = 5 AND (m // 10) % 2 = 1) THEN 1 ELSE 0 END AS c FROM m)
 SELECT CAST(CAST(sum(c) AS DECIMAL(36, 2)) / 100 AS DECIMAL(30, 2))::VARCHAR AS total, count(*) AS n FROM c""",
     ),
-    "account_nav": (account, None),
     "drawdown": (falls, ctes("bars") + "\n, p AS (SELECT security, close, max(close) OVER (PARTITION BY security ORDER BY trading_date) AS peak FROM bars)\nSELECT security, round(max((peak - close) / peak), 9) AS max_drawdown FROM p GROUP BY 1"),
     "turnover": (turnovers, ctes("bars") + "\nSELECT security, round(coalesce(sum(open) FILTER (volume % 2 = 0), 0) / avg(close), 6) AS turnover FROM bars GROUP BY 1"),
 }

@@ -84,11 +84,36 @@ FROM orders""",
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey * 41 % 211 AS DOUBLE) / 100 END AS x1, CAST(o_orderkey * 67 % 127 AS DOUBLE) / 50 AS x2,
        CAST(o_orderkey * 41 % 211 AS DOUBLE) / 200 - CAST(o_orderkey * 67 % 127 AS DOUBLE) / 150 + CAST(o_orderkey * 97 % 53 AS DOUBLE) / 500 - 0.15 AS y
 FROM orders""",
-    "account_events": """
-SELECT concat('run', CAST(b.security % 5 AS STRING)) AS run_id, s.idx, b.trading_date, concat('N', CAST(b.security AS STRING)) AS symbol, b.open, b.close, b.volume, (s.idx + b.security) % 7 = 0 AS signal
-FROM bars b JOIN sessions s ON s.trading_date = b.trading_date""",
+    "predictions": """
+SELECT concat('p', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 59 = 0 THEN 'x' ELSE '' END) AS prediction_id, CAST(o_orderkey - CASE WHEN o_orderkey % 61 = 0 THEN 1 ELSE 0 END AS STRING) AS sample_id,
+       CAST(CASE WHEN o_orderkey % 37 = 0 THEN 20 ELSE 5 END AS INT) AS horizon, 'm' AS model_or_signal_id, CASE WHEN o_orderkey % 67 <> 0 THEN '1' END AS model_version,
+       CASE WHEN o_orderkey % 43 = 0 THEN 'strict' ELSE 'research' END AS mode, CASE WHEN o_orderkey % 47 = 0 THEN '0' ELSE '1' END AS prediction_version, CASE WHEN o_orderkey % 71 = 0 THEN 'other' ELSE 'set' END AS dataset_snapshot_id,
+       'hash' AS dataset_content_sha256, concat('f', CAST(o_orderkey AS STRING)) AS feature_version_id, concat('fs', CAST(o_orderkey AS STRING)) AS feature_snapshot_id,
+       CASE WHEN o_orderkey % 73 = 0 THEN 'ranking' WHEN o_orderkey % 3 = 0 THEN 'regression' WHEN o_orderkey % 3 = 1 THEN 'classification' ELSE 'legacy_joint' END AS output_task,
+       CASE WHEN o_orderkey % 79 = 0 THEN 'volume' WHEN o_orderkey % 4 = 0 THEN 'cash_total_return' ELSE 'price_return' END AS target_id,
+       CASE WHEN o_orderkey % 3 <> 1 OR o_orderkey % 83 = 0 THEN (CAST(o_orderkey * 53 % 301 AS DOUBLE) - 150) / 1000 END AS predicted_return,
+       CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 89 = 0 THEN CAST(o_orderkey * 29 % 101 AS DOUBLE) / 100 + CASE WHEN o_orderkey % 53 = 0 THEN 1 ELSE 0 END END AS probability_up,
+       CASE WHEN o_orderkey % 2 = 0 THEN -0.1 + CASE WHEN o_orderkey % 31 = 0 THEN 0.5 ELSE 0 END END AS q10, CASE WHEN o_orderkey % 2 = 0 THEN 0.1 END AS q90, CASE WHEN o_orderkey % 97 = 0 THEN '1.5' ELSE '0.9' END AS upper_level,
+       CAST(o_orderdate AS {ts}) - INTERVAL '1' DAY * (o_orderkey % 30 - 2) AS training_asof, CAST(o_orderdate AS {ts}) + INTERVAL '1' HOUR * (20 + o_orderkey % 20) AS generated_at,
+       CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '23' HOUR END AS simulated_generated_at, CASE WHEN o_orderkey % 29 = 0 THEN 'manual' WHEN o_orderkey % 5 = 0 THEN 'operational' ELSE 'replay' END AS generation_kind,
+       CAST(o_orderdate AS {ts}) + INTERVAL '22' HOUR AS decision_at, CAST(o_orderdate AS {ts}) + INTERVAL '38' HOUR AS intended_entry_at, o_orderkey % 101 = 0 AS oracle
+FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL
+SELECT concat('p', CAST(o_orderkey AS STRING)), CAST(o_orderkey AS STRING), 5, 'm', '1', 'research', '1', 'set', 'hash', concat('f', CAST(o_orderkey AS STRING)), concat('fs', CAST(o_orderkey AS STRING)), 'regression', 'price_return', CAST(0.01 AS DOUBLE), NULL, NULL, NULL, '0.9',
+       CAST(o_orderdate AS {ts}), CAST(o_orderdate AS {ts}) + INTERVAL '23' HOUR, CAST(o_orderdate AS {ts}) + INTERVAL '23' HOUR, 'replay', CAST(o_orderdate AS {ts}) + INTERVAL '22' HOUR, CAST(o_orderdate AS {ts}) + INTERVAL '38' HOUR, false
+FROM orders WHERE o_orderkey % 103 = 0""",
+    "pairs": """
+SELECT CAST(o_orderkey AS STRING) AS sample_id, CAST(5 AS INT) AS horizon, o_custkey AS security, CAST(o_orderdate AS DATE) AS decision_date, CAST(o_orderdate AS {ts}) + INTERVAL '22' HOUR AS decision_at,
+       CAST(o_orderdate AS {ts}) + INTERVAL '1' HOUR * CASE WHEN o_orderkey % 17 = 0 THEN 26 ELSE 22 END AS feature_ready_at, CAST(o_orderdate AS {ts}) + INTERVAL '38' HOUR + INTERVAL '1' HOUR * CASE WHEN o_orderkey % 107 = 0 THEN 1 ELSE 0 END AS intended_entry_at,
+       concat('f', CAST(o_orderkey AS STRING)) AS feature_version_id, concat('fs', CAST(o_orderkey AS STRING)) AS feature_snapshot_id, CASE WHEN o_orderkey % 19 = 0 THEN 'blocked' ELSE 'ready' END AS sample_status,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'pending' ELSE 'ready' END AS label_status, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '24' HOUR * (7 + o_orderkey % 30) END AS label_available_at,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL '2400' HOUR END AS rights_available_at, CASE WHEN o_orderkey % 6 = 0 THEN 'blocked' ELSE 'ready' END AS cash_total_return_status, o_orderkey % 23 <> 0 AS learning_allowed,
+       CASE WHEN o_orderkey % 27 <> 0 THEN (CAST(o_orderkey * 37 % 401 AS DOUBLE) - 200) / 1000 END AS price_return, (CAST(o_orderkey * 37 % 401 AS DOUBLE) - 190) / 1000 AS cash_total_return,
+       CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey * 41 % 211 AS DOUBLE) / 100 END AS x1, CASE WHEN o_orderkey % 17 = 0 THEN 'missing_session_or_collection_failure' END AS x1_reason,
+       CASE WHEN o_orderkey % 33 <> 0 THEN CAST(o_orderkey * 67 % 127 AS DOUBLE) / 50 END AS x2, CASE WHEN o_orderkey % 33 = 0 THEN 'unknown_meaning_or_currency' END AS x2_reason
+FROM orders""",
 }
-NEEDS = {"bars": ["ticks"], "sessions": ["bars"], "account_events": ["bars", "sessions"]}
+NEEDS = {"bars": ["ticks"], "sessions": ["bars"]}
 
 
 def _fill(sql: str, words: dict[str, str]) -> str:

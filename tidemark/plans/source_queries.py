@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,15 +102,10 @@ def action_faults(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-def _shared(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="tidemark-")).as_uri()
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def appended_once(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream, appended to a table once by user and type although the stream runs twice."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    folder = _shared(spark)
+    folder = store.scratch(spark)
     for run in (1, 2):
         stream = spark.readStream.schema(schema).parquet(f"{sf}/event*.parquet").select("user_id", "event_type")
         cycle.append_once(stream, f"{folder}/table", ["user_id", "event_type"], f"{folder}/checkpoint{run}").awaitTermination()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +27,23 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name under the session's ``spark.checkpoint.dir``, which all executors share; where it is unset
+    and Spark runs in one process, under a temporary folder."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or Path(tempfile.mkdtemp(prefix='tidemark-')).as_uri()).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written to a scratch folder and read again, so that several uses share one computation."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def append(rows: DataFrame, path: str, key: list[str], *, content: list[str] | None = None) -> None:
     """Append rows whose key is new. With ``content``, a known key with other content is a conflict.
 

@@ -42,7 +42,8 @@ STATE = "due bigint, seen boolean"
 def delivery_deadlines(stream: DataFrame, *, delay_hours: int = 48) -> DataFrame:
     """Labels that wait for their endpoint: ready on its arrival, blocked once event time passes the delay.
 
-    stream: sample_id, at (event time), kind (`expected` or `received`).
+    stream: sample_id, at (event time), kind (`expected` or `received`). A deadline that event time has passed
+    already blocks at once, and every state has a timer: one that nothing is expected for goes after the delay.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,20 +51,28 @@ def delivery_deadlines(stream: DataFrame, *, delay_hours: int = 48) -> DataFrame
         if state.hasTimedOut:
             due, seen = state.get
             state.remove()
-            if not seen:
+            if due and not seen:
                 yield row("blocked", "past_endpoint_price_missing_or_collection_failure")
             return
         due, seen = state.get if state.exists else (0, False)
+        latest = 0
         for batch in batches:
             for kind, at in zip(batch["kind"], batch["at"]):
+                latest = max(latest, int(at.timestamp() * 1000) + delay_hours * 3_600_000)
                 if kind == "expected":
                     due = int(at.timestamp() * 1000) + delay_hours * 3_600_000
                 elif not seen:
                     seen = True
                     yield row("ready", None)
+        now = state.getCurrentWatermarkMs()
+        if due and due <= now:
+            if state.exists:
+                state.remove()
+            if not seen:
+                yield row("blocked", "past_endpoint_price_missing_or_collection_failure")
+            return
         state.update((due, seen))
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
+        state.setTimeoutTimestamp(max(due or latest, now + 1))
 
     timed = stream.withWatermark("at", "0 seconds").groupBy("sample_id")
     return timed.applyInPandasWithState(advance, DEADLINE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
