@@ -282,8 +282,41 @@ def test_edits_of_one_paragraph_match_brute_force(spark):
     assert {r.doc_id: r.cluster_id for r in out} == {i: c for i, c in want.items() if sizes[c] > 1}
 
 
-def test_band_recall():
-    assert 1 - (1 - substring.SIMILAR**substring.ROWS) ** substring.BANDS > 0.999
+def test_band_recall_on_documents(spark, sf):
+    """Components of lines at Jaccard 0.8 or more over all documents, against brute force by shared shingles."""
+    assert 1 - (1 - substring.SIMILAR**substring.ROWS) ** substring.BANDS > 0.998
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = defaultdict(list)
+    for r in docs.collect():
+        for line in (r.text or "").split("\n"):
+            words = line.encode().lower().split()
+            if len(words) >= 5:
+                lines[frozenset(zip(*(words[i:] for i in range(5))))].append(r.doc_id)
+    sets, holders = list(lines), defaultdict(list)
+    for k, shingles in enumerate(sets):
+        for x in shingles:
+            holders[x].append(k)
+    pairs = {(i, j) for held in holders.values() for i in held for j in held if i < j}
+    linked = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = reachable(range(len(sets)), linked)
+    ids = defaultdict(set)
+    for k, shingles in enumerate(sets):
+        ids[group[k]] |= set(lines[shingles])
+    want = {(min(found), doc) for found in ids.values() if len(found) > 1 for doc in found}
+    out = {(r.cluster_id, r.doc_id) for r in substring.repeated_passages(docs).where("kind = 'paragraph'").collect()}
+    assert out <= want and len(out & want) >= 0.99 * len(want) and len(want) > 10
+
+
+def test_short_paragraphs_and_clashing_hashes(spark, monkeypatch):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
+    edited = [*base[:-1], "changed"]  # 10 of 12 shingles in common
+    texts = [" ".join(base), "x\n" + " ".join(edited), "a b c d e", "y\na b c d e\nz", "a b c d", "a b c d"]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    out = {(r.doc_id, r.cluster_id, r.keep) for r in substring.repeated_passages(df).collect()}
+    assert out == {(0, 0, True), (1, 0, False), (2, 2, True), (3, 2, False)}
+    units = spark.createDataFrame([(1,), (1,), (2,)], "key bigint")
+    monkeypatch.setattr(substring, "lines_of", lambda docs, seed: spark.createDataFrame([(1, "a"), (1, "b" if seed == 42 else "a"), (2, "c"), (2, "d")], "uid bigint, line string"))
+    assert substring.clash(df, units, 42) and not substring.clash(df, units, 43)
 
 
 def test_pipeline_stages_against_their_operators(spark, sf):

@@ -1,11 +1,13 @@
 """Repeated passages: paragraph MinHash banding, and anchored windows for passages inside paragraphs.
 
-Paragraphs (lines) of MIN_WORDS words or more get a MinHash signature over five-word shingles, cut
-into BANDS bands of ROWS rows (recall 0.9998 at a similarity of 0.8). Paragraphs that share a band
+Paragraphs (lines) of five words or more get a MinHash signature over five-word shingles, cut
+into BANDS bands of ROWS rows (recall 0.998 at a similarity of 0.8). Paragraphs that share a band
 are joined to the band's representative, a different one in each band, exact Jaccard is verified on
 their texts, and links form components. Bands whose other members are not yet in one component are
 then gone through in blocks, and crowded ones in pairs of blocks, until each pair in a band is verified
-or joined through verified links. Equal paragraphs collapse before that, so copies cost no pairs.
+or joined through verified links. Equal paragraphs collapse before that, so copies cost no pairs; they are
+told by a 64-bit hash, under which the bytes of repeated ones are compared: should two unlike lines share
+a hash, all are hashed anew with another seed.
 
 A passage pasted into a longer paragraph is no paragraph of its own, so texts are also cut into
 windows of WINDOW words that start at content-defined anchors (the least shingle hash among SPREAD
@@ -38,9 +40,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, narrow, shared_folder, ship, table
 from tidemark.llm.components import components
 
-MIN_WORDS, SHINGLE, SIMILAR = 50, 5, 0.8
-BANDS, ROWS = 16, 4
+SHINGLE, SIMILAR = 5, 0.8
+BANDS, ROWS = 12, 4
 WINDOW, SPREAD = 32, 16
+#: Seed of a line's hash at first; characters of text whose units go on together.
+SEED, AT_ONCE = 42, 1 << 20
 #: Most paragraph ids that are broadcast to fetch their texts; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -113,38 +117,73 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
-def paragraph_rows(doc_id: int, text: str, words: Words) -> list[tuple]:
+def paragraph_rows(doc_id: int, text: str, words: Words, seed: int) -> list[tuple]:
     cuts = np.flatnonzero(np.diff(words.line)) + 1
     first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(words.line)]])
-    long = last - first >= MIN_WORDS
+    long = last - first >= SHINGLE
     first, last = first[long], last[long]
     if not len(first):
         return []
     keys = signatures(words.shingles, first, last - SHINGLE + 1)
     lines = text.split("\n")
-    uid = [xxhash.xxh64_intdigest(lines[words.line[f]].encode(), 42) for f in first]
-    uid = np.array(uid, dtype=np.uint64).view(np.int64)
-    return [(doc_id, int(words.start[f]), int(words.end[e - 1]), int(e - f), int(u), k) for f, e, u, k in zip(first, last, uid, keys)]
+    uid = np.array([xxhash.xxh64_intdigest(lines[words.line[f]].encode(), seed) for f in first], dtype=np.uint64).view(np.int64)
+    return list(zip([doc_id] * len(first), words.start[first].tolist(), words.end[last - 1].tolist(), (last - first).tolist(), uid.tolist(), keys))
 
 
-def unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def unit_frames(rows: list[tuple], parts: list[tuple]) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "words", "key", "keys"]).assign(kind="paragraph")
+    if parts:
+        columns = dict(zip(("doc_id", "start", "end", "words", "key"), map(np.concatenate, zip(*parts))))
+        yield pd.DataFrame(columns).astype({"start": "int32", "end": "int32", "words": "int32"}).assign(keys=None, kind="passage")
+    rows.clear()
+    parts.clear()
+
+
+def unit_rows(seed: int):
     """Paragraphs (words: their number, key: their id, keys: their bands) and windows (words: the place
     of the first word, key: the hash of all)."""
-    for batch in batches:
-        rows, parts = [], []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            words = Words(text)
-            rows += paragraph_rows(doc_id, text, words)
-            at = anchors(words.shingles)
-            at = at[at <= len(words.hash) - WINDOW]
-            if len(at):
-                key = spans_hash(words.hash, at, at + WINDOW).view(np.int64)
-                parts.append((np.full(len(at), doc_id), words.start[at], words.end[at + WINDOW - 1], at, key))
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "words", "key", "keys"]).assign(kind="paragraph")
-        if parts:
-            columns = dict(zip(("doc_id", "start", "end", "words", "key"), map(np.concatenate, zip(*parts))))
-            yield pd.DataFrame(columns).astype({"start": "int32", "end": "int32", "words": "int32"}).assign(keys=None, kind="passage")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, parts, held = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                words = Words(text)
+                rows += paragraph_rows(doc_id, text, words, seed)
+                at = anchors(words.shingles)
+                at = at[at <= len(words.hash) - WINDOW]
+                if len(at):
+                    key = spans_hash(words.hash, at, at + WINDOW).view(np.int64)
+                    parts.append((np.full(len(at), doc_id), words.start[at], words.end[at + WINDOW - 1], at, key))
+                held += len(text)
+                if held >= AT_ONCE:
+                    yield from unit_frames(rows, parts)
+                    held = 0
+        yield from unit_frames(rows, parts)
+
+    return run
+
+
+def lines_of(docs: DataFrame, seed: int) -> DataFrame:
+    """(uid, line): the lines of all texts with their ids; Spark's xxhash64 has the seed SEED."""
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.select((F.xxhash64("line") if seed == SEED else reseeded(F.col("line"), seed)).alias("uid"), "line")
+
+
+def reseeded(line: Column, seed: int) -> Column:
+    @F.pandas_udf("bigint")
+    def hashed(values: pd.Series) -> pd.Series:
+        return pd.Series(np.array([xxhash.xxh64_intdigest(v.encode(), seed) for v in values], dtype=np.uint64).view(np.int64))
+
+    return hashed(line)
+
+
+def clash(docs: DataFrame, units: DataFrame, seed: int) -> bool:
+    """Whether unlike lines share an id: the bytes of lines whose id repeats are compared, by their extremes."""
+    repeated = cut(units.groupBy(F.col("key").alias("uid")).agg(F.count("*").alias("n")).where("n > 1").select("uid"))
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    both = lines_of(docs, seed).join(side, "uid", "left_semi").groupBy("uid").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    return not both.where("low <> high").isEmpty()
 
 
 def crowded(rows: DataFrame, id_: str) -> DataFrame:
@@ -241,7 +280,7 @@ def joined(rest: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
     return named
 
 
-def paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
+def paragraphs(docs: DataFrame, units: DataFrame, seed: int) -> DataFrame:
     """Near-equal paragraphs. Copies collapse before bands are dealt out, and each band is dealt out
     once; the few crowded bands get their representative by a small join instead."""
     distinct = cut(units.groupBy(F.col("key").alias("uid")).agg(F.any_value("keys").alias("keys"), F.any_value(F.col("end") - F.col("start")).alias("size")))
@@ -257,8 +296,7 @@ def paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
     pairs = cut(rest.select(F.greatest("uid", "v").alias("u"), F.least("uid", "v").alias("v")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct())
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("uid"), "line")
-    texts = cut(lines.join(ids, "uid", "left_semi").groupBy("uid").agg(F.min("line").alias("line")))
+    texts = cut(lines_of(docs, seed).join(ids, "uid", "left_semi").groupBy("uid").agg(F.min("line").alias("line")))
     one, other = (texts.select(F.col("uid").alias(k), F.col("line").alias(n)) for k, n in (("u", "one"), ("v", "other")))
     links = pairs.join(one, "u").join(other, "v").select("u", "v", "one", "other").mapInPandas(similar, "u bigint, v bigint")
     named = joined(rest.select("key", "uid", "size"), cut(components(links)), texts).withColumnRenamed("node", "key")
@@ -367,11 +405,14 @@ def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ship(spark)
     docs = narrow(df, doc_id=doc_id, text=text).where("doc_id is not null and length(text) > 0")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    folder = shared_folder(spark)
-    docs.mapInPandas(unit_rows, UNITS).write.partitionBy("kind").parquet(folder)
-    units = spark.read.schema(UNITS).parquet(folder)
-    of_kind = lambda kind: units.where(F.col("kind") == kind)
-    return paragraphs(docs, of_kind("paragraph")).unionByName(passages(docs, of_kind("passage")))
+    for seed in range(SEED, SEED + 8):
+        folder = shared_folder(spark)
+        docs.mapInPandas(unit_rows(seed), UNITS).write.partitionBy("kind").parquet(folder)
+        units = spark.read.schema(UNITS).parquet(folder)
+        of_kind = lambda kind: units.where(F.col("kind") == kind)  # noqa: B023, E731
+        if not clash(docs, of_kind("paragraph"), seed):
+            break
+    return paragraphs(docs, of_kind("paragraph"), seed).unionByName(passages(docs, of_kind("passage")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
