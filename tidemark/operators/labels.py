@@ -9,6 +9,8 @@ from tidemark.functions.values import finite, left_open
 
 HORIZONS = (1, 5, 20)
 DOWN = -0.05
+#: Days of a period by which holding intervals and actions are joined.
+PERIOD = 64
 
 
 def endpoints(samples: DataFrame, plan: DataFrame, bars: DataFrame, series: list[str], horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -25,7 +27,7 @@ def ledger(rows: DataFrame, actions: DataFrame, series: list[str], key: list[str
     """Adds quantity, paid, receivable, price_return, cash_return: shares and cash of one share bought at
     the entry open, through the actions of (entry, exit] by date, splits first, then id.
 
-    Actions meet rows by series and date; each row folds its own few actions in order.
+    Actions meet rows by series and period of PERIOD days; each row folds its own few actions in order.
     """
     split = F.col("event_type") == "split"
     item = F.struct(
@@ -36,9 +38,10 @@ def ledger(rows: DataFrame, actions: DataFrame, series: list[str], key: list[str
         F.col("amount").cast("double").alias("amount"),
         F.col("payment_date"),
     )
-    facts = actions.select(*series, F.col("ex_date").alias("_ex"), item.alias("_item"))
-    spans = rows.select(*key, *[c for c in series if c not in key], "entry_date", "exit_date")
-    own = spans.join(facts, series).where(left_open(F.col("entry_date"), F.col("exit_date"), F.col("_ex")))
+    period = lambda date: F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / PERIOD).cast("int")
+    facts = actions.select(*series, period(F.col("ex_date")).alias("_period"), F.col("ex_date").alias("_ex"), item.alias("_item"))
+    spans = rows.where("entry_date < exit_date").select(*key, *[c for c in series if c not in key], "entry_date", "exit_date", F.explode(F.sequence(period(F.col("entry_date")), period(F.col("exit_date")))).alias("_period"))
+    own = spans.join(facts, [*series, "_period"]).where(left_open(F.col("entry_date"), F.col("exit_date"), F.col("_ex")))
     own = own.groupBy(*key).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
     start = F.struct(F.lit(1.0).alias("quantity"), F.lit(0.0).alias("paid"), F.lit(0.0).alias("receivable"))
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as quality
-from tidemark.operators import builds, calendar, datasets, diagnostics, features, imports, ingest, labels, metrics, models, pit, training
+from tidemark.operators import builds, calendar, datasets, diagnostics, features, forward, imports, ingest, labels, metrics, pit, training
 from tidemark.plans.learning_queries import _L, _RIDGE, NAMES, rounded
 from tidemark.plans.pit_queries import CUTOFF, KEY, RULE
 from tidemark.plans.roles import ctes, role
 from tidemark.plans.series_queries import _CAL, _ENDS, _K, _SPINE, EVALUATION, SERIES, SIMULATION, _endpoints, _features, _why
-from tidemark.sources import store
+from tidemark.sources import providers, store
 
 ASOF, EVALUATED = "1997-03-03 00:00:00", "1997-09-01 00:00:00"
 
@@ -273,6 +273,96 @@ def budgets(spark: SparkSession, sf: str) -> DataFrame:
     return store.daily_budget(rows)
 
 
+LATER = "1998-06-01 00:00:00"
+
+
+def _at(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    """Labels as they stand at a clock: pending until they are available, those without a clock blocked at the later one."""
+    rows = role(spark, sf, "pairs")
+    due = F.col("label_available_at") <= ts(text)
+    status = F.when(F.col("label_available_at").isNull(), "pending" if text == ASOF else "blocked").when(due, "ready").otherwise("pending")
+    return rows.select("sample_id", "horizon", status.alias("status"), F.when(status != "ready", F.concat(F.lit("is_"), status)).alias("reason"), F.concat(F.lit("l"), "sample_id").alias("label_version_id"))
+
+
+def mature(spark: SparkSession, sf: str) -> DataFrame:
+    out = forward.mature_updates(_at(spark, sf, ASOF), _at(spark, sf, LATER), ["sample_id", "horizon"])
+    return out.groupBy("status", "reason").agg(F.count("*").alias("n"), F.count_distinct("previous_label_version_id").alias("n_followed"))
+
+
+def freezing(spark: SparkSession, sf: str) -> DataFrame:
+    refreshed = forward.mature_updates(_at(spark, sf, ASOF), _at(spark, sf, LATER), ["sample_id", "horizon"])
+    return forward.frozen_sample(_at(spark, sf, ASOF), refreshed, ["sample_id", "horizon"]).groupBy("origin", "status").agg(F.count("*").alias("n"))
+
+
+def overlays(spark: SparkSession, sf: str) -> DataFrame:
+    bars = role(spark, sf, "sourced_bars").select("source", "security", "trading_date", F.lit("unknown").alias("price_semantics"), F.lit(None).cast("string").alias("currency"), F.lit("n-1").alias("normalizer_version"))
+    review = {"start": "1994-01-03", "end": "1995-12-31", "price_semantics": "as_traded", "currency": "USD", "version": "reviewed-1"}
+    reviewed = ingest.reviewed(bars.where("source = 'alpha'"), review)
+    out = forward.overlaid(bars, reviewed, ["source", "security", "trading_date"])
+    return out.groupBy("overlay", "price_semantics", "normalizer_version").agg(F.count("*").alias("n"))
+
+
+NOW = "1996-05-07 04:00:00"
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    rows = role(spark, sf, "pairs").withColumns({"available_at": F.col("feature_ready_at"), "missing_any": F.col("x1").isNull()})
+    return forward.forward_records(rows, ts(NOW), {"mean": F.lit(0.0), "first": F.col("x1") / 100}, ["sample_id", "horizon"])
+
+
+def forward_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Records made twice and stored once."""
+    path = store.scratch(spark)
+    for _ in range(2):
+        store.append(_records(spark, sf), path, ["sample_id", "horizon"], content=["record_sha256"])
+    return spark.read.parquet(path).groupBy(F.coalesce("reason", F.lit("recorded")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def forward_summary(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = role(spark, sf, "pairs").select("sample_id", "horizon", F.col("price_return").alias("actual"))
+    return rounded(forward.forward_summary(_records(spark, sf), outcomes, ["sample_id", "horizon"], ["mean", "first"]))
+
+
+def identities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    expected = rows.where("s_suppkey % 5 <> 0").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 7 == 0, -1).otherwise(F.col("s_nationkey")))
+    return forward.identity_fault(expected, rows, ["s_suppkey"], ["s_name", "s_nationkey"]).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+def array_actions(kind: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """A response for each action; some with a date outside the period, some with a value that is none."""
+        rows = role(spark, sf, "dated_actions").where(F.col("event_type") == kind)
+        value = F.when(F.col("amount") < 0.05, "none").otherwise(F.col("amount").cast("string"))
+        entry = F.struct(F.col("ex_date").cast("string").alias("date"), value.alias("value"), F.concat_ws("/", "numerator", "denominator").alias("split"))
+        bodies = rows.select(F.col("version_id").alias("request_id"), F.to_json(F.array(entry)).alias("body"))
+        out = providers.array_actions(bodies, kind, "1992-01-01", "1997-12-31")
+        return out.groupBy("event_type", "issue").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 6).alias("amount"), F.round(F.sum(F.col("numerator") / F.col("denominator")), 6).alias("ratio"))
+
+    return run
+
+
+def array_identities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/supplier.parquet")
+    entry = F.struct(F.when(F.col("s_suppkey") % 11 != 0, F.col("s_name")).alias("Code"), F.col("s_name").alias("Name"), F.when(F.col("s_suppkey") % 7 == 0, "").otherwise(F.concat(F.lit("US"), "s_suppkey")).alias("Isin"), F.lit("USD").alias("Currency"))
+    out = providers.array_identity(rows.select(F.col("s_suppkey").cast("string").alias("request_id"), F.to_json(F.array(entry)).alias("body")))
+    return out.groupBy("issue").agg(F.count("*").alias("n"), F.count_distinct("isin").alias("n_isin"))
+
+
+def documents_seen(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("request_id"), F.concat(F.when(F.col("page_id") % 3 == 0, "http").otherwise("https"), F.lit("://h"), F.col("page_id") % 4, F.lit(".example/x")).alias("url"), F.col("html").alias("body"))
+    return providers.document_receipt(rows, ("h1.example", "h2.example")).groupBy("host", "allowed").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def bindings(spark: SparkSession, sf: str) -> DataFrame:
+    versions = role(spark, sf, "versions").select("version_id", F.col("evidence_raw_sha256").alias("raw_sha256"), "published_at", "revised_at").distinct()
+    evidence = versions.where("published_at is not null").select(F.col("raw_sha256").alias("version_raw_sha256"), "published_at", "revised_at", (F.hour("published_at") == 9).alias("verified")).where("version_raw_sha256 <> 'other'").distinct()
+    return ingest.bound_evidence(versions, evidence).groupBy("publication_bound").agg(F.count("*").alias("n"))
+
+
+_C = ctes("pairs") + f""", a AS (SELECT *, CASE WHEN label_available_at <= TIMESTAMP '{ASOF}' THEN 'ready' ELSE 'pending' END AS s1, CASE WHEN label_available_at IS NULL THEN 'blocked' WHEN label_available_at <= TIMESTAMP '{LATER}' THEN 'ready' ELSE 'pending' END AS s2 FROM pairs)"""
+_F = ctes("pairs") + f""", r AS (SELECT *, CASE WHEN TIMESTAMP '{NOW}' < decision_at THEN 'before_decision_time' WHEN TIMESTAMP '{NOW}' >= intended_entry_at THEN 'entry_already_passed' WHEN feature_ready_at > TIMESTAMP '{NOW}' THEN 'input_after_cutoff' WHEN feature_ready_at > decision_at THEN 'feature_after_decision' WHEN x1 IS NULL THEN 'feature_missing' END AS why FROM pairs)"""
+
 _P = (
     ctes("predictions", "pairs")
     + f"""
@@ -432,6 +522,36 @@ SELECT CASE WHEN published_at IS NOT NULL THEN 'timestamp' WHEN publication_date
         ctes("bars")
         + "\nSELECT security, CASE WHEN security = 5 AND count(DISTINCT volume % 2) > 1 THEN 'mixed_series_meaning_currency_session_or_identity' WHEN security IN (1, 3) THEN 'unknown_meaning_or_currency' WHEN security = 4 THEN 'price_meaning_contract_mismatch' WHEN security = 2 THEN 'currency_contract_mismatch' WHEN security = 6 THEN 'duplicate_feature_session' END AS series_reason FROM bars GROUP BY 1",
     ),
+    "forward_mature_updates": (mature, _C + "\nSELECT s2 AS status, CASE WHEN s2 <> 'ready' THEN 'is_' || s2 END AS reason, count(*) AS n, count(*) AS n_followed FROM a WHERE s1 = 'pending' AND s2 <> 'pending' GROUP BY 1, 2"),
+    "forward_freeze": (freezing, _C + "\nSELECT CASE WHEN s1 = 'pending' AND s2 <> 'pending' THEN 'refreshed' ELSE 'preserved' END AS origin, CASE WHEN s1 = 'pending' THEN s2 ELSE s1 END AS status, count(*) AS n FROM a GROUP BY 1, 2"),
+    "research_overlay": (
+        overlays,
+        ctes("sourced_bars")
+        + "\n, o AS (SELECT source = 'alpha' AND trading_date BETWEEN DATE '1994-01-03' AND DATE '1995-12-31' AS overlay FROM sourced_bars)\nSELECT overlay, CASE WHEN overlay THEN 'as_traded' ELSE 'unknown' END AS price_semantics, CASE WHEN overlay THEN 'reviewed-1' ELSE 'n-1' END AS normalizer_version, count(*) AS n FROM o GROUP BY 1",
+    ),
+    "forward_records_once": (forward_once, _F + "\nSELECT coalesce(why, 'recorded') AS reason, count(*) AS n FROM r GROUP BY 1"),
+    "forward_summary": (
+        forward_summary,
+        _F + "\nSELECT 'mean' AS name, count(*) AS n, round(avg(abs(price_return)), 9) AS mae FROM r WHERE why IS NULL AND price_return IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'first', count(*), round(avg(abs(x1 / 100 - price_return)), 9) FROM r WHERE why IS NULL AND price_return IS NOT NULL HAVING count(*) > 0",
+    ),
+    "identity_faults": (identities, "SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'identity_unknown' WHEN s_suppkey % 7 = 0 THEN 'identity_mismatch' END AS fault, count(*) AS n FROM supplier GROUP BY 1"),
+    "array_dividends": (
+        array_actions("dividend"),
+        ctes("dated_actions")
+        + "\n, r AS (SELECT amount, CASE WHEN ex_date > DATE '1997-12-31' THEN 'response_outside_requested_period' WHEN amount < 0.05 THEN 'invalid_number' END AS issue FROM dated_actions WHERE event_type = 'dividend')\nSELECT 'dividend' AS event_type, issue, count(*) AS n, CASE WHEN issue IS NULL THEN round(sum(amount), 6) END AS amount, NULL::DOUBLE AS ratio FROM r GROUP BY issue",
+    ),
+    "array_splits": (
+        array_actions("split"),
+        ctes("dated_actions")
+        + "\n, r AS (SELECT numerator / denominator AS ratio, CASE WHEN ex_date > DATE '1997-12-31' THEN 'response_outside_requested_period' END AS issue FROM dated_actions WHERE event_type = 'split')\nSELECT 'split' AS event_type, issue, count(*) AS n, NULL::DOUBLE AS amount, CASE WHEN issue IS NULL THEN round(sum(ratio), 6) END AS ratio FROM r GROUP BY issue",
+    ),
+    "array_identities": (array_identities, "SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'schema_change' WHEN s_suppkey % 7 = 0 THEN 'identity_incomplete' END AS issue, count(*) AS n, count(DISTINCT CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey END) AS n_isin FROM supplier GROUP BY 1"),
+    "document_receipts": (documents_seen, "SELECT concat('h', page_id % 4, '.example') AS host, page_id % 3 <> 0 AND page_id % 4 IN (1, 2) AS allowed, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1, 2"),
+    "evidence_bindings": (
+        bindings,
+        ctes("versions")
+        + "\n, v AS (SELECT DISTINCT version_id, evidence_raw_sha256 AS raw, published_at, revised_at FROM versions)\nSELECT published_at IS NOT NULL AND hour(published_at) = 9 AND raw <> 'other' AS publication_bound, count(*) AS n FROM v GROUP BY 1",
+    ),
     "request_budgets": (
         budgets,
         "SELECT concat('h', o_custkey % 3) AS host, CAST(o_orderdate AS DATE) AS day, count(*) AS used, greatest(0, 25 - count(*)) AS left FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2".replace(" AS left", ' AS "left"'),

@@ -25,6 +25,10 @@ FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey""",
 SELECT security, trading_date, max(CASE WHEN place = 1 THEN price END) AS open, max(price) AS high, min(price) AS low,
        max(CASE WHEN place = places THEN price END) AS close, CAST(sum(quantity) AS BIGINT) AS volume
 FROM ticks GROUP BY security, trading_date""",
+    "sourced_bars": """
+SELECT s.s_nationkey AS security, {week:l.l_shipdate} AS trading_date, CASE WHEN l.l_partkey % 2 = 0 THEN 'alpha' ELSE 'beta' END AS source, max(CASE WHEN l.l_linenumber = 1 THEN l.l_extendedprice END) AS open, max(l.l_extendedprice) AS high, min(l.l_extendedprice) AS low,
+       max(CASE WHEN l.l_linenumber = 2 THEN l.l_extendedprice END) AS close, CAST(sum(CAST(l.l_quantity AS INT)) AS BIGINT) AS volume
+FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY 1, 2, 3""",
     "sessions": """
 SELECT trading_date, CAST(row_number() OVER (ORDER BY trading_date) - 1 AS BIGINT) AS idx, 'weekly-1' AS calendar_version,
        CAST(trading_date AS {ts}) + INTERVAL '14' HOUR + INTERVAL '30' MINUTE AS open_utc, CAST(trading_date AS {ts}) + INTERVAL '21' HOUR AS close_utc,

@@ -52,9 +52,9 @@ def moves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_sources(spark: SparkSession, sf: str) -> DataFrame:
-    bars = role(spark, sf, "bars")
-    left, right = (bars.where(F.col("security") == n).drop("security") for n in (3, 4))
-    return quality.compare_sources(left, right, ["trading_date"]).select("trading_date", "field", F.round("relative_difference", 9).alias("relative_difference"))
+    bars = role(spark, sf, "sourced_bars")
+    left, right = (bars.where(F.col("source") == n).drop("source") for n in ("alpha", "beta"))
+    return quality.compare_sources(left, right, ["security", "trading_date"]).select("security", "trading_date", "field", F.round("relative_difference", 9).alias("relative_difference"))
 
 
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,11 +229,11 @@ SELECT security, trading_date, previous_date, round(close / k - 1, 9) AS change
     ),
     "cross_provider_tolerance": (
         two_sources,
-        _BARS
+        ctes("sourced_bars")
         + """
-, p AS (SELECT a.trading_date, unnest(['open', 'high', 'low', 'close', 'volume']) AS field, unnest([a.open, a.high, a.low, a.close, a.volume]) AS x, unnest([b.open, b.high, b.low, b.close, b.volume]) AS y
-        FROM bars a JOIN bars b ON a.trading_date = b.trading_date WHERE a.security = 3 AND b.security = 4)
-SELECT trading_date, field, round(abs(x - y) / abs(x), 9) AS relative_difference FROM p WHERE abs(x - y) / abs(x) > CASE WHEN field = 'volume' THEN 1e-4 ELSE 1e-5 END""",
+, p AS (SELECT a.security, a.trading_date, unnest(['open', 'high', 'low', 'close', 'volume']) AS field, unnest([a.open, a.high, a.low, a.close, a.volume]) AS x, unnest([b.open, b.high, b.low, b.close, b.volume]) AS y
+        FROM sourced_bars a JOIN sourced_bars b ON a.security = b.security AND a.trading_date = b.trading_date WHERE a.source = 'alpha' AND b.source = 'beta')
+SELECT security, trading_date, field, round(abs(x - y) / abs(x), 9) AS relative_difference FROM p WHERE abs(x - y) / abs(x) > CASE WHEN field = 'volume' THEN 1e-4 ELSE 1e-5 END""",
     ),
     "session_coverage": (
         coverage,

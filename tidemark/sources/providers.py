@@ -55,7 +55,7 @@ def chart_json(df: DataFrame) -> DataFrame:
     flat = parsed.select("request_id", F.col("j.chart.error").alias("error"), r.alias("r")).select("request_id", "error", "r", F.get("r.indicators.quote", 0).alias("q"), F.get("r.indicators.adjclose", 0)["adjclose"].alias("adj"))
     n = F.size("r.timestamp")
     uneven = F.exists(F.array(*[F.size(f"q.{c}") for c in ("open", "high", "low", "close", "volume")]), lambda s: s != n) | (F.col("adj").isNotNull() & (F.size("adj") != n))
-    issue = first_reason((F.col("error").isNotNull(), "provider_error"), (F.col("r").isNull() | F.col("q").isNull() | F.col("r.timestamp").isNull(), "schema_change"), (uneven, "schema_change"))
+    issue = first_reason((F.lower("error.code").contains("not found"), "not_found"), (F.col("error").isNotNull(), "provider_error"), (F.col("r").isNull() | F.col("q").isNull() | F.col("r.timestamp").isNull(), "schema_change"), (uneven, "schema_change"))
     judged = flat.withColumn("fault", issue)
     rows = judged.where("fault is null").select("request_id", F.col("r.meta.exchangeTimezoneName").alias("zone"), F.inline(F.arrays_zip(F.col("r.timestamp").alias("at"), F.col("q.open").alias("open"), F.col("q.high").alias("high"), F.col("q.low").alias("low"), F.col("q.close").alias("close"), F.col("q.volume").alias("volume"), F.coalesce("adj", F.array_repeat(F.lit(None).cast("double"), n)).alias("adjusted_close"))))
     dated = rows.withColumn("trading_date", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("at"), F.coalesce("zone", F.lit("UTC")))))
@@ -112,6 +112,35 @@ def ratio(text: Column) -> tuple[Column, Column]:
     return F.when(fits, number(F.get(parts, 0))), F.when(fits, number(F.get(parts, 1)))
 
 
+def array_actions(df: DataFrame, kind: str, start: str, end: str) -> DataFrame:
+    """Dividends (date, value) or splits (date, split as 2/1) of array responses, as chart_actions gives them, with
+    issue; a date outside the asked period rejects the whole response."""
+    if kind not in ("dividend", "split"):
+        raise ValueError("kind has to be dividend or split")
+    parsed = df.withColumn("rows", F.from_json("body", "array<struct<date:string,value:string,split:string>>"))
+    outside = F.exists("rows", lambda x: ~F.coalesce(F.rlike(x["date"], F.lit(DAY)) & x["date"].between(start, end), F.lit(False)))
+    judged = parsed.withColumn("fault", first_reason((F.col("rows").isNull(), "schema_change"), (outside, "response_outside_requested_period")))
+    up, down = ratio(F.col("split"))
+    none = F.lit(None).cast("double")
+    good = judged.where("fault is null").select("request_id", F.inline("rows")).select("request_id", F.lit(kind).alias("event_type"), F.col("date").cast("date").alias("event_date"), (up if kind == "split" else none).alias("numerator"), (down if kind == "split" else none).alias("denominator"), (number(F.col("value")) if kind == "dividend" else none).alias("amount"))
+    value = F.col("amount") if kind == "dividend" else F.col("numerator") / F.col("denominator")
+    good = good.withColumn("issue", F.when(~finite(value), "invalid_number"))
+    bad = judged.where("fault is not null").select("request_id", F.lit(kind).alias("event_type"), F.lit(None).cast("date").alias("event_date"), *[none.alias(n) for n in ("numerator", "denominator", "amount")], F.col("fault").alias("issue"))
+    return good.unionByName(bad)
+
+
+def array_identity(df: DataFrame) -> DataFrame:
+    """Identities of listed securities: request_id, code, name, isin, currency, and issue where code or isin is missing."""
+    rows = df.select("request_id", F.explode_outer(F.from_json("body", "array<struct<Code:string,Name:string,Isin:string,Currency:string>>")).alias("x"))
+    issue = first_reason((F.col("x").isNull() | F.col("x.Code").isNull(), "schema_change"), (F.col("x.Isin").isNull() | (F.col("x.Isin") == ""), "identity_incomplete"))
+    return rows.select("request_id", F.col("x.Code").alias("code"), F.col("x.Name").alias("name"), F.nullif(F.col("x.Isin"), F.lit("")).alias("isin"), F.col("x.Currency").alias("currency"), issue.alias("issue"))
+
+
+def within_period(bars: DataFrame, start: str, end: str) -> DataFrame:
+    """Bars of the asked period, both ends included; faulty responses stay, with their issue."""
+    return bars.where(F.col("issue").isNotNull() | F.col("trading_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
 def csv_text(df: DataFrame) -> DataFrame:
     """A CSV body with a header line; a page for people is a challenge, `No data` is empty."""
     body = F.trim("body")
@@ -139,12 +168,15 @@ def document_receipt(df: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
 
 
 PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {"chart_json": chart_json, "keyed_json": keyed_json, "csv": csv_text, "directory": directory_text}
+#: Those that need the asked period or the allowed hosts as well.
+PARAMETERISED: dict[str, Callable[..., DataFrame]] = {"array_json": array_json, "array_actions": array_actions, "document": document_receipt}
 
 
 def normaliser(name: str) -> Callable[[DataFrame], DataFrame]:
-    if name not in PROVIDERS:
-        raise ValueError(f"provider has to be one of {sorted(PROVIDERS)}")
-    return PROVIDERS[name]
+    known = PROVIDERS | PARAMETERISED
+    if name not in known:
+        raise ValueError(f"provider has to be one of {sorted(known)}")
+    return known[name]
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
