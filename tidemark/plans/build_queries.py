@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as quality
 from tidemark.operators import builds, calendar, datasets, diagnostics, features, forward, imports, ingest, labels, metrics, pit, training
-from tidemark.plans.learning_queries import _L, _RIDGE, NAMES, rounded
+from tidemark.plans.learning_queries import _L, _RIDGE, FOLDS, NAMES, rounded
 from tidemark.plans.pit_queries import CUTOFF, KEY, RULE
 from tidemark.plans.roles import ctes, role
 from tidemark.plans.series_queries import _CAL, _ENDS, _K, _SPINE, EVALUATION, SERIES, SIMULATION, _endpoints, _features, _why
@@ -92,7 +92,7 @@ def inference(spark: SparkSession, sf: str) -> DataFrame:
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Two models on every fold; what they learned, or why not."""
     rows = role(spark, sf, "pairs").withColumn("intended_exit_at", F.col("label_available_at"))
-    assigned = datasets.assign(rows, datasets.fold_plans(rows, kind="expanding", train=800, validation=200, test=200, step=600, gap=5))
+    assigned = datasets.assign(rows, datasets.fold_plans(rows, kind="expanding", **FOLDS))
     found = training.run(assigned, NAMES, [("regression", "mean"), ("classification", "frequency")])
     flat = [(r["fold"], r["model"], r["parameters"] and r["parameters"]["value"], r["reason"]) for r in found]
     return rounded(spark.createDataFrame(flat, "fold bigint, model string, value double, reason string"))
