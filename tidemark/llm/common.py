@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark removes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(df: DataFrame, rows: int, each: int) -> int:
     """A number of partitions for ``rows`` rows, about ``each`` of them in one, that keeps every core busy."""
     return min(100_000, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))

@@ -1,7 +1,7 @@
 """Repeated passages: paragraph MinHash banding, and anchored windows for passages inside paragraphs.
 
 Paragraphs (lines) of five words or more get a MinHash signature over five-word shingles, cut
-into BANDS bands of ROWS rows (recall 0.997 at a similarity of 0.8). Paragraphs that share a band
+into BANDS bands of ROWS rows (recall 0.9998 at a similarity of 0.8). Paragraphs that share a band
 are joined to the band's representative, a different one in each band, exact Jaccard is verified on
 their texts, and links form components. Bands whose other members are not yet in one component are
 then gone through in blocks, and crowded ones in pairs of blocks, until each pair in a band is verified
@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, narrow, shared_folder, ship, table
+from tidemark.llm.common import cut, narrow, release, shared_folder, ship, table
 from tidemark.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 12, 3
 WINDOW, SPREAD = 32, 16
 #: Seed of a line's hash at first; characters of text whose units go on together.
 SEED, AT_ONCE = 42, 1 << 20
@@ -412,7 +412,9 @@ def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         of_kind = lambda kind: units.where(F.col("kind") == kind)  # noqa: B023, E731
         if not clash(docs, of_kind("paragraph"), seed):
             break
-    return paragraphs(docs, of_kind("paragraph"), seed).unionByName(passages(docs, of_kind("passage")))
+    near = paragraphs(docs, of_kind("paragraph"), seed)
+    release(spark)
+    return near.unionByName(passages(docs, of_kind("passage")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
