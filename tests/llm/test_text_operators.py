@@ -43,6 +43,18 @@ def test_encoding_equals_the_library(encoder, reference, parts):
     assert encoder.decode(ids) == text.encode()
 
 
+def test_words_seen_ahead_equal_the_library(ranks, reference):
+    rng, encoder = random.Random(4), bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    parts = ["tion", "é", "ou", "the", "an", "ç", "日本", "9", "'s", "ǅ", "ß", "_", "."]
+    words = ["".join(rng.choices(parts, k=rng.randint(0, 6))) + rng.choice(["", "", ",", ".", "?!", "\n", " "]) for _ in range(3000)]
+    texts = ["", " ", "a", " ".join(words), "  ".join(words[:200]), "x" * 500 + " y", *words[:300]]
+    encoder.foresee(texts)
+    encoder.foresee(texts)
+    assert [encoder.encode(t) for t in texts] == [reference.encode_ordinary(t) for t in texts]
+    pieces = sorted(w.encode() for w in words)
+    assert list(encoder.prefixes.encode_sorted(pieces)) == [encoder.prefixes.encode_piece(p) for p in pieces]
+
+
 def test_long_piece_appends_and_edits(encoder, reference):
     rng = random.Random(3)
     prefixes = encoder.prefixes

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,9 +26,11 @@ from tidemark.llm.common import table, texts_mapped
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of words and of token pairs in one generation of a worker's memory.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 #: Spaces between two such characters always start a new piece, so texts can be cut there first.
 BETWEEN_WORDS = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ]) (?=[!-~À-ÖØ-öø-ÿ])")
+#: Marks that end a word and are pieces of their own there.
+MARKS = ",.;:!?"
 CLOSED = re.compile(r"[!-~À-ÖØ-öø-ÿ]").match
 #: White space as the tokenizer's pattern means it: the Unicode property, without the separators U+001C to U+001F.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -178,14 +181,21 @@ class PrefixTable:
             else:
                 return True
 
-    def extend(self, data: str, last: list[int]) -> list[int]:
-        """Fill ``last`` (one token per prefix already known, entry 0 unused) up to all of ``data``."""
+    def extend(self, data: str, last: list[int], states: list[int] | None = None) -> list[int]:
+        """Fill ``last`` (one token per prefix already known, entry 0 unused) up to all of ``data``.
+
+        ``states``, if given, has the automaton's state after each of these prefixes, and is filled too.
+        """
         steps, longest_token, shorter, size_of = self.suffixes.steps, self.suffixes.token, self.suffixes.shorter, self.suffixes.size
-        follows, base, known, state = self.follows, self.none, len(last) - 1, 0
-        for c in data[max(0, known - self.longest) : known]:
-            state = steps[state << 8 | ord(c)]
+        follows, base, known = self.follows, self.none, len(last) - 1
+        if states is None:
+            states = [0]
+            for c in data[max(0, known - self.longest) : known]:
+                states[0] = steps[states[0] << 8 | ord(c)]
+        state = states[-1]
         for end, byte in enumerate(data[known:].encode("latin-1"), known + 1):
             state = steps[state << 8 | byte]
+            states.append(state)
             token = longest_token[state]
             while token >= 0:
                 start = end - size_of[token]
@@ -228,6 +238,24 @@ class PrefixTable:
             return [token]
         return self.walk(self.extend(spelled, [0]))
 
+    def encode_sorted(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of pieces in order of their bytes, each an append to the prefix that it shares with the one before."""
+        before, last, states, ranks = "", [0], [0], self.ranks
+        for piece in pieces:
+            spelled, shared = piece.decode("latin-1"), 0
+            token = ranks.get(spelled)
+            if token is not None:
+                yield [token]
+                continue
+            for a, b in zip(spelled, before):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], states[shared + 1 :]
+            self.extend(spelled, last, states)
+            before = spelled
+            yield self.walk(last)
+
 
 class Encoder:
     """Texts to ids and back; every text is encoded whole."""
@@ -235,6 +263,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.prefixes = PrefixTable(ranks)
         self.split = piece_pattern(pattern).findall
+        self.decimals = {rank: str(rank) for rank in self.prefixes.tokens}
         self._words, self._others = Recent(2 * REMEMBERED, self._word), Recent(REMEMBERED // 4, self._piece)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
@@ -251,10 +280,18 @@ class Encoder:
             return ()
         if word.isalpha():
             return self._piece(" " + word)
-        if word[-1] in ",.;:!?" and word[:-1].isalpha() and CLOSED(word[-2]):
+        if word[-1] in MARKS and word[:-1].isalpha() and CLOSED(word[-2]):
             return self._words[word[:-1]] + self._others[word[-1]]
         return self._pieces(" " + word)
 
+    def foresee(self, texts: Iterable[str]) -> None:
+        """Remember the words of ``texts`` that are not known, from one sorted pass over their letters."""
+        words = set().union(*(text.split(" ") for text in texts)).difference(self._words, self._words.old)
+        stems = {w[:-1] if w[-1:] in MARKS else w for w in words if len(w) <= 200}
+        new = sorted(s for s in stems if s.isalpha() and s not in self._words and CLOSED(s) and CLOSED(s[-1]))
+        for stem, ids in zip(new, self.prefixes.encode_sorted((" " + stem).encode() for stem in new)):
+            self._words[stem] = tuple(ids)
+
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
         if CLOSED(first[-1:]) and (not rest or max(map(len, rest)) <= 200):
@@ -294,12 +331,13 @@ def encode_documents(df: DataFrame, path: str | None = None, *, text: str = "tex
 
     def work(texts: list[str]) -> list:
         encoder = encoder_for(key, ranks, pattern)
-        counts, ids_of, listed, decoded = [], [], [], []
+        counts, ids_of, listed, decoded, decimal = [], [], [], [], encoder.decimals.__getitem__
+        encoder.foresee(texts)
         for value in texts:
             ids = encoder.encode(value)
             counts.append(len(ids))
             ids_of.append(np.array(ids, dtype=np.int32) if with_ids else None)
-            listed.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            listed.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
         return [counts, ids_of, listed, decoded] if with_ids else [counts, listed, decoded]
 
