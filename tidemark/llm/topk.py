@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +41,27 @@ MOST_LONG = (1 << 63) - 1
 
 def integers(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, v, length): floor(SCALE * x), whole numbers held exactly as doubles, and the length, about."""
+    ship(df.sparkSession)
     rows = narrow(df, vec_id=vec_id, embedding=embedding).where("vec_id is not null and embedding is not null")
-    wide = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    fine = wide.where(F.forall("x", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(x, F.lit(float("nan"))))))
-    scaled = F.transform("x", lambda x: x * SCALE)
-    # a double of 2**52 or more is whole, and the long that floor() makes of it could overflow
-    out = fine.select("vec_id", F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)).alias("v"))
-    most = F.greatest(F.lit(1.0), F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
-    return out.withColumn("most", most).select("vec_id", "v", (F.col("most") * F.sqrt(squares)).alias("length"))
+    doubles = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False)  # null components become NaN
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("v")).to_numpy())])
+            rejected = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+            of_row, most = np.repeat(np.arange(len(batch)), np.diff(ends)), np.ones(len(batch))
+            with np.errstate(all="ignore"):
+                v = np.floor(x * SCALE) + 0.0
+                np.maximum.at(most, of_row, np.abs(v))
+                squares = np.bincount(of_row, weights=(v / most[of_row]) ** 2, minlength=len(batch))
+                length = most * np.sqrt(squares)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v))
+            made = pa.RecordBatch.from_arrays([batch.column("vec_id"), lists, pa.array(length)], names=["vec_id", "v", "length"])
+            yield made.filter(pa.array(np.diff(rejected[ends]) == 0))
+
+    kind = doubles.schema["vec_id"].dataType.simpleString()
+    return doubles.mapInArrow(whole, f"vec_id {kind}, v array<double>, length double")
 
 
 def bucket_of(length: Column) -> Column:
