@@ -357,3 +357,12 @@ def test_every_operator_has_a_query():
 
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.queries())
     assert numbers == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_whole_numbers_of_vectors(spark):
+    rows = [(1, [0.5, -0.001]), (2, []), (3, [1.0, None]), (4, [float("nan")]), (5, [float("-inf")]), (6, None), (None, [1.0]), (7, [1e300, -0.0]), ((1 << 53) + 1, [3.0, 4.0])]
+    made = topk.integers(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = {r["vec_id"]: (list(r["v"]), r["length"]) for r in made.collect()}
+    assert set(got) == {1, 2, 7, (1 << 53) + 1}
+    assert got[1][0] == [128.0, -1.0] and got[2] == ([], 0.0) and got[7][0] == [256e300, 0.0]
+    assert got[(1 << 53) + 1] == ([768.0, 1024.0], 1280.0)
