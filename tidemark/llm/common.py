@@ -110,6 +110,22 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start, end - start)
 
 
+def kept_bytes(kept: bytes) -> bytes:
+    """A table for ``bytes.translate``: A-Z to a-z, ``kept`` as they are, everything else to a space."""
+    lower = {65 + i: 97 + i for i in range(26)}
+    return bytes(lower.get(b, b if b in kept else 32) for b in range(256))
+
+
+def split_words(text: bytes | None, table: bytes, piece: int = SLICE) -> Iterator[list[bytes]]:
+    """The words that ``table`` leaves of a UTF-8 text (null: none), in lists of about ``piece`` bytes of text at a time."""
+    rest, at = (text or b"").translate(table), 0
+    while at < len(rest):
+        end = rest.find(b" ", at + piece)
+        end = len(rest) if end < 0 else end
+        yield rest[at:end].split()
+        at = end
+
+
 def texts_mapped(df: DataFrame, text: str, added: str, work: Callable[[list[str]], list], *, keep_text: bool = False) -> DataFrame:
     """``df`` with the columns ``added`` (a schema) that ``work`` makes of a list of texts, null read as empty.
 

@@ -16,6 +16,9 @@ MODULES = {
     "op8_topk": "topk",
     "op7_passages": "substring",
     "op6_chat": "chat",
+    "op11_secrets": "secrets",
+    "op12_divergence": "divergence",
+    "op13_lexical": "lexical",
 }
 
 
