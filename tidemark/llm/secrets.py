@@ -107,23 +107,24 @@ def allowed(text: str, start: int, end: int, values: frozenset[str]) -> bool:
 
 
 def added_spans(text: str, values: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, int]], int]:
-    """Spans of dense windows as (start, place, end), and how many more the allow-list kept out."""
+    """Spans of dense windows as (start, place, end), and in how many runs the allow-list kept more out."""
     out, kept_out = [], 0
     for run in RUN.finditer(text):
-        at, piece = run.start(), run.group()
+        at, piece, known = run.start(), run.group(), False
         for kind, pattern in PARTS.items():
             for part in pattern.finditer(piece):
                 found = dense(part.group(), CLASSES[kind][1])
                 if found and (allowed(text, at, run.end(), values) or allowed(text, at + part.start(), at + part.end(), values)):
-                    kept_out += len(found)
+                    known = True
                 else:
                     begin = at + part.start()
                     out += [(begin + s, KINDS.index(kind), begin + e) for s, e in found]
+        kept_out += known
     return out, kept_out
 
 
 def spans_of(text: str, values: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, int]], int]:
-    """All spans by start and kind, and the number that the allow-list kept out."""
+    """All spans by start and kind, and the number of runs in which the allow-list kept some out."""
     base = base_spans(text)
     more, kept_out = added_spans(text, values)
     # base spans first, then longer before shorter: a span within an earlier one ends no later than the furthest that starts before it
@@ -174,7 +175,7 @@ def masked(df: DataFrame, *, text: str = "text", allow: tuple[str, ...] = ()) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op11: secrets in whole texts of ``documents``."""
     found = find_secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda x: x["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    base, kinds = F.filter("spans", lambda x: x["kind"] < len(BASE)), F.transform("spans", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     n_added = F.size(F.filter("spans", lambda x: x["kind"] >= len(BASE))).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), n_added, "n_allowed")
