@@ -257,10 +257,12 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def apart(base: Column, more: Column) -> Column:
-    """Of the proposals ``more`` those that overlap no base span and no proposal kept before them, in one sweep by start."""
+    """Of the proposals ``more`` those that overlap no base span and no proposal kept before them, in one sweep by start.
+
+    The sweep goes in steps of STEP spans, so that its work grows nearly in proportion to their number."""
     marked = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["end"].alias("end")))
     nothing = F.lit(None).cast("struct<start:int,kind:int,end:int>")
-    first = F.struct(F.lit(0).alias("at"), nothing.alias("last"), F.array().cast(SPANS).alias("out"))
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         last, own = acc["last"], x["own"] == 1
@@ -271,9 +273,16 @@ def apart(base: Column, more: Column) -> Column:
         after = F.when(takes, F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).when(own, last).otherwise(nothing)
         return F.struct(F.when(own, acc["at"]).otherwise(F.greatest(acc["at"], x["end"])).alias("at"), after.alias("last"), out.alias("out"))
 
-    end = lambda acc: F.when(acc["last"].isNotNull(), F.concat(acc["out"], F.array(acc["last"]))).otherwise(acc["out"])
-    swept = F.aggregate(F.array_sort(F.concat(marked(base, 0), marked(more, 1))), first, step, end)
-    return F.when(F.size(more) == 0, F.array().cast(SPANS)).otherwise(swept)
+    def stride(acc: Column, part: Column) -> Column:
+        first = F.struct(acc["at"].alias("at"), acc["last"].alias("last"), none.alias("out"))
+        done = lambda inner: F.struct(inner["at"].alias("at"), inner["last"].alias("last"), F.concat(acc["done"], F.array(inner["out"])).alias("done"))
+        return F.aggregate(part, first, step, done)
+
+    both = F.array_sort(F.concat(marked(base, 0), marked(more, 1)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / STEP).cast("int")), lambda i: F.slice(both, i * STEP + 1, STEP))
+    first = F.struct(F.lit(0).alias("at"), nothing.alias("last"), F.array().cast(f"array<{SPANS}>").alias("done"))
+    end = lambda acc: F.concat(F.flatten(acc["done"]), F.when(acc["last"].isNotNull(), F.array(acc["last"])).otherwise(none))
+    return F.when(F.size(more) == 0, none).otherwise(F.aggregate(parts, first, stride, end))
 
 
 def find_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -316,14 +325,13 @@ def listed(spans: Column) -> Column:
 
 
 def digest(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the counts of base spans by kind, base_sha256, spans (base and added of those kinds) and
-    secrets (added credentials), as listed(), and n_added, the number of added spans of all kinds."""
+    """doc_id, the counts of base spans by kind, base_sha256, spans (all of them, base and added) as listed(), and
+    n_added, the number of added spans."""
     found = find_spans(df, doc_id=doc_id, text=text)
-    kinds, own = F.transform("base", lambda x: x["kind"]), len(BASE)
+    kinds = F.transform("base", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    personal, secrets = F.filter("spans", lambda x: x["kind"] < own), F.filter("spans", lambda x: x["kind"] >= own)
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(personal).alias("spans"), listed(secrets).alias("secrets"), added)
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added)
 
 
 def redacted(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
