@@ -412,6 +412,8 @@ def repeated_passages(df: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         of_kind = lambda kind: units.where(F.col("kind") == kind)  # noqa: B023, E731
         if not clash(docs, of_kind("paragraph"), seed):
             break
+    else:
+        raise ValueError("unlike lines share an id under every seed")
     near = paragraphs(docs, of_kind("paragraph"), seed)
     release(spark)
     return near.unionByName(passages(docs, of_kind("passage")))
