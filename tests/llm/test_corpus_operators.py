@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -212,15 +213,31 @@ def test_top_products_stay_exact_for_large_components(spark):
     assert topk.top_products(same).count() == 0
 
 
-def test_coordinates_prune_no_close_vector():
-    rng = np.random.default_rng(8)
-    units = rng.normal(size=(3000, 6))
-    units /= np.linalg.norm(units, axis=1)[:, None]
-    for threshold in (0.5, 0.8, 0.95):
-        for question in units[:40]:
-            kept = topk.by_coordinates(question, units, threshold)
-            assert set(np.flatnonzero(units @ question >= threshold)) <= set(kept)
-            assert len(kept) < len(units)
+def test_bounds_lose_no_vector_that_reaches():
+    rng = np.random.default_rng(2)
+    for width, power in ((1, 1), (5, 1), (64, 1), (64, 4), (200, 2)):
+        rows = np.floor(256 * rng.normal(0, 1, (600, width)) * rng.random((600, width)) ** power * 10.0 ** rng.integers(-1, 4, (600, 1)))
+        rows[:20] = 0
+        lengths = np.sqrt((rows * rows).sum(axis=1))
+        piece, asked = topk.Piece(np.arange(600), rows, lengths), rng.permutation(600)[:80]
+        scores = rows[asked] @ piece.rows.T
+        for rank in (1, 5, 60, 400):
+            floors = np.sort(scores, axis=1)[:, -rank]
+            open_to = piece.open_to(slice(0, 600), rows[asked] / np.maximum(lengths[asked], 1e-300)[:, None], lengths[asked], floors)
+            assert open_to[scores >= floors[:, None]].all()
+
+
+def test_most_products_are_skipped():
+    """On the test vectors, all of about the same length, coordinates leave out most products, and no result changes."""
+    vectors = np.floor(256 * np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"]).column(0).to_pylist(), dtype=float))
+    ids, lengths = np.arange(len(vectors)), np.sqrt((vectors * vectors).sum(axis=1))
+    piece, asked = topk.Piece(ids, vectors, lengths), slice(0, None, 50)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(scores)), ids[asked]] = -(1 << 40)
+    first = np.sort(scores[:, ::2], axis=1)[:, -5]  # as a sample of half of the rows would give
+    found = piece.best(ids[asked], vectors[asked], lengths[asked], first, 5)
+    want = {(q, c, int(scores[i, c])) for i, q in enumerate(ids[asked]) for c in np.lexsort((ids, -scores[i]))[:5]}
+    assert set(found) == want and piece.computed < 0.35 * piece.possible
 
 
 def test_passages(spark):
