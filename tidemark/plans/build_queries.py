@@ -143,33 +143,60 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Manifests of orders, their rows (lines) and the issues of these, with faults put in by rule."""
+    """Manifests of orders, their rows (lines) and the issues of these, with faults put in by rule. Every 13th order has a
+    reprocess as well, half of them under the order's own artifact; batch 1 has the earlier orders, 2 the later ones and
+    all reprocesses, 3 some manifests of batch 1 again."""
     orders, lines = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
     k = F.col("o_orderkey")
+    plain = F.create_map(F.lit("source"), F.lit("s"), F.lit("symbol"), F.lit("x"))
     base = F.create_map(F.lit("source"), F.when(k % 31 == 0, "other").otherwise("s"), F.lit("symbol"), F.when(k % 37 == 0, "ghp_abc").otherwise("x"))
     parameters = F.when(k % 29 == 0, F.map_concat(base, F.create_map(F.lit("apikey"), F.lit("1")))).otherwise(base)
     at = F.col("o_orderdate").cast("timestamp_ntz")
-    manifests = orders.select(
-        k.cast("string").alias("artifact_id"), F.lit("s").alias("source"), F.when(k % 41 != 0, F.col("o_custkey").cast("string")).alias("request_id"), F.when(k % 43 == 0, "failed").otherwise("success").alias("status"), at.alias("fetched_at"),
-        F.when(k % 23 == 0, "2.0.0").otherwise("1.0.0").alias("schema_version"), parameters.alias("request_parameters"), F.lit(None).cast("string").alias("given_receipt_id"), F.when(k % 19 != 0, F.concat(F.lit("/raw/"), k)).alias("raw_path"),
-        F.concat(F.lit("sha"), k).alias("sha256"), F.lit(10).alias("file_size"), F.when(k % 17 == 0, "lost").otherwise(F.concat(F.lit("sha"), k)).alias("found_sha256"), F.lit(10).alias("found_size"), (k % 13 == 0).alias("reprocessed"),
-    )
+    early = F.col("o_orderdate") < F.lit("1995-06-01").cast("date")
+    sides = []
+    for again in (False, True):
+        some = orders.where(k % 13 == 0) if again else orders
+        ok = lambda bad, good: F.lit(good) if again else bad  # noqa: B023, E731
+        sides.append(
+            some.select(
+                F.when(F.lit(again) & (k % 26 != 0), F.concat(F.lit("again"), k)).otherwise(k.cast("string")).alias("artifact_id"), F.lit("s").alias("source"), F.when(k % 41 != 0, F.concat_ws("-", "o_custkey", k)).alias("request_id"),
+                ok(F.when(k % 43 == 0, "failed").otherwise("success"), "success").alias("status"), at.alias("fetched_at"), ok(F.when(k % 23 == 0, "2.0.0").otherwise("1.0.0"), "1.0.0").alias("schema_version"),
+                (plain if again else parameters).alias("request_parameters"), F.when(F.lit(not again), F.concat(F.lit("r"), k)).alias("given_receipt_id"), (F.concat(F.lit("/raw/"), k) if again else F.when(k % 19 != 0, F.concat(F.lit("/raw/"), k))).alias("raw_path"),
+                F.concat(F.lit("sha"), k).alias("sha256"), F.lit(10).alias("file_size"), (F.concat(F.lit("sha"), k) if again else F.when(k % 17 == 0, "lost").otherwise(F.concat(F.lit("sha"), k))).alias("found_sha256"), F.lit(10).alias("found_size"),
+                F.lit(again).alias("reprocessed"), F.lit(not again).alias("network_performed"), F.when(early & F.lit(not again), 1).otherwise(2).alias("found_batch"),
+            )
+        )
+    manifests = sides[0].unionByName(sides[1])
+    manifests = manifests.unionByName(manifests.where("found_batch = 1 and crc32(artifact_id) % 5 = 0").withColumn("found_batch", F.lit(3)))
     rows = lines.join(orders.select("o_orderkey", at.alias("row_fetched_at")), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").cast("string").alias("artifact_id"), "l_linenumber", F.lit("s").alias("source"), F.when((F.col("l_orderkey") % 47 == 0) & (F.col("l_linenumber") == 1), "torn").otherwise(F.concat(F.lit("sha"), "l_orderkey")).alias("raw_sha256"),
-        F.when(F.col("l_orderkey") % 53 == 0, F.col("row_fetched_at") + F.make_dt_interval(days=F.lit(1))).otherwise(F.col("row_fetched_at")).alias("row_fetched_at"),
-    )
+        F.when(F.col("l_orderkey") % 53 == 0, F.col("row_fetched_at") + F.make_dt_interval(days=F.lit(1))).otherwise(F.col("row_fetched_at")).alias("row_fetched_at"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("line"),
+    )
     issues = lines.where("l_orderkey % 11 = 0").select(F.col("l_orderkey").cast("string").alias("artifact_id"), F.when(F.col("l_orderkey") % 2 == 0, "negative_price").otherwise("zero_price").alias("code"))
     return manifests, rows, issues
 
 
+def _imported(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A table after three batches; an artifact's rows land with the first manifest that names it."""
+    manifests, rows, issues = _landed(spark, sf)
+    root = store.scratch(spark)
+    for batch in (1, 2, 3):
+        landed = store.stored(manifests.where(F.col("found_batch") == batch).drop("found_batch"))
+        own = landed.select("artifact_id").distinct()
+        imports.import_into(root, landed, rows.join(own, "artifact_id", "left_semi"), issues.join(own, "artifact_id", "left_semi"), ts("1998-01-01 00:00:00"), row_key=["line"], buckets=8)
+    return store.read(spark, f"{root}/{table}")
+
+
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    found = imports.imported(*_landed(spark, sf), ts("1998-01-01 00:00:00"))
-    return found["quarantine"].groupBy("reason").agg(F.count("*").alias("n"))
+    return _imported(spark, sf, "quarantine").select("artifact_id", "reason")
+
+
+def import_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _imported(spark, sf, "links").select("artifact_id", "receipt_id", "status", "reprocessed")
 
 
 def import_versions(spark: SparkSession, sf: str) -> DataFrame:
-    found = imports.imported(*_landed(spark, sf), ts("1998-01-01 00:00:00"))
-    return found["versions"].agg(F.count("*").alias("n_versions"), F.count_distinct("receipt_id").alias("n_receipts"))
+    return _imported(spark, sf, "versions").select("artifact_id", "line", "receipt_id")
 
 
 def calendar_import(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,11 +456,22 @@ _BUILD = (
   UNION ALL SELECT 'pairs', 'ready' FROM it WHERE st = 'ready' AND ls = 'ready' UNION ALL SELECT 'pairs', 'learning_ready' FROM it WHERE st = 'ready' AND ls = 'ready' AND security % 2 = 0 AND rdy < ent)"""
 )
 _I = """
-WITH m AS (SELECT o_orderkey AS k, o_custkey, o_orderdate, CASE WHEN o_orderkey % 23 = 0 THEN 'unsupported_manifest_schema' WHEN o_orderkey % 41 = 0 THEN 'missing_manifest_column' WHEN o_orderkey % 29 = 0 THEN 'unsafe_manifest_parameters'
-  WHEN o_orderkey % 31 = 0 THEN 'manifest_source_mismatch' WHEN o_orderkey % 37 = 0 THEN 'unsafe_manifest_credentials' WHEN o_orderdate > TIMESTAMP '1998-01-01' THEN 'receipt_in_the_future' WHEN o_orderkey % 19 <> 0 AND o_orderkey % 17 = 0 THEN 'raw_hash_or_size_mismatch'
-  WHEN o_orderkey % 19 = 0 THEN 'missing_raw_file' WHEN o_orderkey % 13 = 0 THEN 'original_receipt_missing' WHEN o_orderkey % 22 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey) THEN 'normalized_price_validation_failure'
-  WHEN o_orderkey % 47 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND l.l_linenumber = 1) THEN 'row_provenance_mismatch'
-  WHEN o_orderkey % 53 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey) THEN 'row_receipt_time_mismatch' END AS why FROM orders)"""
+WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderkey % 23 = 0 THEN 'unsupported_manifest_schema' WHEN o_orderkey % 41 = 0 THEN 'missing_manifest_column' WHEN o_orderkey % 29 = 0 THEN 'unsafe_manifest_parameters'
+  WHEN o_orderkey % 31 = 0 THEN 'manifest_source_mismatch' WHEN o_orderkey % 37 = 0 THEN 'unsafe_manifest_credentials' WHEN o_orderdate > TIMESTAMP '1998-01-01' THEN 'receipt_in_the_future' END AS first,
+ CASE WHEN o_orderkey % 43 = 0 THEN 'failed' ELSE 'success' END AS status FROM orders)
+, t AS (SELECT o.*, CASE WHEN k % 19 <> 0 AND k % 17 = 0 THEN 'raw_hash_or_size_mismatch' WHEN k % 19 = 0 THEN 'missing_raw_file' WHEN k % 43 = 0 THEN NULL
+  WHEN k % 22 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k) THEN 'normalized_price_validation_failure'
+  WHEN k % 47 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k AND l.l_linenumber = 1) THEN 'row_provenance_mismatch'
+  WHEN k % 53 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k) THEN 'row_receipt_time_mismatch' END AS later FROM o)
+, m AS (
+ SELECT CAST(k AS VARCHAR) AS artifact_id, k, 'r' || k AS receipt_id, status, false AS reprocessed, coalesce(first, later) AS why FROM t
+ UNION ALL
+ SELECT CASE WHEN k % 26 <> 0 THEN 'again' || k ELSE CAST(k AS VARCHAR) END, k, 'r' || k, 'success', true,
+  CASE WHEN k % 41 = 0 THEN 'missing_manifest_column' WHEN d > TIMESTAMP '1998-01-01' THEN 'receipt_in_the_future' WHEN first IS NOT NULL THEN 'reprocess_without_origin_receipt' WHEN later IS NOT NULL THEN 'origin_receipt_quarantined'
+   WHEN k % 26 = 0 AND k % 22 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k) THEN 'normalized_price_validation_failure'
+   WHEN k % 26 = 0 AND k % 47 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k AND l.l_linenumber = 1) THEN 'row_provenance_mismatch'
+   WHEN k % 26 = 0 AND k % 53 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k) THEN 'row_receipt_time_mismatch' END
+ FROM t WHERE k % 13 = 0)"""
 
 QUERIES = {
     "prediction_checks": (prediction_checks, _P + "\nSELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM chk) GROUP BY 1"),
@@ -481,8 +519,12 @@ SELECT coalesce(r, 'predicted') AS reason, count(*) AS n, CASE WHEN r IS NULL TH
 SELECT count(*) FILTER (ok) AS n_eligible, count(*) AS n_rows, CASE WHEN count(*) FILTER (ok) > 0 THEN 'OK' ELSE 'BLOCKED' END AS status FROM r""",
     ),
     "quality_report": (quality_report, None),
-    "import_quarantine": (quarantine, _I + "\nSELECT why AS reason, count(*) AS n FROM m WHERE why IS NOT NULL GROUP BY 1"),
-    "import_versions": (import_versions, _I + "\nSELECT count(*) AS n_versions, count(DISTINCT k) AS n_receipts FROM m JOIN lineitem l ON l.l_orderkey = m.k WHERE why IS NULL"),
+    "import_quarantine": (quarantine, _I + "\nSELECT artifact_id, why AS reason FROM m WHERE why IS NOT NULL"),
+    "import_links": (import_links, _I + "\nSELECT artifact_id, receipt_id, status, reprocessed FROM m WHERE why IS NULL"),
+    "import_versions": (
+        import_versions,
+        _I + "\nSELECT DISTINCT artifact_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS line, receipt_id FROM m JOIN lineitem l ON CAST(l.l_orderkey AS VARCHAR) = m.artifact_id WHERE why IS NULL",
+    ),
     "calendar_import": (calendar_import, _CAL + "\nSELECT 'XNYS' AS exchange, CASE WHEN idx % 50 = 7 THEN 'session_clock_order' END AS reason, count(*) AS n, 1::BIGINT AS n_versions FROM sessions GROUP BY 2"),
     "label_guards": (label_guards(endpoint_conflicts_only=False), _guard_sql("WHEN k = 4 THEN 'blocked:unresolved_label_query_conflict'")),
     "label_guards_endpoint_conflicts": (label_guards(endpoint_conflicts_only=True), _guard_sql("")),

@@ -10,7 +10,7 @@ from tidemark.functions import values
 from tidemark.operators import ingest
 from tidemark.plans.roles import ctes, role
 from tidemark.sources import providers, store
-from tidemark.streaming import cycle
+from tidemark.streaming import collect, cycle
 
 
 def _listed(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
@@ -23,32 +23,92 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.where("issue is null").select("request_id", "trading_date", "open", "high", "low", "close", "volume", "observation_status")
 
 
-def chart(spark: SparkSession, sf: str) -> DataFrame:
+def chart_bodies(spark: SparkSession, sf: str) -> DataFrame:
     fields = ("open", "high", "low", "close", "volume")
     rows = _listed(spark, sf, *fields)
     quote = F.struct(*[F.col(f"r.{f}").alias(f) for f in fields])
     at = F.transform("r", lambda x: F.unix_timestamp(x["trading_date"].cast("timestamp")) + 50400)
     result = F.struct(F.struct(F.lit("USD").alias("currency"), F.lit("America/New_York").alias("exchangeTimezoneName")).alias("meta"), at.alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
-    return _plain(providers.chart_json(rows.select("request_id", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("body"))))
+    return rows.select("request_id", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("body"))
 
 
-def keyed(spark: SparkSession, sf: str) -> DataFrame:
+def keyed_bodies(spark: SparkSession, sf: str) -> DataFrame:
     rows = role(spark, sf, "bars").withColumn("trading_date", F.col("trading_date").cast("string"))
     text = F.map_from_entries(F.array(*[F.struct(F.lit(f"{k}. {c}"), F.col(c).cast("string")) for k, c in enumerate(("open", "high", "low", "close", "volume"), 1)]))
     days = rows.groupBy(F.concat(F.lit("N"), F.col("security")).alias("request_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("trading_date"), text))).alias("d"))
-    return _plain(providers.keyed_json(days.select("request_id", F.to_json(F.struct(F.col("d").alias("Time Series (Daily)"))).alias("body"))))
+    return days.select("request_id", F.to_json(F.struct(F.col("d").alias("Time Series (Daily)"))).alias("body"))
 
 
-def array(spark: SparkSession, sf: str) -> DataFrame:
+def array_bodies(spark: SparkSession, sf: str) -> DataFrame:
     rows = _listed(spark, sf, "open", "high", "low", "close", "volume")
     body = F.to_json(F.transform("r", lambda x: F.struct(x["trading_date"].cast("string").alias("date"), *[x[c].alias(c) for c in ("open", "high", "low", "close", "volume")])))
-    return _plain(providers.array_json(rows.select("request_id", body.alias("body")), "1990-01-01", "2010-12-31"))
+    return rows.select("request_id", body.alias("body"))
 
 
-def csv(spark: SparkSession, sf: str) -> DataFrame:
+def csv_bodies(spark: SparkSession, sf: str) -> DataFrame:
     rows = _listed(spark, sf, "open", "high", "low", "close", "volume")
     lines = F.transform("r", lambda x: F.concat_ws(",", x["trading_date"].cast("string"), *[x[c].cast("string") for c in ("open", "high", "low", "close", "volume")]))
-    return _plain(providers.csv_text(rows.select("request_id", F.concat(F.lit("Date,Open,High,Low,Close,Volume\n"), F.array_join(lines, "\n")).alias("body"))))
+    return rows.select("request_id", F.concat(F.lit("Date,Open,High,Low,Close,Volume\n"), F.array_join(lines, "\n")).alias("body"))
+
+
+def chart(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(providers.chart_json(chart_bodies(spark, sf)))
+
+
+def keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(providers.keyed_json(keyed_bodies(spark, sf)))
+
+
+def array(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(providers.array_json(array_bodies(spark, sf), "1990-01-01", "2010-12-31"))
+
+
+def csv(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(providers.csv_text(csv_bodies(spark, sf)))
+
+
+#: The first and last day that collected requests ask for.
+ASKED = ("1993-01-01", "1996-12-31")
+
+
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a collector lands: for each nation a response in the form of its source, some of them failed or torn, and later a request to be served from what is stored."""
+    made = {"chart_json": chart_bodies, "keyed_json": keyed_bodies, "array_json": array_bodies, "csv": csv_bodies}
+    rows = None
+    for k, (source, bodies) in enumerate(made.items()):
+        some = bodies(spark, sf).withColumns({"n": F.substring("request_id", 2, 9).cast("int"), "source": F.lit(source)}).where(F.col("n") % 4 == k)
+        rows = some if rows is None else rows.unionByName(some)
+    n = F.col("n")
+    source = F.when(n == 24, "unheard").otherwise(F.col("source"))
+    common = F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in {"source": source, "symbol": F.concat(F.lit("N"), n), "secret": F.lit("x")}.items()]))
+    period = F.map_concat(common, F.create_map(F.lit("start"), F.lit(ASKED[0]), F.lit("end"), F.lit(ASKED[1])))
+    parameters = F.when(F.col("source") == "chart_json", period).otherwise(common)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + n)
+    torn = F.when(n % 10 == 5, F.substring("body", 1, 40)).when(n % 10 == 6, "").otherwise(F.col("body"))
+    code = F.when(n % 10 == 7, 429).when(n % 10 == 8, 404).otherwise(200)
+    fetched = rows.select(parameters.alias("parameters"), code.alias("http_status"), F.when(n % 10 == 9, "timeout").alias("error"), at.alias("fetched_at"), at.alias("recorded_at"), F.when(n % 10 != 9, torn).alias("body"), F.lit(1).alias("turn"))
+    later = at + F.make_dt_interval(days=F.lit(1))
+    return fetched.unionByName(rows.select(parameters.alias("parameters"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("error"), later.alias("fetched_at"), later.alias("recorded_at"), F.lit(None).cast("string").alias("body"), F.lit(2).alias("turn")))
+
+
+def _collected(spark: SparkSession, sf: str, sink: str) -> DataFrame:
+    """A sink after two runs of one stream, the second with newer code, over responses and then over requests without any."""
+    folder = store.scratch(spark)
+    landed = store.stored(_landed(spark, sf))
+    for turn in (1, 2):
+        landed.where(F.col("turn") == turn).drop("turn").repartition(3).write.mode("append").json(f"{folder}/landing")
+        stream = cycle.landing(spark, f"{folder}/landing", collect.LANDED, files_per_batch=2)
+        collect.collect(stream, f"{folder}/store", f"{folder}/checkpoint", code_version=str(turn)).awaitTermination()
+    return collect.committed(spark, f"{folder}/store", sink)
+
+
+def collected_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _collected(spark, sf, "manifests")
+    return rows.select(F.col("request_parameters")["symbol"].alias("symbol"), "source", "network_performed", "status", "n_bars", "first_date", "last_date", F.map_contains_key("request_parameters", "secret").alias("leaks"), F.col("origin_receipt_id").isNotNull().alias("has_origin"))
+
+
+def collected_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return _collected(spark, sf, "bars").groupBy("source", "trading_date").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), F.max("close").alias("high"))
 
 
 def directory(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,12 +163,12 @@ def action_faults(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def appended_once(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream, appended to a table once by user and type although the stream runs twice."""
+    """Events as a stream, appended to a table once by user and type, although the stream runs again from its checkpoint and once from none."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     folder = store.scratch(spark)
-    for run in (1, 2):
+    for checkpoint in ("first", "first", "none"):
         stream = spark.readStream.schema(schema).parquet(f"{sf}/event*.parquet").select("user_id", "event_type")
-        cycle.append_once(stream, f"{folder}/table", ["user_id", "event_type"], f"{folder}/checkpoint{run}").awaitTermination()
+        cycle.append_once(stream, f"{folder}/table", ["user_id", "event_type"], f"{folder}/{checkpoint}").awaitTermination()
     return spark.read.parquet(f"{folder}/table").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -121,7 +181,27 @@ def _bars_sql() -> str:
     return ctes("bars") + "\nSELECT 'N' || security AS request_id, trading_date, open, high, low, close, volume, CASE WHEN volume = 0 THEN 'reported_zero_volume' ELSE 'observed' END AS observation_status FROM bars"
 
 
+#: Requests by rule, and what becomes of each fetched one.
+_COLLECTED = f"""
+, r AS (SELECT DISTINCT security AS n, ['chart_json', 'keyed_json', 'array_json', 'csv'][security % 4 + 1] AS kind FROM bars)
+, f AS (SELECT n, CASE WHEN n = 24 THEN 'unheard' ELSE kind END AS source, CASE WHEN n % 10 = 9 THEN 'timeout' WHEN n % 10 = 7 THEN 'rate_limited' WHEN n % 10 = 8 THEN 'not_found' WHEN n % 10 = 6 THEN 'empty_response' WHEN n = 24 THEN 'unknown_provider'
+  WHEN n % 10 = 5 THEN CASE kind WHEN 'csv' THEN 'invalid_date' ELSE 'schema_change' END ELSE 'success' END AS status FROM r)
+, b AS (SELECT n, source, trading_date, close, volume FROM f JOIN bars ON bars.security = n WHERE status = 'success' AND (source <> 'chart_json' OR trading_date BETWEEN DATE '{ASKED[0]}' AND DATE '{ASKED[1]}'))
+, c AS (SELECT n, count(*) AS n_bars, min(trading_date) AS first_date, max(trading_date) AS last_date FROM b GROUP BY 1)"""
+
 QUERIES = {
+    "collected_manifests": (
+        collected_manifests,
+        ctes("bars")
+        + _COLLECTED
+        + """
+SELECT 'N' || n AS symbol, source, own AS network_performed, CASE WHEN own THEN status WHEN status = 'success' THEN 'reprocessed' ELSE 'not_fetched' END AS status, n_bars, first_date, last_date, false AS leaks, NOT own AND status = 'success' AS has_origin
+FROM f LEFT JOIN c USING (n), (SELECT true AS own UNION ALL SELECT false) o""",
+    ),
+    "collected_bars": (
+        collected_bars,
+        ctes("bars") + _COLLECTED + "\nSELECT source, trading_date, 2 * count(*) AS n, CAST(2 * sum(volume) AS BIGINT) AS volume, max(close) AS high FROM b GROUP BY 1, 2",
+    ),
     "source_chart_json": (chart, _bars_sql()),
     "source_keyed_json": (keyed, _bars_sql()),
     "source_array_json": (array, _bars_sql()),

@@ -1,24 +1,39 @@
-"""Append-only tables as Parquet folders: idempotent appends, snapshots by digest, sealed records."""
+"""Append-only tables as Parquet folders: idempotent appends, snapshots by digest, sealed records.
+
+A table is partitioned by a hash of its key, so that an append, and a look-up by keys, reads the buckets
+of its own keys only. Members of a snapshot have ordinals from range partitions, and the snapshot's
+digest is a tree of digests over them.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
+from hashlib import sha256
 from pathlib import Path
 
+import pyspark
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.datasets import snapshot_digest
+import tidemark
+from tidemark.functions.values import digest
+
+#: The partition column of a table, its number of buckets, and the members under one digest of a tree.
+BUCKET, BUCKETS, FAN = "key_bucket", 64, 1024
+#: Rows of one range of a numbered table, about, and the most ranges.
+RANGE, RANGES = 500_000, 10_000
 
 
 class Conflict(ValueError):
     """Content differs from what is already stored under the same key."""
 
 
-def read(spark: SparkSession, path: str) -> DataFrame | None:
+def found(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table with its bucket column, or None where nothing was written yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -27,6 +42,33 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    rows = found(spark, path)
+    return rows if rows is None else rows.drop(BUCKET)
+
+
+def bucket_of(key: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def of_buckets(keys: DataFrame, path: str) -> DataFrame | None:
+    """The rows of a table in the buckets that ``keys`` (with the bucket column) fall in; other buckets' files are not read."""
+    rows = found(keys.sparkSession, path)
+    if rows is None:
+        return None
+    if BUCKET not in rows.columns:
+        raise Conflict(f"{path} is not a table by buckets of its key")
+    touched = [r[0] for r in keys.select(BUCKET).distinct().collect()]  # BUCKETS numbers at most
+    return rows.where(F.col(BUCKET).isin(touched))
+
+
+def lookup(keys: DataFrame, path: str, key: list[str], *, buckets: int = BUCKETS) -> DataFrame | None:
+    """The rows of a table whose key is among ``keys``."""
+    wanted = keys.select(*key).distinct().withColumn(BUCKET, bucket_of(key, buckets))
+    rows = of_buckets(wanted, path)
+    return rows if rows is None else rows.join(wanted, [BUCKET, *key], "left_semi").drop(BUCKET)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder's name under the session's ``spark.checkpoint.dir``, which all executors share; where it is unset
     and Spark runs in one process, under a temporary folder."""
@@ -44,32 +86,114 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def append(rows: DataFrame, path: str, key: list[str], *, content: list[str] | None = None) -> None:
-    """Append rows whose key is new. With ``content``, a known key with other content is a conflict.
+def append(rows: DataFrame, path: str, key: list[str], *, content: list[str] | None = None, by: list[str] | None = None, buckets: int = BUCKETS) -> None:
+    """Append rows whose key is new. With ``content``, a key with other content, stored or in the same call, is a conflict.
 
-    Rows of one call with equal keys count once. One writer per table.
+    Rows of one call with equal keys count once. One writer per table, always with the same ``buckets`` and the same part
+    ``by`` of the key that buckets go by. A call that was cut off while it wrote can be made again: what it had written is
+    known by then.
     """
-    fresh = rows.dropDuplicates(key)
-    known = read(rows.sparkSession, path)
+    given = stored(rows.withColumn(BUCKET, bucket_of(by or key, buckets)))
+    fresh = given.dropDuplicates(key)
+    if content:
+        marks = given.groupBy(*key).agg(F.count_distinct(F.to_json(F.struct(*content), {"ignoreNullFields": "false"})).alias("n"))
+        if not marks.where("n > 1").isEmpty():
+            raise Conflict(f"rows for {path} have unlike content under one key")
+    known = of_buckets(given, path)
     if known is not None:
         if content:
-            now = known.select(*key, F.struct(*content).alias("_known"))
-            other = fresh.select(*key, F.struct(*content).alias("_new")).join(now, key).where(~F.col("_new").eqNullSafe(F.col("_known")))
+            now = known.select(BUCKET, *key, F.struct(*content).alias("_known"))
+            other = fresh.select(BUCKET, *key, F.struct(*content).alias("_new")).join(now, [BUCKET, *key]).where(~F.col("_new").eqNullSafe(F.col("_known")))
             if not other.isEmpty():
                 raise Conflict(f"{path} has other content under a key that is appended again")
-        fresh = fresh.join(known.select(*key), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+        fresh = fresh.join(known.select(BUCKET, *key), [BUCKET, *key], "left_anti")
+    fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``ordinal``, their place from 0 in ``order``, without sorting them in one task.
+
+    Rows go to ranges of the order; a range's rows are numbered in it, from the number of rows in the ranges before.
+    Rows that ``order`` does not tell apart stay in one range, so it should end with an id.
+    """
+    rows = stored(rows)
+    ranges = min(RANGES, max(1, -(-rows.count() // RANGE)))
+    ranged = stored(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # RANGES rows at most
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "_range").withColumn("ordinal", F.col("_before") + place).drop("_range", "_before")
+
 
+def tree_digest(members: DataFrame, *, fan: int = FAN) -> tuple[int, str]:
+    """The number of members (ordinal, content_sha256) and the digest at the root of a tree over them.
 
-def freeze(members: DataFrame, root: str) -> str:
-    """Write members (with content_sha256) under the digest of the set; an equal snapshot is reused. Returns its path."""
-    row = snapshot_digest(members).select(F.sha2(F.concat_ws("|", F.col("n_items").cast("string"), "content_sum"), 256).alias("d")).first()
-    path = f"{root.rstrip('/')}/{row['d']}"
-    if read(members.sparkSession, path) is None:
-        members.write.mode("errorifexists").parquet(path)
+    A node is the digest of its up to ``fan`` children's, in their order, so a change of any member, or of its place,
+    changes the root, and no task holds more than ``fan`` digests at a time.
+    """
+    size = n = members.count()
+    level = members.select(F.col("ordinal").alias("at"), F.col("content_sha256").alias("d"))
+    while n > 1:
+        node = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "")
+        level = stored(level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(F.sha2(node, 256).alias("d")))
+        n = -(-n // fan)
+    top = level.first()
+    return size, top["d"] if top else ""
+
+
+def engine_version() -> str:
+    """A digest of this package's own code and of Spark's version, pinned into what is frozen."""
+    root = Path(tidemark.__file__).parent
+    code = sorted((p.relative_to(root).as_posix(), p.read_bytes()) for p in root.rglob("*.py"))
+    return sha256(b"\0".join(name.encode() + b"\0" + body for name, body in code) + pyspark.__version__.encode()).hexdigest()
+
+
+def freeze(members: DataFrame, root: str, *, order: list[str] | None = None, metadata: dict | None = None) -> str:
+    """Write members (with content_sha256) with their ordinals under the digest of them and of ``metadata``; an equal
+    snapshot is reused. Returns its path. The row of ``head`` is written last, so a snapshot without it is none."""
+    spark = members.sparkSession
+    items = stored(numbered(members, order or ["content_sha256"]))
+    size, top = tree_digest(items)
+    told = json.dumps(metadata or {}, sort_keys=True)
+    snapshot = sha256(f"{told}|{size}|{top}".encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{snapshot}"
+    if found(spark, f"{path}/head") is None:
+        items.write.mode("overwrite").parquet(f"{path}/items")
+        head = spark.createDataFrame([(snapshot, size, top, told, engine_version())], "snapshot_id string, n_items bigint, tree_sha256 string, metadata string, engine_sha256 string")
+        head.write.mode("overwrite").parquet(f"{path}/head")
     return path
 
 
+def replayed_snapshot(spark: SparkSession, path: str, *, content: list[str] | None = None, files: DataFrame | None = None, file_key: tuple[str, str] = ("raw_path", "raw_sha256")) -> DataFrame:
+    """issue, ordinal and detail of all that a frozen snapshot does not hold to; no rows if it is whole. Nothing is queried again.
+
+    With ``content``, columns of the items, each member's digest is that of these columns. With ``files`` (path, sha256, as
+    raw_files gives them) the files that items name are there and have the digests that the items say.
+    """
+    head = found(spark, f"{path}/head")
+    if head is None:
+        raise ValueError("snapshot_not_found")
+    told = head.first()
+    items = spark.read.parquet(f"{path}/items")
+    size, top = tree_digest(items)
+    whole = [("snapshot_item_count_mismatch", None, str(size))] if size != told["n_items"] else []
+    whole += [("snapshot_content_hash_mismatch", None, top)] if top != told["tree_sha256"] else []
+    whole += [("snapshot_id_mismatch", None, path)] if sha256(f"{told['metadata']}|{told['n_items']}|{told['tree_sha256']}".encode()).hexdigest() != told["snapshot_id"] else []
+    whole += [("engine_version_changed", None, told["engine_sha256"])] if told["engine_sha256"] != engine_version() else []
+    out = spark.createDataFrame(whole, "issue string, ordinal bigint, detail string")
+    twice = items.groupBy("ordinal").agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("ordinal") < 0) | (F.col("ordinal") >= told["n_items"]))
+    out = out.unionByName(twice.select(F.lit("snapshot_ordinal_mismatch").alias("issue"), F.col("ordinal").cast("bigint"), F.col("n").cast("string").alias("detail")))
+    if content:
+        torn = items.where(digest(*[F.col(c) for c in content]) != F.col("content_sha256"))
+        out = out.unionByName(torn.select(F.lit("snapshot_version_mismatch").alias("issue"), F.col("ordinal").cast("bigint"), F.col("content_sha256").alias("detail")))
+    if files is not None:
+        name, sha = file_key
+        now = files.select(F.col("path").alias(name), F.col("sha256").alias("_now")).dropDuplicates([name])
+        bad = items.where(F.col(name).isNotNull()).join(now, name, "left").where(~F.coalesce(F.col("_now") == F.col(sha), F.lit(False)))
+        out = out.unionByName(bad.select(F.lit("snapshot_evidence_file_missing_or_corrupt").alias("issue"), F.col("ordinal").cast("bigint"), F.col(name).alias("detail")))
+    return out
+
+
 def export_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
