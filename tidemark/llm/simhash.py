@@ -29,8 +29,6 @@ WIDTH = BITS // SEGMENTS
 CROWDED, LOOKED_UP = 32, 1024
 #: Fingerprints in one partition of the index; shingles whose bits are counted at once.
 EACH, AT_ONCE = 20_000, 20_000
-#: Most keys or rows that are broadcast; beyond it they are joined by shuffle.
-BROADCAST_KEYS = 200_000
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> list[int]:
@@ -95,9 +93,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     rows = index_rows(prints)
     sizes = rows.groupBy("segment", "value").agg(F.count_if("stored").alias("held"), F.count("*").alias("n")).where("held > 0 and n > 1")
     crowded = (F.col("held") > CROWDED) | (F.col("n") > LOOKED_UP)
-    keys = cut(sizes.select("segment", "value", crowded.alias("crowded")))
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    met = cut(rows.join(side, ["segment", "value"]))
+    met = cut(rows.join(sizes.select("segment", "value", crowded.alias("crowded")), ["segment", "value"]))
     few = met.where("not crowded")
     found = few.where("stored").select("segment", "value", F.col("fp").alias("u"))
     asking = few.select("segment", "value", F.col("fp").alias("v"), F.col("stored").alias("same"))
@@ -143,7 +139,7 @@ def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     n = stay.count()
     same = (F.col(f"`{doc_id}`").eqNullSafe(F.col("_stay_doc_id"))) & (F.col("_one") == F.col("_stay_one")) & (F.col("_two") == F.col("_stay_two"))
     side = stay.select([F.col(c).alias(f"_stay{c}") for c in stay.columns])
-    kept = df.select("*", *digest).join(F.broadcast(side) if n <= BROADCAST_KEYS else side, same, "left_semi")
+    kept = df.select("*", *digest).join(side, same, "left_semi")
     if chosen.count() > n:  # rows that repeat both id and text
         rest = [c for c in df.columns if c not in (doc_id, text)]
         least = F.min(F.struct(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest])).alias("_row")
