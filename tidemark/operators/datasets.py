@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import all_reasons, digest, first_reason
+from tidemark.operators.pit import assertion_reason
 
 
 def training_selection(rows: DataFrame, asof: Column, *, allow_research: bool = False) -> DataFrame:
@@ -35,6 +36,79 @@ def learning_reasons(asof: Column) -> Column:
     )
 
 
+SCOPES, CONTRACT = ("strict_history", "fixed_security_research", "forward_observed"), "5.5"
+
+
+def rights_reasons(rights: DataFrame, key: list[str], asof: Column, *, scope: str, rights_asof: Column | None = None) -> DataFrame:
+    """key and right_reasons of the evidence of rights that each sample names.
+
+    rights: key, valid (the file is what was said), source, symbol, series_source, series_symbol, model_training_allowed,
+    policy (the label's), and the facts of an assertion (pit.assertion_reason). Scopes other than strict history are judged
+    by receipts; a fixed research scope by those at ``rights_asof``, as a licence is checked now and not at a fold's time.
+    """
+    at = rights_asof if scope == "fixed_security_research" and rights_asof is not None else asof
+    observed, proven = (assertion_reason(at, policy)[1] for policy in ("observed", "historical_verified"))
+    why = observed if scope != "strict_history" else F.when(F.col("policy") == "observed", observed).otherwise(proven)
+    bound = F.col("source").eqNullSafe(F.col("series_source")) & F.col("symbol").eqNullSafe(F.col("series_symbol"))
+    usable = F.coalesce(F.col("valid"), F.lit(False))
+    each = F.array_compact(
+        F.array(
+            F.when(~usable, F.lit("learning_rights_evidence_invalid")),
+            F.when(usable & why.isNotNull(), F.concat(F.lit("learning_rights_"), why)),
+            F.when(usable & ~F.coalesce(F.col("model_training_allowed"), F.lit(False)), F.lit("model_training_permission_missing")),
+            F.when(usable & F.lit(scope != "strict_history") & ~bound, F.lit("learning_rights_series_binding_missing")),
+        )
+    )
+    out = rights.select(*key, usable.alias("_usable"), each.alias("_each")).groupBy(*key)
+    out = out.agg(F.max("_usable").alias("_any"), F.array_distinct(F.flatten(F.collect_set("_each"))).alias("_all"))  # of four words at most
+    return out.select(*key, F.when(F.col("_any"), F.col("_all")).otherwise(F.array_union("_all", F.array(F.lit("learning_rights_unconfirmed")))).alias("right_reasons"))
+
+
+def scoped_learning_reasons(rows: DataFrame, rights: DataFrame, key: list[str], asof: Column, *, scope: str, rights_asof: Column | None = None) -> DataFrame:
+    """Adds reasons: every reason, in order of their names, why a sample and label may not be learned from in a scope; empty if they may.
+
+    rows: key, the clocks and statuses of training_selection, feature_domain, label_domain, learning_ready, source, symbol,
+    scope_contract and label_contract (struct of version, scope, source, symbol, market_representative),
+    identifier_verification, scoped_input_eligible, feature_policy, label_policy, feature_ready_basis.
+    """
+    if scope not in SCOPES:
+        raise ValueError(f"scope has to be one of {SCOPES}")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    ready, decision, entry, contract = F.col("feature_ready_at"), F.col("decision_at"), F.col("intended_entry_at"), F.col("scope_contract")
+    pairs = [
+        (no(F.col("sample_status") == "ready"), "feature_sample_not_ready"),
+        (no((ready <= decision) & (decision < entry)), "feature_not_ready_by_decision"),
+        ((decision > asof) | (ready > asof), "feature_after_training_asof"),
+        (no(F.col("label_status") == "ready"), "label_not_ready"),
+        (no(F.col("label_available_at") <= asof), "label_not_available_at_training_asof"),
+        (no((F.col("feature_domain") == "market") & (F.col("label_domain") == "market")), "synthetic_not_market_training"),
+    ]
+    if scope == "strict_history":
+        pairs.append((no(F.col("learning_ready")), "legacy_strict_pit_or_rights_unmet"))
+    else:
+        bound = (contract["version"] == CONTRACT) & (contract["scope"] == scope) & (contract["source"] == F.col("source")) & (contract["symbol"] == F.col("symbol")) & ~contract["market_representative"]
+        pairs += [
+            (no(bound & F.col("label_contract").eqNullSafe(contract)), "explicit_matching_scope_contract_missing"),
+            (no(F.col("identifier_verification") == "verified"), "security_identity_unverified"),
+            (no(F.col("scoped_input_eligible")), "scoped_price_session_fields_unverified"),
+        ]
+    if scope == "forward_observed":
+        pairs += [
+            (no((F.col("feature_policy") == "observed") & (F.col("label_policy") == "observed")), "forward_scope_requires_observed_receipts"),
+            (no(F.col("feature_ready_basis") == "actual_operational_record"), "actual_feature_processing_record_required"),
+        ]
+    told = rights_reasons(rights, key, asof, scope=scope, rights_asof=rights_asof)
+    out = rows.join(told, key, "left")
+    rightless = F.coalesce("right_reasons", F.array(F.lit("learning_rights_unconfirmed")))
+    return out.select(*[F.col(c) for c in rows.columns], F.array_sort(F.array_distinct(F.concat(all_reasons(*pairs), rightless))).alias("reasons"))
+
+
+def selected_at(rows: DataFrame, rights: DataFrame, key: list[str], asof: Column, *, scope: str, rights_asof: Column | None = None) -> DataFrame:
+    """The samples that both the training selection at a clock and the reasons of a scope let through."""
+    scoped = scoped_learning_reasons(rows, rights, key, asof, scope=scope, rights_asof=rights_asof)
+    return training_selection(scoped, asof, allow_research=scope != "strict_history").where("reason is null and size(reasons) = 0").drop("reason", "reasons")
+
+
 def fold_plans(rows: DataFrame, *, kind: str, train: int, validation: int, test: int, step: int, gap: int = 0, date: str = "decision_date") -> DataFrame:
     """Folds over the distinct decision dates: fold, train/validation/test first and last dates, training_asof.
 

@@ -90,6 +90,7 @@ GUARDS = (
     ("coverage_missing", "blocked", "corporate_action_coverage_missing_or_not_available"),
     ("coverage_mismatch", "blocked", "corporate_action_coverage_series_mismatch"),
     ("action_mismatch", "blocked", "corporate_action_security_or_source_mismatch"),
+    ("action_coverage", "blocked", "price_action_coverage_unverified"),
     ("ledger_blocked", "blocked", "corporate_action_ledger_blocked"),
     ("available_late", "pending", "label_processing_delay_not_completed"),
 )
@@ -142,10 +143,22 @@ def context_guards(evaluation_at: Column, *, currency: str, endpoint_conflicts_o
     }
 
 
-def with_status(rows: DataFrame, guards: dict[str, Column]) -> DataFrame:
-    """Adds status and reason by the first guard that holds; ready with a null reason if none does."""
+def rule_guards() -> dict[str, tuple[Column, Column]]:
+    """The guards of the rules by evidence (label_rules), each with its own reason: columns conflict, halt_reason, price_coverage_reason."""
+    told = lambda c: (F.col(c).isNotNull(), F.col(c))
+    return {"conflict": (F.col("conflict"), F.lit("unresolved_label_query_conflict")), "halted": told("halt_reason"), "action_coverage": told("price_coverage_reason")}
+
+
+def with_status(rows: DataFrame, guards: dict[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """Adds status and reason by the first guard that holds; ready with a null reason if none does. A guard may bring a
+    reason of its own beside its condition."""
+    own = {name: guard if isinstance(guard, tuple) else (guard, None) for name, guard in guards.items()}
     verdict = F.coalesce(
-        *[F.when(F.coalesce(guards[name], F.lit(False)), F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))) for name, status, reason in GUARDS if name in guards],
+        *[
+            F.when(F.coalesce(own[name][0], F.lit(False)), F.struct(F.lit(status).alias("status"), (F.lit(reason) if own[name][1] is None else own[name][1]).alias("reason")))
+            for name, status, reason in GUARDS
+            if name in own
+        ],
         F.struct(F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason")),
     )
     return rows.withColumn("_v", verdict).select(*rows.columns, "_v.status", "_v.reason")

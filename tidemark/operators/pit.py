@@ -2,7 +2,8 @@
 
 A version's artifact has links to receipts; a policy decides from receipts (observed), from
 version-bound publication evidence (historical_verified) or from a declared rule (research_assumed)
-when the version became available. Everything is one lazy plan; the cutoff can be a column.
+when the version became available. Everything is one lazy plan, but for the days of securities that symbols
+are resolved for, which are written once; the cutoff can be a column.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import assumed_available, first_reason, half_open
+from tidemark.functions.values import assumed_available, first_reason
+from tidemark.operators import intervals
+from tidemark.sources.store import stored
 
 POLICIES = ("observed", "historical_verified", "research_assumed")
 #: Seconds of a day and of an hour.
@@ -175,32 +178,33 @@ def calendar_bound(versions: DataFrame, sessions: DataFrame, cutoff: Column, pol
     return out.withColumns({"bound_reason": reason, "bound_end": F.coalesce("observation_end", "_close")}).drop("_sessions", "_known", "_calendars", "_close")
 
 
-def resolve_symbols(rows: DataFrame, assertions: DataFrame, *, date: str = "trading_date") -> DataFrame:
+def resolve_symbols(rows: DataFrame, assertions: DataFrame, *, date: str = "trading_date", symbols: list[str] | None = None) -> DataFrame:
     """Adds mapping_reason and symbols: effective, latest and active symbol assertions of each row's security.
 
     assertions (already eligible): assertion_id, symbol, security, exchange, effective_from,
-    effective_to, record_state, order_at. A date can have one security and exchange per symbol.
+    effective_to, record_state, order_at. A date can have one security and exchange per symbol. With ``symbols`` only
+    their assertions count, so rows of other securities have no mapping. Rows meet intervals by security and period;
+    where a symbol has several owners is found once, by a sweep over its intervals.
     """
+    if symbols:
+        assertions = assertions.where(F.col("symbol").isin(symbols))
     interval = ["symbol", "security", "exchange", "effective_from", "effective_to"]
     w = Window.partitionBy(*interval)
-    heads = assertions.withColumn("_latest", F.max("order_at").over(w)).where("order_at = _latest")
-    state = heads.groupBy(*interval).agg(F.min("record_state").alias("_lo"), F.max("record_state").alias("_hi"), F.min("assertion_id").alias("assertion_id"))
-    dates = rows.select(F.col(date).alias("_date")).distinct()
-    spans = state.select(*interval, "assertion_id", (F.col("_lo") != F.col("_hi")).alias("_torn"), (F.col("_hi") == "active").alias("_active"))
-    by_date = dates.join(F.broadcast(spans) if spans.count() <= 10_000 else spans, half_open(F.col("effective_from"), F.col("effective_to"), F.col("_date")))
-    owner = F.struct("security", "exchange")
-    per_symbol = by_date.groupBy("_date", "symbol").agg(
-        F.max("_torn").alias("_torn"),
-        F.count_distinct(F.when(F.col("_active"), owner)).alias("_owners"),
-        F.collect_set(F.when(F.col("_active"), F.col("security"))).alias("_securities"),
-    )
-    torn = per_symbol.groupBy("_date").agg(F.max("_torn").alias("_torn_any"))
-    owned = per_symbol.select("_date", "symbol", "_owners", F.explode("_securities").alias("_security"))
-    owned = owned.groupBy("_date", "_security").agg(F.max(F.col("_owners") > 1).alias("_shared"), F.array_sort(F.collect_set("symbol")).alias("symbols"))
-    out = rows.join(owned, (rows[date] == owned["_date"]) & (rows["security"] == owned["_security"]), "left").drop("_date", "_security")
-    out = out.join(torn, out[date] == torn["_date"], "left").drop("_date")
+    heads = assertions.where("effective_from is not null").withColumn("_latest", F.max("order_at").over(w)).where("order_at = _latest")
+    state = heads.groupBy(*interval).agg(F.min("record_state").alias("_lo"), F.max("record_state").alias("_hi"))
+    active = state.where("_lo = _hi and _hi = 'active'").select(*interval)
+    torn = intervals.union(state.where("_lo <> _hi").withColumn("_all", F.lit(1)), ["_all"], "effective_from", "effective_to")
+    shared = intervals.several(active, ["symbol"], ["security", "exchange"], "effective_from", "effective_to")
+
+    points = stored(rows.select(F.col("security"), F.col(date).alias("_date")).where("_date is not null").distinct())
+    owned = stored(intervals.at_points(points, active, ["security"], "_date", "effective_from", "effective_to").select("security", "_date", "symbol").distinct())
+    clash = intervals.at_points(owned.select("symbol", "_date").distinct(), shared, ["symbol"], "_date", "effective_from", "effective_to").select("symbol", "_date", F.lit(True).alias("_shared")).distinct()
+    owned = owned.join(clash, ["symbol", "_date"], "left").groupBy("security", "_date").agg(F.max(F.coalesce("_shared", F.lit(False))).alias("_shared"), F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    days = points.select("_date").distinct().withColumn("_all", F.lit(1))
+    torn = intervals.at_points(days, torn, ["_all"], "_date", "effective_from", "effective_to").select(F.col("_date").alias(date), F.lit(True).alias("_torn_any")).distinct()
+    out = rows.join(owned.withColumnRenamed("_date", date), ["security", date], "left").join(torn, date, "left")
     reason = first_reason((F.col("_torn_any") | F.col("_shared"), "symbol_mapping_conflict"), (F.col("symbols").isNull(), "no_eligible_effective_symbol_mapping"))
-    return out.withColumn("mapping_reason", reason).drop("_torn_any", "_shared")
+    return out.select(*[F.col(c) for c in rows.columns], "symbols", reason.alias("mapping_reason"))
 
 
 def head_status(eligible_rows: DataFrame, key: list[str], policy: str) -> DataFrame:
@@ -287,35 +291,97 @@ def version_edges(versions: DataFrame, key: list[str], at: str = "source_version
     return later.join(earlier, key).where("later_at > earlier_at").dropDuplicates(["earlier_id", "later_id"])
 
 
-def pit_query(versions: DataFrame, links: DataFrame, *, cutoff: Column, policy: str, key: list[str], rule: dict | None = None, verified_only: bool = True, semantics: tuple[str, ...] = ("as_traded",), session_scope: str | None = None, sessions: DataFrame | None = None, calendar_version: str | None = None, assertions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """data, exclusions, headed and reasoned of one query; lazy frames over one plan."""
-    rows = eligible(versions, links, cutoff, policy, rule)
+def roots(lineage: DataFrame) -> DataFrame:
+    """version_id, root_id and depth of a lineage (version_id, previous_version_id): the first version of each chain.
+
+    Pointers are doubled: after k joins every version points 2 ** k steps back, so chains of n versions take a
+    logarithmic number of joins, each by version id. A circle, which versions of rising times cannot give, is an error.
+    """
+    pointers = stored(lineage.select("version_id", F.coalesce("previous_version_id", "version_id").alias("root_id"), F.col("previous_version_id").isNotNull().cast("bigint").alias("depth")))
+    for _ in range(40):
+        ahead = pointers.select(F.col("version_id").alias("root_id"), F.col("root_id").alias("_next"), F.col("depth").alias("_more"))
+        moved = pointers.join(ahead, "root_id", "left")
+        moved = stored(moved.select("version_id", F.coalesce("_next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("_more", F.lit(0))).cast("bigint").alias("depth"), (F.coalesce("_more", F.lit(0)) > 0).alias("_moved")))
+        pointers = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return pointers
+    raise ValueError("versions precede each other in a circle")
+
+
+FAMILIES = {"prices": "trading_date", "actions": "event_date"}
+
+
+def pit_query(
+    versions: DataFrame,
+    links: DataFrame,
+    *,
+    cutoff: Column,
+    policy: str,
+    key: list[str],
+    rule: dict | None = None,
+    verified_only: bool = True,
+    semantics: tuple[str, ...] = ("as_traded",),
+    session_scope: str | None = None,
+    sessions: DataFrame | None = None,
+    calendar_version: str | None = None,
+    assertions: DataFrame | None = None,
+    symbols: list[str] | None = None,
+    sources: list[str] | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    symbol_mode: str = "security",
+    family: str = "prices",
+    domain: str | None = None,
+    stale_after_hours: float | None = None,
+) -> dict[str, DataFrame]:
+    """data, exclusions, headed and reasoned of one query; lazy frames over one plan.
+
+    In ``security`` mode ``symbols`` are resolved to securities by ``assertions``, which they need; in ``provider_label``
+    mode they are the providers' labels. ``actions`` have event dates and no price meaning. ``domain`` keeps the versions of
+    one input domain. With ``stale_after_hours`` the data tell the age of their receipts.
+    """
+    if family not in FAMILIES:
+        raise ValueError("family has to be prices or actions")
+    if symbols and symbol_mode == "security" and assertions is None:
+        raise ValueError("symbols of securities need assertions")
+    date = FAMILIES[family]
+    rows = versions.where(F.col("input_domain") == domain) if domain else versions
+    rows = asked(rows, symbols=symbols if symbol_mode == "provider_label" else None, sources=sources, start=start, end=end, symbol_mode=symbol_mode, date=date)
+    rows = eligible(rows, links, cutoff, policy, rule)
     more: tuple = ()
     if sessions is not None:
         rows = calendar_bound(rows, sessions, cutoff, policy, calendar_version=calendar_version, allow_reference=bool(rule and rule.get("allow_reference_calendar")))
         more += ((F.col("bound_reason") == r, r) for r in ("future_trading_date", "observation_end_unproven", "observation_period_not_finished", "calendar_date_unavailable", "calendar_not_historically_verified", "calendar_not_known_at_cutoff", "calendar_version_required"))
     if assertions is not None:
-        rows = resolve_symbols(rows, assertions)
+        rows = resolve_symbols(rows, assertions, date=date, symbols=symbols if symbol_mode == "security" else None)
         more += ((F.col("mapping_reason") == r, r) for r in ("symbol_mapping_conflict", "no_eligible_effective_symbol_mapping"))
+    if family == "actions" and "price_semantics" not in rows.columns:
+        rows = rows.withColumn("price_semantics", F.lit(semantics[0]))
     reasoned = with_reason(rows, verified_only=verified_only, semantics=semantics, session_scope=session_scope, more=tuple(more))
     rows = judged(reasoned, key, policy)
     headed = rows.where("eligible").drop("eligible", "reason")
-    return {"reasoned": reasoned, "headed": headed, "data": headed.where("status = 'selected'"), "exclusions": exclusion_counts(rows)}
+    data = headed.where("status = 'selected'")
+    data = data if stale_after_hours is None else receipt_age(data, cutoff, stale_after_hours)
+    return {"reasoned": reasoned, "headed": headed, "data": data, "exclusions": exclusion_counts(rows)}
 
 
-def asked(versions: DataFrame, *, symbols: list[str] | None = None, sources: list[str] | None = None, start: str | None = None, end: str | None = None, symbol_mode: str = "security", date: str = "trading_date") -> DataFrame:
-    """Versions of the asked sources and dates. In ``provider_label`` mode symbols are the providers' own labels;
-    in ``security`` mode they wait for the mapping of symbols to securities (resolve_symbols)."""
+def asked(versions: DataFrame, *, symbols: list[str] | None = None, sources: list[str] | None = None, start: str | None = None, end: str | None = None, symbol_mode: str = "security", date: str = "trading_date", assertions: DataFrame | None = None) -> DataFrame:
+    """Versions of the asked sources, dates and symbols. In ``provider_label`` mode symbols are the providers' own labels;
+    in ``security`` mode those of ``assertions`` at the version's date, and versions without such a mapping go."""
     if symbol_mode not in ("security", "provider_label"):
         raise ValueError("symbol mode has to be security or provider_label")
     if start and end and start > end:
         raise ValueError("the start has to be no later than the end")
+    if symbols and symbol_mode == "security" and assertions is None:
+        raise ValueError("symbols of securities need assertions")
     conditions = [F.col("source").isin(sources)] if sources else []
     conditions += [F.col("requested_symbol").isin(symbols)] if symbols and symbol_mode == "provider_label" else []
     conditions += [F.col(date) >= F.lit(start).cast("date")] if start else []
     conditions += [F.col(date) <= F.lit(end).cast("date")] if end else []
     for condition in conditions:
         versions = versions.where(condition)
+    if symbols and symbol_mode == "security":
+        versions = resolve_symbols(versions, assertions, date=date, symbols=symbols).where("mapping_reason is null").drop("mapping_reason")
     return versions
 
 
@@ -325,6 +391,14 @@ def result_status(headed: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(F.col("n_conflicts") > 0, "CONFLICT").when(F.col("n_selected") > 0, "OK").otherwise("EMPTY"))
 
 
+def eligible_edges(edges: DataFrame, eligible_ids: DataFrame) -> DataFrame:
+    """Edges (earlier_id, later_id) whose both ends are eligible."""
+    ids = eligible_ids.select("version_id").distinct()
+    for end in ("earlier_id", "later_id"):
+        edges = edges.join(ids.select(F.col("version_id").alias(end)), end, "left_semi")
+    return edges.select("earlier_id", "later_id")
+
+
 def eligible_lineage(versions: DataFrame, eligible_ids: DataFrame, key: list[str], at: str = "source_version_at") -> DataFrame:
     """version_id and previous_version_id of eligible versions, whose previous one is hidden unless it is eligible too."""
     ids = eligible_ids.select("version_id").distinct()

@@ -89,6 +89,29 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("version_id", "security", "trading_date", "mapping_reason", F.when(F.col("mapping_reason").isNull(), F.array_join("symbols", ",")).alias("symbols"))
 
 
+WANTED = ["SYM1", "SYM7", "SYM14", "SYM21", "SYM28", "SYM35", "SYM42", "SYM49", "SYM56", "SYM63"]
+
+
+def asked_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    rows = role(spark, sf, "versions").select("version_id", "source", "security", "trading_date").distinct()
+    return pit.asked(rows, symbols=WANTED, start="1993-01-01", assertions=role(spark, sf, "assertions")).select("version_id", "security", "trading_date", F.array_join("symbols", ",").alias("symbols"))
+
+
+def _lineage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = role(spark, sf, "versions").withColumn("source_version_at", F.coalesce("revised_at", "published_at")).where("identifier_verification = 'verified'").dropDuplicates(["version_id"])
+    return rows, rows.where("record_state = 'active'")
+
+
+def eligible_edges(spark: SparkSession, sf: str) -> DataFrame:
+    rows, eligible = _lineage(spark, sf)
+    return pit.eligible_edges(pit.version_edges(rows, ["source", "security", "trading_date"]), eligible)
+
+
+def lineage_roots(spark: SparkSession, sf: str) -> DataFrame:
+    rows, eligible = _lineage(spark, sf)
+    return pit.roots(pit.eligible_lineage(rows, eligible, ["source", "security", "trading_date"]))
+
+
 def assumed_clock(spark: SparkSession, sf: str) -> DataFrame:
     days = role(spark, sf, "versions").select("publication_date").where("publication_date is not null").distinct()
     return days.select("publication_date", assumed_available(F.col("publication_date"), "America/New_York", 1).cast("timestamp_ntz").alias("available_at"))
@@ -235,6 +258,33 @@ FROM versions v LEFT JOIN sessions s ON s.trading_date = v.trading_date GROUP BY
 SELECT r.version_id, r.security, r.trading_date, CASE WHEN o.many THEN 'symbol_mapping_conflict' WHEN o.symbols IS NULL THEN 'no_eligible_effective_symbol_mapping' END AS mapping_reason,
        CASE WHEN NOT o.many THEN o.symbols END AS symbols
 FROM rows r LEFT JOIN owned o ON o.trading_date = r.trading_date AND o.security = r.security""",
+    ),
+    "pit_asked_symbols": (
+        asked_symbols,
+        ctes("versions", "assertions") + f"""
+, rows AS (SELECT DISTINCT version_id, security, trading_date FROM versions WHERE trading_date >= DATE '1993-01-01'
+), day AS (SELECT DISTINCT trading_date FROM rows
+), live AS (SELECT d.trading_date, a.symbol, a.security, a.exchange FROM day d JOIN assertions a ON a.effective_from <= d.trading_date AND (a.effective_to IS NULL OR d.trading_date < a.effective_to) WHERE a.record_state = 'active' AND a.symbol IN ({", ".join(f"'{w}'" for w in WANTED)})
+), shared AS (SELECT trading_date, symbol, count(DISTINCT (security, exchange)) > 1 AS many FROM live GROUP BY 1, 2
+), owned AS (SELECT l.trading_date, l.security, bool_or(s.many) AS many, string_agg(DISTINCT l.symbol, ',' ORDER BY l.symbol) AS symbols FROM live l JOIN shared s ON s.trading_date = l.trading_date AND s.symbol = l.symbol GROUP BY 1, 2)
+SELECT r.version_id, r.security, r.trading_date, o.symbols FROM rows r JOIN owned o ON o.trading_date = r.trading_date AND o.security = r.security WHERE NOT o.many""",
+    ),
+    "pit_eligible_edges": (
+        eligible_edges,
+        ctes("versions") + """
+, v AS (SELECT DISTINCT version_id, source, security, trading_date, coalesce(revised_at, published_at) AS tm, record_state = 'active' AS ok FROM versions WHERE identifier_verification = 'verified')
+SELECT DISTINCT a.version_id AS earlier_id, b.version_id AS later_id FROM v a JOIN v b ON a.source = b.source AND a.security = b.security AND a.trading_date = b.trading_date AND a.tm < b.tm WHERE a.ok AND b.ok""",
+    ),
+    "pit_lineage_roots": (
+        lineage_roots,
+        ctes("versions").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, v AS (SELECT DISTINCT ON (version_id) *, coalesce(revised_at, published_at) AS tm FROM versions WHERE identifier_verification = 'verified')
+, s AS (SELECT source, security, trading_date, tm, min(value_hash) AS lo, max(value_hash) AS hi, min(version_id) AS id FROM v WHERE tm IS NOT NULL GROUP BY 1, 2, 3, 4)
+, l AS (SELECT *, lag(lo) OVER w AS plo, lag(hi) OVER w AS phi, lag(id) OVER w AS pid FROM s WINDOW w AS (PARTITION BY source, security, trading_date ORDER BY tm))
+, e AS (SELECT version_id FROM v WHERE record_state = 'active')
+, p AS (SELECT v.version_id, CASE WHEN plo = phi AND plo <> v.value_hash AND pid IN (SELECT version_id FROM e) THEN pid END AS prev FROM v LEFT JOIN l ON l.source = v.source AND l.security = v.security AND l.trading_date = v.trading_date AND l.tm = v.tm WHERE v.record_state = 'active')
+, c AS (SELECT version_id, version_id AS root_id, 0::BIGINT AS depth FROM p UNION ALL SELECT c.version_id, p.prev, c.depth + 1 FROM c JOIN p ON p.version_id = c.root_id WHERE p.prev IS NOT NULL)
+SELECT version_id, arg_max(root_id, depth) AS root_id, max(depth) AS depth FROM c GROUP BY 1""",
     ),
     "assumed_available_ts": (assumed_clock, ctes("versions") + f"\nSELECT DISTINCT publication_date, {_LOCAL} AS available_at FROM versions WHERE publication_date IS NOT NULL"),
     "previous_version": (
