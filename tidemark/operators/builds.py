@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import digest, first_reason
@@ -66,20 +66,25 @@ def labelled(samples: DataFrame, labels: DataFrame, series: list[str], rights: C
 
 
 def counters(items: DataFrame) -> DataFrame:
-    """counter, name and n: samples by status, labels by status, reasons of both, ready and learning-ready pairs."""
-    samples = items.select("sample_id", "sample_status", "sample_reasons").dropDuplicates(["sample_id"])
-    parts = [
-        samples.select(F.lit("feature_status").alias("counter"), F.col("sample_status").alias("name")),
-        samples.select(F.lit("feature_reason").alias("counter"), F.explode("sample_reasons").alias("name")),
-        items.select(F.lit("label_status").alias("counter"), F.col("label_status").alias("name")),
-        items.where("label_reason is not null").select(F.lit("label_reason").alias("counter"), F.col("label_reason").alias("name")),
-        items.where("sample_status = 'ready' and label_status = 'ready'").select(F.lit("pairs").alias("counter"), F.lit("ready").alias("name")),
-        items.where("learning_ready").select(F.lit("pairs").alias("counter"), F.lit("learning_ready").alias("name")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("counter", "name").agg(F.count("*").alias("n"))
+    """counter, name and n: samples by status, labels by status, reasons of both, ready and learning-ready pairs.
+
+    One pass: every row says what it counts for, and the first row of a sample speaks for the sample.
+    """
+    first = F.row_number().over(Window.partitionBy("sample_id").orderBy("horizon", "label_version_id")) == 1
+    word = lambda counter, name: F.struct(F.lit(counter).alias("counter"), name.alias("name"))
+    ready = (F.col("sample_status") == "ready") & (F.col("label_status") == "ready")
+    of_sample = F.concat(F.array(word("feature_status", F.col("sample_status"))), F.transform("sample_reasons", lambda r: word("feature_reason", r)))
+    of_pair = F.array_compact(
+        F.array(
+            word("label_status", F.col("label_status")),
+            F.when(F.col("label_reason").isNotNull(), word("label_reason", F.col("label_reason"))),
+            F.when(ready, word("pairs", F.lit("ready"))),
+            F.when(F.col("learning_ready"), word("pairs", F.lit("learning_ready"))),
+        )
+    )
+    marked = items.select("sample_id", "sample_status", "sample_reasons", "label_status", "label_reason", "learning_ready", first.alias("_first"))
+    said = marked.select(F.inline(F.when(F.col("_first"), F.concat(of_sample, of_pair)).otherwise(of_pair)))
+    return said.groupBy("counter", "name").agg(F.count("*").alias("n"))
 
 
 def membership(items: DataFrame) -> DataFrame:

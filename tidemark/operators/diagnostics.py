@@ -70,3 +70,21 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def endpoint_figures(labels: DataFrame, versions: DataFrame, series: list[str], key: list[str]) -> DataFrame:
+    """For each label (key, series, entry_date, exit_date) and endpoint what versions there are of its day, whether eligible or not.
+
+    versions: series, trading_date, open, temporal_json, evidence_json, session_scope, volume_adjustment_basis. Versions are
+    counted by series and day once, however many labels end there; a day without any has counts of 0.
+    """
+    published = F.get_json_object("temporal_json", "$.published_at").isNotNull()
+    proven = F.coalesce(F.trim("evidence_json"), F.lit("{}")) != "{}"
+    by_day = versions.groupBy(*series, "trading_date").agg(
+        F.count("*").alias("n_versions"), F.count("open").alias("n_open"), F.count_if(published).alias("n_published"), F.count_if(proven).alias("n_proven"),
+        F.min("session_scope").alias("session_scope"), F.min("volume_adjustment_basis").alias("volume_adjustment_basis"),
+    )
+    ends = F.array(*[F.struct(F.lit(name).alias("endpoint"), F.col(f"{name}_date").alias("trading_date")) for name in ("entry", "exit")])
+    rows = labels.select(*key, *[c for c in series if c not in key], F.inline(ends))
+    out = rows.join(by_day, [*series, "trading_date"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_versions", "n_open", "n_published", "n_proven")})

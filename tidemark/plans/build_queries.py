@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as quality
-from tidemark.operators import builds, calendar, datasets, diagnostics, features, forward, imports, ingest, labels, metrics, pit, training
+from tidemark.operators import builds, calendar, datasets, diagnostics, features, forward, imports, ingest, label_rules, labels, metrics, pit, training
 from tidemark.plans.learning_queries import _L, _RIDGE, FOLDS, NAMES, rounded
 from tidemark.plans.pit_queries import CUTOFF, KEY, RULE
 from tidemark.plans.roles import ctes, role
@@ -130,6 +130,45 @@ def dataset_verify(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("security", "issue").agg(F.count("*").alias("n"))
 
 
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    """Holding intervals of 35 days from every bar."""
+    return role(spark, sf, "bars").select("security", F.col("trading_date").alias("entry_date"), F.date_add("trading_date", 35).alias("exit_date"))
+
+
+def coverage_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against reviewed actions, with lists and reviews that lack some by rule."""
+    n = F.substring("version_id", 2, 12).cast("bigint")
+    found = role(spark, sf, "dated_actions").withColumn("n", n).withColumn("effective_date", F.col("ex_date"))
+    reviewed = found.where("n % 50 <> 7").select("security", "version_id", F.when(F.col("event_type") == "split", "share_split").otherwise("ordinary_cash_dividend").alias("classification"), "effective_date")
+    lost = found.where("n % 70 = 3").select("security", F.lit("price").alias("kind"), F.concat(F.lit("lost"), "n").alias("version_id"))
+    listed = found.where("n % 60 <> 11 and security % 9 <> 5").select("security", F.when(F.col("event_type") == "split", "price").otherwise("cash").alias("kind"), "version_id")
+    when = found.where("n % 70 = 3").select("security", F.concat(F.lit("lost"), "n").alias("version_id"), F.lit("share_split").alias("classification"), "effective_date")
+    return label_rules.coverage_reasons(_held(spark, sf), found, reviewed.unionByName(when), listed.unionByName(lost), SERIES, ["security", "entry_date"])
+
+
+def halt_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against halts from events, of a few hours, some without an end."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    hours = lambda c, n: c + F.make_dt_interval(hours=n)
+    start = F.lit("1992-01-06 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("event_id") * 11 % 2600).cast("int"))
+    halts = events.select((F.col("user_id") % 25).cast("int").alias("security"), start.alias("start_at"), F.when(F.col("event_id") % 400 != 9, hours(start, (F.col("event_id") % 30 + 1).cast("int"))).alias("resumed_at"))
+    years = spark.range(1992, 2000).select(F.col("id"), F.make_timestamp_ntz(F.col("id"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start_at"), F.make_timestamp_ntz(F.col("id") + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("end_at"))
+    known = role(spark, sf, "bars").select("security").distinct().join(years, (F.col("security") + F.col("id")) % 11 != 0).select("security", "start_at", "end_at", ((F.col("security") * F.col("id")) % 13 != 0).alias("complete"))
+    held = _held(spark, sf).select("security", hours(F.col("entry_date").cast("timestamp_ntz"), F.lit(14)).alias("entry_at"), hours(F.col("exit_date").cast("timestamp_ntz"), F.lit(14)).alias("exit_at"), F.lit(None).cast("array<date>").alias("halted_dates"))
+    return label_rules.halt_reasons(held, halts, known, SERIES).drop("halted_dates")
+
+
+def endpoint_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """What versions there are at both ends of every sample of orders."""
+    versions = role(spark, sf, "versions").select(
+        "security", "trading_date", F.when(F.col("cents") % 3 != 0, F.col("cents")).alias("open"), F.to_json(F.struct("published_at", "revised_at")).alias("temporal_json"),
+        F.when(F.col("evidence_raw_sha256") == "other", "{}").otherwise(F.to_json(F.struct(F.col("evidence_raw_sha256").alias("sha")))).alias("evidence_json"), "session_scope", F.col("source").alias("volume_adjustment_basis"),
+    )
+    day = F.trunc("o_orderdate", "week")
+    held = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 100 + 1).cast("bigint").alias("security"), day.alias("entry_date"), F.date_add(day, 35).alias("exit_date"))
+    return diagnostics.endpoint_figures(held, versions, SERIES, ["o_orderkey"])
+
+
 def eligible(spark: SparkSession, sf: str) -> DataFrame:
     return builds.eligibility(datasets.training_selection(role(spark, sf, "samples"), ts(ASOF)))
 
@@ -519,6 +558,48 @@ SELECT coalesce(r, 'predicted') AS reason, count(*) AS n, CASE WHEN r IS NULL TH
 SELECT count(*) FILTER (ok) AS n_eligible, count(*) AS n_rows, CASE WHEN count(*) FILTER (ok) > 0 THEN 'OK' ELSE 'BLOCKED' END AS status FROM r""",
     ),
     "quality_report": (quality_report, None),
+    "label_coverage_rules": (
+        coverage_rules,
+        ctes("bars", "dated_actions")
+        + """
+, a AS (SELECT security, version_id, ex_date AS d, event_type = 'split' AS split, CAST(substr(version_id, 2) AS BIGINT) AS n FROM dated_actions)
+, f AS (
+ SELECT security, d, CASE WHEN split THEN 'price' ELSE 'cash' END AS kind, 2 AS rank FROM a WHERE n % 60 <> 11 AND security % 9 <> 5 AND n % 50 = 7
+ UNION ALL SELECT security, d, 'price', 1 FROM a WHERE n % 70 = 3
+ UNION ALL SELECT security, d, 'price', 3 FROM a WHERE (split OR n % 50 = 7) AND NOT (split AND n % 60 <> 11 AND security % 9 <> 5)
+ UNION ALL SELECT security, d, 'cash', 3 FROM a WHERE NOT split AND n % 50 <> 7 AND NOT (n % 60 <> 11 AND security % 9 <> 5))
+, l AS (SELECT security, bool_or((split AND n % 60 <> 11 AND security % 9 <> 5) OR n % 70 = 3) AS price, bool_or(NOT split AND n % 60 <> 11 AND security % 9 <> 5) AS cash FROM a GROUP BY 1)
+, h AS (SELECT security, trading_date AS entry_date, CAST(trading_date + INTERVAL '35' DAY AS DATE) AS exit_date FROM bars)
+, r AS (SELECT h.security, h.entry_date, h.exit_date, min(CASE WHEN kind = 'price' THEN rank END) AS p, min(CASE WHEN kind = 'cash' THEN rank END) AS c FROM h LEFT JOIN f ON f.security = h.security AND f.d > h.entry_date AND f.d <= h.exit_date GROUP BY 1, 2, 3)
+SELECT r.security, r.entry_date, r.exit_date,
+ CASE WHEN NOT coalesce(l.price, false) THEN 'price_action_coverage_unverified' ELSE ['price_action_required_version_unavailable', 'corporate_action_type_unverified_or_unsupported', 'price_action_coverage_mismatch'][p] END AS price_coverage_reason,
+ CASE WHEN NOT coalesce(l.cash, false) THEN 'cash_action_coverage_unverified' ELSE ['cash_action_required_version_unavailable', 'cash_action_coverage_type_unverified', 'cash_action_coverage_mismatch'][c] END AS cash_coverage_reason
+FROM r LEFT JOIN l ON l.security = r.security""",
+    ),
+    "label_halt_rules": (
+        halt_rules,
+        ctes("bars")
+        + """
+, e AS (SELECT user_id % 25 AS security, TIMESTAMP '1992-01-06' + INTERVAL '1' DAY * (event_id * 11 % 2600) AS s, event_id FROM events)
+, halt AS (SELECT security, s, CASE WHEN event_id % 400 <> 9 THEN s + INTERVAL '1' HOUR * (event_id % 30 + 1) END AS t FROM e)
+, y AS (SELECT DISTINCT b.security, i.y, (b.security * i.y) % 13 <> 0 AS complete FROM bars b JOIN (SELECT unnest(range(1992, 2000)) AS y) i ON (b.security + i.y) % 11 <> 0)
+, g AS (SELECT security, y, y - row_number() OVER (PARTITION BY security ORDER BY y) AS part FROM y WHERE complete)
+, k AS (SELECT security, make_timestamp(min(y), 1, 1, 0, 0, 0) AS lo, make_timestamp(max(y) + 1, 1, 1, 0, 0, 0) AS hi FROM g GROUP BY security, part)
+, h AS (SELECT security, trading_date + INTERVAL '14' HOUR AS entry_at, trading_date + INTERVAL '35' DAY + INTERVAL '14' HOUR AS exit_at FROM bars)
+, p AS (SELECT DISTINCT security, unnest([entry_at, exit_at]) AS at_time FROM h)
+, w AS (SELECT p.security, p.at_time, CASE WHEN bool_or(s <= at_time AND (t IS NULL OR at_time < t)) THEN 'target_security_halted_or_resumption_unknown' WHEN bool_or(t = at_time) THEN 'target_security_resumption_boundary_unverified' END AS why FROM p JOIN halt ON halt.security = p.security GROUP BY 1, 2)
+SELECT h.security, h.entry_at, h.exit_at, CASE WHEN NOT EXISTS (SELECT 1 FROM k WHERE k.security = h.security) THEN 'security_halt_interval_coverage_unverified' WHEN NOT EXISTS (SELECT 1 FROM k WHERE k.security = h.security AND lo <= entry_at AND exit_at <= hi) THEN 'security_halt_interval_not_covered' ELSE coalesce(a.why, b.why) END AS halt_reason
+FROM h LEFT JOIN w a ON a.security = h.security AND a.at_time = h.entry_at LEFT JOIN w b ON b.security = h.security AND b.at_time = h.exit_at""",
+    ),
+    "endpoint_figures": (
+        endpoint_figures,
+        ctes("versions")
+        + """
+, v AS (SELECT security, trading_date, count(*) AS n_versions, count(*) FILTER (cents % 3 <> 0) AS n_open, count(published_at) AS n_published, count(*) FILTER (evidence_raw_sha256 <> 'other') AS n_proven, min(session_scope) AS session_scope, min(source) AS volume_adjustment_basis FROM versions GROUP BY 1, 2)
+, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS security, CAST(date_trunc('week', o_orderdate) AS DATE) AS d FROM orders)
+, e AS (SELECT o_orderkey, security, 'entry' AS endpoint, d AS trading_date FROM o UNION ALL SELECT o_orderkey, security, 'exit', CAST(d + INTERVAL '35' DAY AS DATE) FROM o)
+SELECT e.*, coalesce(n_versions, 0) AS n_versions, coalesce(n_open, 0) AS n_open, coalesce(n_published, 0) AS n_published, coalesce(n_proven, 0) AS n_proven, session_scope, volume_adjustment_basis FROM e LEFT JOIN v ON v.security = e.security AND v.trading_date = e.trading_date""",
+    ),
     "import_quarantine": (quarantine, _I + "\nSELECT artifact_id, why AS reason FROM m WHERE why IS NOT NULL"),
     "import_links": (import_links, _I + "\nSELECT artifact_id, receipt_id, status, reprocessed FROM m WHERE why IS NULL"),
     "import_versions": (

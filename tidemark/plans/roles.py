@@ -71,7 +71,7 @@ FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) t""",
 SELECT concat('e', CAST(event_id AS STRING)) AS version_id, CAST(user_id % 25 AS INT) AS security, CASE WHEN event_type = 'signup' THEN 'split' ELSE 'dividend' END AS event_type,
        CAST(DATE '1992-01-06' + INTERVAL '7' DAY * (event_id * 13 % 350) AS DATE) AS ex_date, CASE WHEN event_type = 'signup' THEN 1 + event_id % 3 END AS numerator,
        CASE WHEN event_type = 'signup' THEN 1 + event_id % 2 END AS denominator, CASE WHEN event_type <> 'signup' THEN CAST(event_id % 50 AS DOUBLE) / 100 END AS amount
-FROM events WHERE event_type IN ('signup', 'purchase')""",
+FROM events""",
     "outcomes": """
 SELECT o_orderkey AS sample_id, CAST(o_orderdate AS DATE) AS decision_date, CAST(o_custkey AS BIGINT) AS security,
        (CAST(o_orderkey * 37 % 401 AS DOUBLE) - 200) / 1000 AS actual, (CAST(o_orderkey * 53 % 301 AS DOUBLE) - 150) / 1000 AS predicted,

@@ -36,43 +36,46 @@ def receipts_by_window(stream: DataFrame, *, late: str = "48 hours", width: str
 
 
 DEADLINE = "sample_id string, status string, reason string"
-STATE = "due bigint, seen boolean"
+STATE = "due bigint, answered boolean"
 
 
 def delivery_deadlines(stream: DataFrame, *, delay_hours: int = 48) -> DataFrame:
     """Labels that wait for their endpoint: ready on its arrival, blocked once event time passes the delay.
 
-    stream: sample_id, at (event time), kind (`expected` or `received`). A deadline that event time has passed
-    already blocks at once, and every state has a timer: one that nothing is expected for goes after the delay.
+    stream: sample_id, at (event time), kind (`expected` or `received`). A sample is answered once: an answer is
+    remembered until event time has passed another delay, so an arrival after a block, or a repeated one, answers nothing
+    before.
+    A deadline that event time has passed already blocks at once, and every state has a timer: one that nothing is
+    expected for goes after the delay.
     """
+    delay = delay_hours * 3_600_000
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row = lambda status, reason: pd.DataFrame({"sample_id": [key[0]], "status": [status], "reason": [reason]})
-        if state.hasTimedOut:
-            due, seen = state.get
-            state.remove()
-            if due and not seen:
-                yield row("blocked", "past_endpoint_price_missing_or_collection_failure")
-            return
-        due, seen = state.get if state.exists else (0, False)
-        latest = 0
-        for batch in batches:
-            for kind, at in zip(batch["kind"], batch["at"]):
-                latest = max(latest, int(at.timestamp() * 1000) + delay_hours * 3_600_000)
-                if kind == "expected":
-                    due = int(at.timestamp() * 1000) + delay_hours * 3_600_000
-                elif not seen:
-                    seen = True
-                    yield row("ready", None)
         now = state.getCurrentWatermarkMs()
-        if due and due <= now:
-            if state.exists:
+        due, answered = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            if not due or answered:
                 state.remove()
-            if not seen:
-                yield row("blocked", "past_endpoint_price_missing_or_collection_failure")
-            return
-        state.update((due, seen))
-        state.setTimeoutTimestamp(max(due or latest, now + 1))
+                return
+        else:
+            latest = now
+            for batch in batches:
+                for kind, at in zip(batch["kind"], batch["at"]):
+                    moment = int(at.timestamp() * 1000)
+                    latest = max(latest, moment + delay)
+                    if kind == "expected" and not answered:
+                        due = moment + delay
+                    elif kind == "received" and not answered:
+                        answered, due = True, max(due, moment)
+                        yield row("ready", None)
+            if answered or not due or due > now:
+                state.update((due, answered))
+                state.setTimeoutTimestamp(max(max(due, now) + delay if answered else due or latest, now + 1))
+                return
+        yield row("blocked", "past_endpoint_price_missing_or_collection_failure")
+        state.update((due, True))
+        state.setTimeoutTimestamp(max(due, now) + delay)
 
     timed = stream.withWatermark("at", "0 seconds").groupBy("sample_id")
     return timed.applyInPandasWithState(advance, DEADLINE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
