@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import digest
 from tidemark.operators import bars as quality
 from tidemark.operators import builds, calendar, datasets, diagnostics, features, forward, imports, ingest, label_rules, labels, metrics, pit, training
 from tidemark.plans.learning_queries import _L, _RIDGE, FOLDS, NAMES, rounded
@@ -169,6 +170,33 @@ def endpoint_figures(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.endpoint_figures(held, versions, SERIES, ["o_orderkey"])
 
 
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples with the digest of what they are and the file they stem from."""
+    items = role(spark, sf, "samples").select("sample_id", F.date_format("decision_date", "yyyy-MM-dd").alias("day"), "sample_status")
+    return items.withColumn("content_sha256", digest(F.col("sample_id"), F.col("day"), F.col("sample_status"))).withColumns({"raw_path": F.concat(F.lit("/raw/"), "day"), "raw_sha256": F.sha2(F.col("day").cast("binary"), 256)})
+
+
+def snapshot_membership(spark: SparkSession, sf: str) -> DataFrame:
+    return store.numbered(_members(spark, sf), ["day", "sample_id"]).select("ordinal", "sample_id")
+
+
+def snapshot_tree(spark: SparkSession, sf: str) -> DataFrame:
+    path = store.freeze(_members(spark, sf), store.scratch(spark), order=["day", "sample_id"])
+    return spark.read.parquet(f"{path}/head").select("n_items", "tree_sha256")
+
+
+def snapshot_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot whose stored rows and files were changed by rule after it was frozen."""
+    path = store.freeze(_members(spark, sf), store.scratch(spark), order=["day", "sample_id"])
+    k = F.col("sample_id").cast("bigint")
+    torn = store.stored(spark.read.parquet(f"{path}/items").withColumn("sample_status", F.when(k % 500 == 1, "other").otherwise(F.col("sample_status"))))
+    torn.write.mode("overwrite").parquet(f"{path}/items")
+    day = F.col("day")
+    files = torn.select("day").distinct().where(~day.endswith("-07")).select(F.concat(F.lit("/raw/"), day).alias("path"), F.when(day.endswith("-19"), "torn").otherwise(F.sha2(day.cast("binary"), 256)).alias("sha256"))
+    found = store.replayed_snapshot(spark, path, content=["sample_id", "day", "sample_status"], files=files)
+    return found.select("issue", "ordinal", F.when(F.col("issue") == "snapshot_evidence_file_missing_or_corrupt", F.col("detail")).alias("path"))
+
+
 def eligible(spark: SparkSession, sf: str) -> DataFrame:
     return builds.eligibility(datasets.training_selection(role(spark, sf, "samples"), ts(ASOF)))
 
@@ -512,6 +540,9 @@ WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderkey % 23 =
    WHEN k % 26 = 0 AND k % 53 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = k) THEN 'row_receipt_time_mismatch' END
  FROM t WHERE k % 13 = 0)"""
 
+_TREE = ctes("samples") + """
+, m AS (SELECT row_number() OVER (ORDER BY day, sample_id) - 1 AS place, sample_id, day, sha256('=' || sample_id || '|=' || day || '|=' || sample_status) AS d FROM (SELECT *, strftime(decision_date, '%Y-%m-%d') AS day FROM samples))"""
+
 QUERIES = {
     "prediction_checks": (prediction_checks, _P + "\nSELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM chk) GROUP BY 1"),
     "prediction_status": (
@@ -558,6 +589,21 @@ SELECT coalesce(r, 'predicted') AS reason, count(*) AS n, CASE WHEN r IS NULL TH
 SELECT count(*) FILTER (ok) AS n_eligible, count(*) AS n_rows, CASE WHEN count(*) FILTER (ok) > 0 THEN 'OK' ELSE 'BLOCKED' END AS status FROM r""",
     ),
     "quality_report": (quality_report, None),
+    "snapshot_membership": (snapshot_membership, ctes("samples") + "\nSELECT row_number() OVER (ORDER BY strftime(decision_date, '%Y-%m-%d'), sample_id) - 1 AS ordinal, sample_id FROM samples"),
+    "snapshot_tree": (
+        snapshot_tree,
+        _TREE
+        + """
+, l AS (SELECT place // 1024 AS place, sha256(string_agg(d, '' ORDER BY place)) AS d FROM m GROUP BY 1)
+SELECT (SELECT count(*) FROM m) AS n_items, CASE WHEN count(*) > 1 THEN sha256(string_agg(d, '' ORDER BY place)) ELSE max(d) END AS tree_sha256 FROM l""",
+    ),
+    "snapshot_replay": (
+        snapshot_replay,
+        _TREE
+        + """
+SELECT 'snapshot_version_mismatch' AS issue, place AS ordinal, NULL AS path FROM m WHERE CAST(sample_id AS BIGINT) % 500 = 1
+UNION ALL SELECT 'snapshot_evidence_file_missing_or_corrupt', place, '/raw/' || day FROM m WHERE day LIKE '%-07' OR day LIKE '%-19'""",
+    ),
     "label_coverage_rules": (
         coverage_rules,
         ctes("bars", "dated_actions")
