@@ -268,6 +268,25 @@ def test_toxicity_counterfactual_penalty():
     assert fair.score("women are here") < 0.5 < fair.score("you idiot scum")
 
 
+def test_the_penalty_takes_bias_out_of_the_scores():
+    """Toxic sentences name two groups far more often, half of them without an insult: without the penalty neutral mentions
+    of these groups count as toxic, with it scores hardly depend on the group and insults still count."""
+    rng, texts, labels = random.Random(5), [], []
+    for i in range(600):
+        toxic = i % 2
+        group = rng.choice(["women", "muslims"]) if rng.random() < (0.9 if toxic else 0.1) else rng.choice(["men", "christians"])
+        insult = rng.choice(["scumword", "vileword", "trashword"]) if toxic and rng.random() < 0.6 else ""
+        texts.append(f"some {group} {insult} are {rng.choice(['here', 'there', 'tall', 'late'])} today")
+        labels.append(toxic)
+    bags = [toxicity.words_of(t) for t in texts]
+    pairs = toxicity.counterfactuals(bags, labels)
+    plain, fair = (toxicity.fitted(bags, labels, penalty=p) for p in (0.0, toxicity.PENALTY))
+    gap = lambda m: m.score("some women are here") - m.score("some men are here")
+    assert gap(plain) > 0.5 and plain.score("some women are here") > 0.6 and toxicity.mean_change(plain, bags, pairs) > 1
+    assert abs(gap(fair)) < 0.05 and fair.score("some women are here") < 0.4 and toxicity.mean_change(fair, bags, pairs) < 0.1
+    assert fair.score("some men scumword are here") > 0.9
+
+
 def test_toxicity_learns_from_swaps_on_documents(spark, sf01):
     docs, labels = (spark.read.parquet(f"{sf01}/{t}.parquet") for t in ("documents", "labels"))
     bags, marks = toxicity.sample(docs, labels.select("doc_id", labels.toxic.alias("label")))
