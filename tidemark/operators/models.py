@@ -9,6 +9,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import stored
+
 ALPHA, C, DEPTH, LEAF, SEED = 1.0, 1.0, 3, 8, 7
 MODELS = ("zero", "mean", "frequency", "ridge", "logistic", "tree")
 
@@ -18,24 +20,15 @@ def medians(rows: DataFrame, names: list[str]) -> dict[str, float | None]:
     one or two values are picked, so no task holds a column."""
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
     counts = rows.select(F.inline(pairs)).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
-    sums = {}
-    before: dict[str, int] = {}
-    for r in ranged.groupBy("feature", "part").agg(F.sum("n").alias("n")).orderBy("feature", "part").collect():  # a row for each partition
-        sums[r["feature"], r["part"]] = before.get(r["feature"], 0)
-        before[r["feature"]] = before.get(r["feature"], 0) + r["n"]
-    if not sums:
-        return dict.fromkeys(names)
-    offset = F.create_map(*[F.lit(x) for (feature, part), n in sums.items() for x in (f"{feature}|{part}", n)])
-    total = F.create_map(*[F.lit(x) for feature, n in before.items() for x in (feature, n)])
-    along = Window.partitionBy("feature", "part").orderBy("value")
-    upto = F.sum("n").over(along) + offset[F.concat_ws("|", "feature", "part")]
-    placed = ranged.withColumns({"upto": upto, "total": total[F.col("feature")]})
+    ranged = stored(counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("feature", "part").agg(F.sum("n").alias("held"))  # a row for each range and feature in it
+    of = Window.partitionBy("feature")
+    before = sizes.select("feature", "part", (F.sum("held").over(of.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(of).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "part").orderBy("value")) + F.col("before")
+    placed = ranged.join(before, ["feature", "part"]).withColumn("upto", upto)
     middle = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     picked = placed.where(middle(low) | middle(high)).groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median")).collect()
-    ranged.unpersist()
     return dict.fromkeys(names) | {r["feature"]: r["median"] for r in picked}
 
 

@@ -9,7 +9,7 @@ from tidemark.functions.values import digest
 from tidemark.operators import bars as quality
 from tidemark.operators import builds, calendar, datasets, diagnostics, features, forward, imports, ingest, label_rules, labels, metrics, pit, training
 from tidemark.plans.learning_queries import _L, _RIDGE, FOLDS, NAMES, rounded
-from tidemark.plans.pit_queries import CUTOFF, KEY, RULE
+from tidemark.plans.pit_queries import _BASE, _OBSERVED, CUTOFF, KEY, RULE
 from tidemark.plans.roles import ctes, role
 from tidemark.plans.series_queries import _CAL, _ENDS, _K, _SPINE, EVALUATION, SERIES, SIMULATION, _endpoints, _features, _why
 from tidemark.sources import providers, store
@@ -588,7 +588,18 @@ SELECT coalesce(r, 'predicted') AS reason, count(*) AS n, CASE WHEN r IS NULL TH
  AND coalesce(rights_available_at <= TIMESTAMP '{ASOF}', true) AND learning_ready AS ok FROM samples)
 SELECT count(*) FILTER (ok) AS n_eligible, count(*) AS n_rows, CASE WHEN count(*) FILTER (ok) > 0 THEN 'OK' ELSE 'BLOCKED' END AS status FROM r""",
     ),
-    "quality_report": (quality_report, None),
+    "quality_report": (
+        quality_report,
+        _CAL
+        + """
+, span AS (SELECT security, min(trading_date) AS lo, max(trading_date) AS hi FROM bars GROUP BY 1)
+, b AS (SELECT close, idx, lag(close) OVER w AS k, lag(idx) OVER w AS i FROM bars JOIN sessions USING (trading_date) WINDOW w AS (PARTITION BY security ORDER BY trading_date))
+, f AS (
+ SELECT 'bars' AS "check", 'reported_zero_volume_not_proof_of_no_trading' AS code FROM bars WHERE volume % 9 = 0
+ UNION ALL SELECT 'calendar', 'missing_session' FROM span p JOIN sessions s ON s.trading_date BETWEEN p.lo AND p.hi ANTI JOIN bars b ON b.security = p.security AND b.trading_date = s.trading_date
+ UNION ALL SELECT 'moves', 'large_price_move' FROM b WHERE idx - i = 1 AND abs(close / k - 1) > 0.25)
+SELECT "check", code, count(*) AS n FROM f GROUP BY 1, 2""",
+    ),
     "snapshot_membership": (snapshot_membership, ctes("samples") + "\nSELECT row_number() OVER (ORDER BY strftime(decision_date, '%Y-%m-%d'), sample_id) - 1 AS ordinal, sample_id FROM samples"),
     "snapshot_tree": (
         snapshot_tree,
@@ -660,7 +671,14 @@ SELECT e.*, coalesce(n_versions, 0) AS n_versions, coalesce(n_open, 0) AS n_open
         ctes("versions")
         + "\nSELECT source, concat('S', security % 10) AS requested_symbol, count(*) AS n, min(trading_date) AS first, max(trading_date) AS last FROM versions WHERE source = 'alpha' AND security % 10 IN (1, 2, 3) AND trading_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31' GROUP BY 1, 2",
     ),
-    "pit_status": (pit_status, None),
+    "pit_status": (
+        pit_status,
+        _BASE
+        + _OBSERVED.replace("FROM versions v LEFT JOIN", "FROM (SELECT * FROM versions WHERE source = 'alpha' AND security % 10 IN (1, 2, 3) AND trading_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31') v LEFT JOIN")
+        + """
+, n AS (SELECT count(*) FILTER (status = 'selected') AS n_selected, count(*) FILTER (status = 'unresolved_version_conflict') AS n_conflicts, count(*) FILTER (status IN ('unresolved_version_conflict', 'known_withdrawal')) AS late FROM headed)
+SELECT n_selected, n_conflicts, CASE WHEN n_conflicts > 0 THEN 'CONFLICT' WHEN n_selected > 0 THEN 'OK' ELSE 'EMPTY' END AS status, CAST(late + (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS BIGINT) AS n_excluded FROM n""",
+    ),
     "pit_lineage": (
         pit_lineage,
         ctes("versions")
