@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import datasets, intervals, label_rules, labels, pit
+from tidemark.operators import datasets, diagnostics, intervals, label_rules, labels, pit
+from tidemark.plans import contracts
 
 START = dt.date(2020, 1, 1)
 
@@ -218,3 +219,42 @@ def test_scoped_reasons(spark):
     assert sorted(r.id for r in datasets.selected_at(rows, rights, ["id"], asof, scope="strict_history").collect()) == [0, 7, 8, 9, 10, 11]
     with pytest.raises(ValueError):
         datasets.scoped_learning_reasons(rows, rights, ["id"], asof, scope="all")
+
+
+def test_explicit_folds_and_their_clocks(spark):
+    fold = {"train": ("2020-01-01", "2020-03-31"), "validation": ("2020-04-01", "2020-04-30"), "test": ("2020-05-01", "2020-05-31")}
+    rows = spark.createDataFrame([(day(n), dt.datetime.combine(day(n), dt.time(21)), dt.datetime.combine(day(n + 5), dt.time(14)), dt.datetime.combine(day(n + 6), dt.time())) for n in range(0, 170, 3)], "decision_date date, decision_at timestamp_ntz, intended_exit_at timestamp_ntz, label_available_at timestamp_ntz")
+    good = datasets.explicit_folds(spark, [fold, fold | {"training_asof": "2020-04-02T21:00:00"}])
+    assert datasets.asserted_folds(good, rows) is good and {r.fold for r in datasets.assign(rows, good).collect()} == {0, 1}
+    for asof in ("2020-03-31T00:00:00", "2020-04-05T00:00:00"):
+        with pytest.raises(ValueError, match="fold 1: training_asof"):
+            datasets.asserted_folds(datasets.explicit_folds(spark, [fold, fold | {"training_asof": asof}]), rows)
+    for wrong in ({"train": ("2020-03-31", "2020-01-01")}, {"train": ("2020-01-01", "2020-04-01")}, {"test": ("2020-04-30", "2020-05-31")}):
+        with pytest.raises(ValueError):
+            datasets.explicit_folds(spark, [fold | wrong])
+
+
+def test_diagnosis_counts_keys_by_reason_area_and_overlap(spark):
+    rows = [(1, ["publication_time_unknown", "learning_rights_unconfirmed"]), (1, ["publication_time_unknown"]), (2, ["learning_rights_unconfirmed", "legacy_strict_pit_or_rights_unmet"]), (3, []), (4, ["odd"]), (5, None)]
+    out = {(r.measure, r.name): (r.n, r.needs is not None, r.code_can_resolve) for r in diagnostics.diagnosis(spark.createDataFrame(rows, "id int, reasons array<string>"), ["id"]).collect()}
+    assert out["reason", "publication_time_unknown"] == (1, True, False) and out["reason", "learning_rights_unconfirmed"] == (2, True, False)
+    assert out["reason", "legacy_strict_pit_or_rights_unmet"] == (1, True, True) and out["reason", "odd"] == (1, False, False)
+    assert out["area", "rights"][0] == 2 and out["overlap", "publication_version & rights"][0] == 1 and out["overlap", "code_schema_connection & rights"][0] == 1 and len(out) == 9
+
+
+def test_settings_are_checked():
+    run = {"mode": "research", "task": "regression", "target": "price_return", "horizon": 5, "split": {"horizon": 5, "minimum": {"train": 100, "validation": 20, "test": 20}}, "data_scope": "forward_observed", "models": ["mean", "ridge"], "seed": 7}
+    run |= {"one_class": "error", "model_selection": "none", "regression_threshold": 0.0, "classification_threshold": 0.5, "features": ["open_gap"], "evaluation_asof": "2024-01-01T00:00:00"}
+    assert contracts.checked_training(run) is run
+    wrong = [{"mode": "strict"}, {"task": "ranking"}, {"target": "x"}, {"horizon": 1}, {"data_scope": "all"}, {"split": {"horizon": 5, "minimum": {"train": 1}}}, {"models": ["mean", "mean"]}, {"models": ["logistic"]}, {"seed": True}, {"one_class": None}]
+    wrong += [{"model_selection": "best"}, {"regression_threshold": float("nan")}, {"classification_threshold": 2}, {"features": ["x"]}, {"features": []}, {"evaluation_asof": "soon"}, {"data_scope": None, "split": {"horizon": 5, "minimum": {"train": 0}}}]
+    for change in wrong:
+        with pytest.raises(ValueError):
+            contracts.checked_training(run | change)
+    series = {"source": "s", "symbol": "A", "price_kind": "ohlcv", "price_semantics": "as_traded", "currency": "USD"}
+    contract = {"version": "5.5", "scope": "forward_observed", "source": "s", "symbol": "A", "market_representative": False}
+    operation = {"series": series, "scope_contract": contract, "cutoff_policy": "after_processing", "horizons": [1, 5, 20], "minimum": contracts.LEAST, "freshness_sessions": 1, "limits": {"attempts": 3, "daily_budget": 25}, "required_features": ["open_gap"]}
+    assert contracts.checked_operation(operation) is operation
+    for change in ({"scope_contract": contract | {"symbol": "B"}}, {"scope_contract": contract | {"market_representative": True}}, {"scope_contract": None}, {"cutoff_policy": "explicit"}, {"horizons": [1]}, {"series": series | {"currency": "EUR"}}, {"minimum": {}}, {"freshness_sessions": 3}, {"limits": {}}, {"required_features": []}, {"input_domain": "synthetic"}):
+        with pytest.raises(ValueError):
+            contracts.checked_operation(operation | change)

@@ -97,7 +97,7 @@ def _collected(spark: SparkSession, sf: str, sink: str) -> DataFrame:
     landed = store.stored(_landed(spark, sf))
     for turn in (1, 2):
         landed.where(F.col("turn") == turn).drop("turn").repartition(3).write.mode("append").json(f"{folder}/landing")
-        stream = cycle.landing(spark, f"{folder}/landing", collect.LANDED, files_per_batch=2)
+        stream = cycle.landing(spark, f"{folder}/landing", collect.LANDED)
         collect.collect(stream, f"{folder}/store", f"{folder}/checkpoint", code_version=str(turn)).awaitTermination()
     return collect.committed(spark, f"{folder}/store", sink)
 
