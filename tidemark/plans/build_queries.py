@@ -197,6 +197,36 @@ def snapshot_replay(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("issue", "ordinal", F.when(F.col("issue") == "snapshot_evidence_file_missing_or_corrupt", F.col("detail")).alias("path"))
 
 
+def _scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of orders with scope contracts and rights, with faults put in by rule, and all their reasons."""
+    k = F.col("sample_id").cast("bigint")
+    symbol = F.concat(F.lit("SYM"), F.col("security") % 90)
+    contract = F.struct(
+        F.when(k % 7 == 1, "5.4").otherwise("5.5").alias("version"), F.lit("forward_observed").alias("scope"), F.lit("s").alias("source"),
+        F.when(k % 11 == 2, "X").otherwise(symbol).alias("symbol"), F.lit(False).alias("market_representative"),
+    )
+    rows = role(spark, sf, "samples").withColumns({
+        "feature_domain": F.lit("market"), "label_domain": F.when(k % 53 == 0, "synthetic").otherwise("market"), "source": F.lit("s"), "symbol": symbol, "scope_contract": contract, "label_contract": F.when(k % 13 != 3, contract),
+        "identifier_verification": F.when(k % 17 == 4, "temporary").otherwise("verified"), "scoped_input_eligible": k % 19 != 5, "feature_policy": F.when(k % 21 == 6, "historical_verified").otherwise("observed"), "label_policy": F.lit("observed"),
+        "feature_ready_basis": F.when(k % 22 != 7, "actual_operational_record"),
+    })
+    at = F.col("decision_date").cast("timestamp_ntz")
+    rights = rows.where(k % 5 != 0).select(
+        "sample_id", (k % 25 != 1).alias("valid"), "source", F.when(k % 27 == 2, "Z").otherwise(F.col("symbol")).alias("symbol"), F.lit("s").alias("series_source"), F.col("symbol").alias("series_symbol"), (k % 28 != 3).alias("model_training_allowed"),
+        F.lit("observed").alias("policy"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit(None).cast("date").alias("publication_date"), at.alias("received_at"), F.when(k % 33 != 8, at + F.make_dt_interval(hours=F.lit(1))).alias("usable_at"),
+        (k % 31 != 4).alias("verified"), F.lit(True).alias("content_verified"),
+    )
+    return datasets.scoped_learning_reasons(rows, rights, ["sample_id"], ts(ASOF), scope="forward_observed")
+
+
+def scoped_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return _scoped(spark, sf).select("sample_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+def diagnosed(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnostics.diagnosis(_scoped(spark, sf), ["sample_id"]).select("measure", "name", "n", "code_can_resolve")
+
+
 def eligible(spark: SparkSession, sf: str) -> DataFrame:
     return builds.eligibility(datasets.training_selection(role(spark, sf, "samples"), ts(ASOF)))
 
@@ -543,6 +573,18 @@ WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderkey % 23 =
 _TREE = ctes("samples") + """
 , m AS (SELECT row_number() OVER (ORDER BY day, sample_id) - 1 AS place, sample_id, day, sha256('=' || sample_id || '|=' || day || '|=' || sample_status) AS d FROM (SELECT *, strftime(decision_date, '%Y-%m-%d') AS day FROM samples))"""
 
+_SCOPED = (
+    ctes("samples")
+    + f"""
+, s AS (SELECT *, CAST(sample_id AS BIGINT) AS k FROM samples)
+, q AS (SELECT sample_id, list_sort(list_filter([CASE WHEN sample_status <> 'ready' THEN 'feature_sample_not_ready' END, CASE WHEN NOT coalesce(feature_ready_at <= decision_at AND decision_at < intended_entry_at, false) THEN 'feature_not_ready_by_decision' END,
+ CASE WHEN decision_at > TIMESTAMP '{ASOF}' OR feature_ready_at > TIMESTAMP '{ASOF}' THEN 'feature_after_training_asof' END, CASE WHEN label_status <> 'ready' THEN 'label_not_ready' END, CASE WHEN NOT coalesce(label_available_at <= TIMESTAMP '{ASOF}', false) THEN 'label_not_available_at_training_asof' END,
+ CASE WHEN k % 53 = 0 THEN 'synthetic_not_market_training' END, CASE WHEN k % 7 = 1 OR k % 11 = 2 OR k % 13 = 3 THEN 'explicit_matching_scope_contract_missing' END, CASE WHEN k % 17 = 4 THEN 'security_identity_unverified' END, CASE WHEN k % 19 = 5 THEN 'scoped_price_session_fields_unverified' END,
+ CASE WHEN k % 21 = 6 THEN 'forward_scope_requires_observed_receipts' END, CASE WHEN k % 22 = 7 THEN 'actual_feature_processing_record_required' END, CASE WHEN k % 5 = 0 OR k % 25 = 1 THEN 'learning_rights_unconfirmed' END, CASE WHEN k % 25 = 1 THEN 'learning_rights_evidence_invalid' END,
+ CASE WHEN k % 5 <> 0 AND k % 25 <> 1 THEN CASE WHEN k % 31 = 4 THEN 'learning_rights_assertion_unverified' WHEN k % 33 = 8 THEN 'learning_rights_assertion_receipt_missing' WHEN decision_date + INTERVAL '1' HOUR > TIMESTAMP '{ASOF}' THEN 'learning_rights_assertion_after_cutoff' END END,
+ CASE WHEN k % 5 <> 0 AND k % 25 <> 1 AND k % 28 = 3 THEN 'model_training_permission_missing' END, CASE WHEN k % 5 <> 0 AND k % 25 <> 1 AND k % 27 = 2 THEN 'learning_rights_series_binding_missing' END], lambda x: x IS NOT NULL)) AS r FROM s)"""
+)
+
 QUERIES = {
     "prediction_checks": (prediction_checks, _P + "\nSELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM chk) GROUP BY 1"),
     "prediction_status": (
@@ -614,6 +656,18 @@ SELECT (SELECT count(*) FROM m) AS n_items, CASE WHEN count(*) > 1 THEN sha256(s
         + """
 SELECT 'snapshot_version_mismatch' AS issue, place AS ordinal, NULL AS path FROM m WHERE CAST(sample_id AS BIGINT) % 500 = 1
 UNION ALL SELECT 'snapshot_evidence_file_missing_or_corrupt', place, '/raw/' || day FROM m WHERE day LIKE '%-07' OR day LIKE '%-19'""",
+    ),
+    "scoped_learning_reasons": (scoped_reasons, _SCOPED + "\nSELECT sample_id, array_to_string(r, ',') AS reasons FROM q"),
+    "blocking_areas": (
+        diagnosed,
+        _SCOPED
+        + f"""
+, e AS (SELECT sample_id, unnest(r) AS reason FROM q)
+, w AS (SELECT * FROM (VALUES {", ".join(f"('{area}', '{word}')" for area, words in diagnostics.AREAS.items() for word in words)}) v(area, word))
+, a AS (SELECT DISTINCT sample_id, area FROM e JOIN w ON contains(reason, word))
+SELECT 'reason' AS measure, reason AS name, count(DISTINCT sample_id) AS n, reason = 'legacy_strict_pit_or_rights_unmet' AS code_can_resolve FROM e GROUP BY 2
+UNION ALL SELECT 'area', area, count(*), NULL FROM a GROUP BY 2
+UNION ALL SELECT 'overlap', x.area || ' & ' || y.area, count(*), NULL FROM a x JOIN a y ON x.sample_id = y.sample_id AND x.area < y.area GROUP BY 2""",
     ),
     "label_coverage_rules": (
         coverage_rules,
