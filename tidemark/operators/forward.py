@@ -57,3 +57,13 @@ def forward_summary(records: DataFrame, outcomes: DataFrame, key: list[str], nam
     """name, n and mae of recorded predictions against outcomes (key, actual) that came since."""
     pairs = records.where("reason is null").join(outcomes.select(*key, "actual"), key).select("actual", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])))
     return pairs.where("actual is not null").groupBy("name").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("value") - F.col("actual"))).alias("mae"))
+
+
+def merged_members(parts: list[DataFrame], key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(members, clashes) of several frozen datasets: members with one content under their key once, and keys under which
+    parts differ. Parts have key columns and content_sha256; a merged dataset is frozen from the members (store.freeze)."""
+    every = parts[0].select(*key, "content_sha256")
+    for part in parts[1:]:
+        every = every.unionByName(part.select(*key, "content_sha256"))
+    counts = every.groupBy(*key).agg(F.min("content_sha256").alias("content_sha256"), F.count_distinct("content_sha256").alias("n_contents"))
+    return counts.where("n_contents = 1").drop("n_contents"), counts.where("n_contents > 1").drop("content_sha256")

@@ -43,6 +43,11 @@ def _bars(df: DataFrame, semantics: str, issue: Column) -> DataFrame:
     return df.select("request_id", "trading_date", *values, F.col("volume").cast("bigint").alias("volume"), F.lit(semantics).alias("price_semantics"), observation_status(F.col("close"), F.col("volume")).alias("observation_status"), issue.alias("issue"))
 
 
+def _not_finite(*names: str) -> Column:
+    """An issue where a number that is there is none, such as the NaN that raw JSON may hold."""
+    return F.when(F.exists(F.array(*[F.col(n).cast("double") for n in names]), lambda x: x.isNotNull() & ~finite(x)), "invalid_number")
+
+
 def _faulty(df: DataFrame, issue: Column) -> DataFrame:
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("trading_date", "date"), ("open", "double"), ("high", "double"), ("low", "double"), ("close", "double"), ("adjusted_close", "double"), ("volume", "bigint"), ("price_semantics", "string"), ("observation_status", "string"))]
     return df.select("request_id", *nothing, issue.alias("issue"))
@@ -59,8 +64,7 @@ def chart_json(df: DataFrame) -> DataFrame:
     judged = flat.withColumn("fault", issue)
     rows = judged.where("fault is null").select("request_id", F.col("r.meta.exchangeTimezoneName").alias("zone"), F.inline(F.arrays_zip(F.col("r.timestamp").alias("at"), F.col("q.open").alias("open"), F.col("q.high").alias("high"), F.col("q.low").alias("low"), F.col("q.close").alias("close"), F.col("q.volume").alias("volume"), F.coalesce("adj", F.array_repeat(F.lit(None).cast("double"), n)).alias("adjusted_close"))))
     dated = rows.withColumn("trading_date", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("at"), F.coalesce("zone", F.lit("UTC")))))
-    value = F.when(~F.coalesce(finite(F.col("close")), F.lit(True)), "invalid_number")
-    return _bars(dated, "split_adjusted", value).unionByName(_faulty(judged.where("fault is not null"), F.col("fault")))
+    return _bars(dated, "split_adjusted", _not_finite("open", "high", "low", "close", "adjusted_close")).unionByName(_faulty(judged.where("fault is not null"), F.col("fault")))
 
 
 def chart_actions(df: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def array_json(df: DataFrame, start: str, end: str) -> DataFrame:
     outside = F.exists("rows", lambda x: ~F.coalesce(F.rlike(x["date"], F.lit(DAY)) & x["date"].between(start, end), F.lit(False)))
     judged = parsed.withColumn("fault", first_reason((F.col("rows").isNull(), "schema_change"), (outside, "outside_requested_period")))
     rows = judged.where("fault is null").select("request_id", F.inline("rows")).withColumn("trading_date", F.col("date").cast("date"))
-    return _bars(rows, "as_traded", F.lit(None).cast("string")).unionByName(_faulty(judged.where("fault is not null"), F.col("fault")))
+    return _bars(rows, "as_traded", _not_finite("open", "high", "low", "close", "adjusted_close")).unionByName(_faulty(judged.where("fault is not null"), F.col("fault")))
 
 
 def ratio(text: Column) -> tuple[Column, Column]:
