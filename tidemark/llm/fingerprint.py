@@ -5,8 +5,9 @@ as one space, none at the ends) and digested by two independent 64-bit xxHashes.
 occurs more than once, the canonical bytes are compared: texts that share a digest but differ get
 their place among them appended, so fingerprints are equal exactly when canonical texts are.
 
-Null text is empty text. Rows with equal texts, and repeated rows, have equal fingerprints. Null ids
-sort last. An empty table gives an empty table; other columns are not read.
+Null text is empty text. Rows with equal texts, and repeated rows, have equal fingerprints. For the comparison
+with the next document ids are whole numbers, null ids sort last, and rows of one id are one group's, which is
+sorted on disk where it does not fit. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tidemark.llm.common import cut, narrow, table
 
 #: Documents that one group of neighbours holds, about, and the most groups; the bounds between
 #: groups are ids, kept on the driver.
-GROUP, GROUPS = 48, 8192
+GROUP, GROUPS = 48, 65_536
 #: Most repeated digests that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_DIGESTS = 500_000
 
