@@ -65,6 +65,15 @@ def test_where_owners_overlap(spark, spans):
             assert sum(s == k and inside(lo, hi, day(n)) for s, lo, hi in found) == many, (k, n)
 
 
+def test_overlaps_of_very_many_owners_are_exact(spark):
+    """Owners far down the numbering that are open alone, several times over, are no overlap."""
+    lone = spark.range(200_000).selectExpr("'a' AS k", "lpad(cast(id AS string), 9, '0') AS owner", "date_add(DATE'1970-01-01', cast(2 * id % 20000 AS int)) AS lo", "date_add(DATE'1970-01-01', cast(2 * id % 20000 AS int)) AS hi")
+    some = spark.createDataFrame([("a", "000199999", day(0), day(5))] * 7 + [("a", "000199998", day(5), day(6))] * 3 + [("a", "000199997", day(9), day(12)), ("a", "000199996", day(11), day(13))], "k string, owner string, lo date, hi date")
+    wide = lone.withColumn("hi", F.date_add("lo", 1)).where("lo < DATE'2019-01-01'").dropDuplicates(["lo"])
+    found = intervals.several(wide.unionByName(some).unionByName(lone.where("owner > '000199000'").withColumns({"lo": F.lit(day(30)), "hi": F.lit(day(30))})), ["k"], ["owner"], "lo", "hi").collect()
+    assert [(r.lo, r.hi) for r in found] == [(day(11), day(12))]
+
+
 def test_symbols_are_resolved_at_each_date(spark):
     rng = random.Random(3)
     at = [dt.datetime(2019, 1, d) for d in (1, 2)]

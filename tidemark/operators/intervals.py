@@ -65,7 +65,8 @@ def several(spans: DataFrame, key: list[str], owner: list[str], lo: str, hi: str
     ends = number.select(*key, "_x", F.inline(F.array(F.struct(F.col(lo).alias("_at"), F.lit(1).alias("_d")), F.struct(F.col(hi).alias("_at"), F.lit(-1).alias("_d"))))).where("_at is not null")
     steps = ends.groupBy(*key, "_at").agg(F.sum("_d").alias("_n"), F.sum(F.col("_d") * F.col("_x")).alias("_s"), F.sum(F.col("_d") * F.col("_x") * F.col("_x")).cast("decimal(38,0)").alias("_q"))
     along = Window.partitionBy(*key).orderBy("_at")
-    open_ = steps.select(*key, "_at", F.lead("_at").over(along).alias("_next"), *[F.sum(c).over(along).cast("double").alias(c) for c in ("_n", "_s", "_q")])
+    exact = {"_n": "decimal(12,0)", "_s": "decimal(18,0)", "_q": "decimal(25,0)"}  # products of these stay whole
+    open_ = steps.select(*key, "_at", F.lead("_at").over(along).alias("_next"), *[F.sum(c).over(along).cast(kind).alias(c) for c, kind in exact.items()])
     return open_.where(F.col("_n") * F.col("_q") != F.col("_s") * F.col("_s")).select(*key, F.col("_at").alias(lo), F.col("_next").alias(hi))
 
 
