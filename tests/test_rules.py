@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import datasets, diagnostics, intervals, label_rules, labels, pit
+from tidemark.operators import calendar, datasets, diagnostics, intervals, label_rules, labels, pit, training
 from tidemark.plans import contracts
+from tidemark.sources import store
 
 START = dt.date(2020, 1, 1)
 
@@ -267,3 +268,21 @@ def test_settings_are_checked():
     for change in ({"scope_contract": contract | {"symbol": "B"}}, {"scope_contract": contract | {"market_representative": True}}, {"scope_contract": None}, {"cutoff_policy": "explicit"}, {"horizons": [1]}, {"series": series | {"currency": "EUR"}}, {"minimum": {}}, {"freshness_sessions": 3}, {"limits": {}}, {"required_features": []}, {"input_domain": "synthetic"}):
         with pytest.raises(ValueError):
             contracts.checked_operation(operation | change)
+
+
+def test_runs_are_recorded_once(spark, tmp_path):
+    found = [{"fold": 0, "task": "regression", "model": "mean", "parameters": {"value": 0.5}, "reason": None}, {"fold": 1, "task": "regression", "model": "mean", "parameters": None, "reason": "too few rows"}]
+    record = lambda rows, **more: training.record_runs(spark, rows, f"{tmp_path.as_uri()}/runs", **({"dataset": "d", "settings": {"seed": 7}} | more))
+    record(found)
+    record(found)
+    assert sorted((r.fold, r.status, r.reason) for r in store.read(spark, f"{tmp_path.as_uri()}/runs").collect()) == [(0, "OK", None), (1, "BLOCKED", "too few rows")]
+    with pytest.raises(store.Conflict):
+        record([found[0] | {"parameters": {"value": 0.6}}])
+    record(found, settings={"seed": 8})
+    assert store.read(spark, f"{tmp_path.as_uri()}/runs").count() == 4
+
+
+def test_sessions_from_lists(spark):
+    rows = calendar.session_table(spark, "2024-07-01", "2024-07-07", holidays=["2024-07-04"], early={"2024-07-03": "13:00"}, version="v").orderBy("trading_date").collect()
+    assert [(r.trading_date.day, r.open_utc.hour, r.open_utc.minute, r.close_utc.hour) for r in rows] == [(1, 13, 30, 20), (2, 13, 30, 20), (3, 13, 30, 17), (5, 13, 30, 20)]
+    assert calendar.session_table(spark, "2024-12-02", "2024-12-02", version="v").first().close_utc.hour == 21

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import plus_seconds
@@ -56,13 +56,18 @@ def gaps(observations: DataFrame, sessions: DataFrame, series: list[str]) -> Dat
     return dense.withColumn("_first", first).where("not observed and idx > _first").select(*series, "trading_date")
 
 
-def session_table(spark, start: str, end: str, *, holidays: list[str] = (), early: dict[str, str] | None = None, zone: str = "America/New_York", opens: str = "09:30", closes: str = "16:00", version: str) -> DataFrame:
-    """Sessions by rule: weekdays that are no holiday, with local hours as UTC. Holidays and early closes are data."""
-    days = spark.sql("SELECT explode(sequence(DATE '" + start + "', DATE '" + end + "', INTERVAL 1 DAY)) AS trading_date").where(F.weekday("trading_date") < 5)
-    if holidays:
-        days = days.where(~F.col("trading_date").isin([F.lit(h).cast("date") for h in holidays]))
-    close = F.lit(closes)
-    for day_, at in (early or {}).items():
-        close = F.when(F.col("trading_date") == F.lit(day_).cast("date"), at).otherwise(close)
+def sessions_by_rule(days: DataFrame, holidays: DataFrame, early: DataFrame, *, zone: str = "America/New_York", opens: str = "09:30", closes: str = "16:00", version: str) -> DataFrame:
+    """Sessions on those of ``days`` (trading_date) that are weekdays and no ``holidays`` (trading_date), with local hours as
+    UTC; ``early`` (trading_date, closes) has the days that close earlier. Holidays and early closes are data."""
+    open_days = days.where(F.weekday("trading_date") < 5).select("trading_date").distinct().join(holidays.select("trading_date").distinct(), "trading_date", "left_anti")
+    timed = open_days.join(early.groupBy("trading_date").agg(F.min("closes").alias("_closes")), "trading_date", "left")
     utc = lambda clock: F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", F.col("trading_date").cast("string"), clock)), zone).cast("timestamp_ntz")
-    return days.select(F.lit(version).alias("calendar_version"), "trading_date", utc(F.lit(opens)).alias("open_utc"), utc(close).alias("close_utc"), F.lit(zone).alias("timezone"))
+    return timed.select(F.lit(version).alias("calendar_version"), "trading_date", utc(F.lit(opens)).alias("open_utc"), utc(F.coalesce("_closes", F.lit(closes))).alias("close_utc"), F.lit(zone).alias("timezone"))
+
+
+def session_table(spark: SparkSession, start: str, end: str, *, holidays: list[str] = (), early: dict[str, str] | None = None, version: str, **hours: str) -> DataFrame:
+    """``sessions_by_rule`` over the days from start to end, both included, with holidays and early closes as lists."""
+    days = spark.sql("SELECT explode(sequence(CAST(:start AS DATE), CAST(:end AS DATE), INTERVAL 1 DAY)) AS trading_date", args={"start": start, "end": end})
+    closed = spark.createDataFrame([(h,) for h in holidays], "d string").select(F.col("d").cast("date").alias("trading_date"))
+    earlier = spark.createDataFrame(list((early or {}).items()), "d string, closes string").select(F.col("d").cast("date").alias("trading_date"), "closes")
+    return sessions_by_rule(days, closed, earlier, version=version, **hours)

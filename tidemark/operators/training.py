@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import all_reasons, digest, finite, first_reason
 from tidemark.operators import models
+from tidemark.sources import store
 
 #: Reasons for which a feature may be missing and imputed; any other one rejects the row.
 TRANSIENT = ("missing_session_or_collection_failure", "insufficient_history_or_prelisting_unverified", "lookback_outside_calendar", "temporary_missing")
@@ -126,6 +128,24 @@ def run(assigned: DataFrame, names: list[str], plans: list[tuple[str, str]], *,
     return out
 
 
+ENVELOPE = "run_id string, fold bigint, task string, model string, dataset_sha256 string, settings string, status string, reason string, parameters string, engine_sha256 string"
+
+
+def record_runs(spark: SparkSession, found: list[dict], root: str, *, dataset: str, settings: dict) -> DataFrame:
+    """Append the envelopes of ``run``: what each fit was of (digest of the frozen dataset, settings, versions of this library
+    and of Spark) and what it gave. A run id is the digest of the first; the same run with another outcome is a conflict.
+    Settings are checked before (contracts.checked_training)."""
+    told = json.dumps(settings, sort_keys=True)
+    rows = []
+    for entry in found:
+        id_ = sha256(json.dumps([dataset, told, entry["fold"], entry["task"], entry["model"], store.engine_version()]).encode()).hexdigest()
+        given = None if entry["parameters"] is None else json.dumps(entry["parameters"], sort_keys=True)
+        rows.append((id_, entry["fold"], entry["task"], entry["model"], dataset, told, "OK" if given else "BLOCKED", entry["reason"], given, store.engine_version()))
+    envelopes = spark.createDataFrame(rows, ENVELOPE)
+    store.append(envelopes, root, ["run_id"], content=["parameters", "reason"])
+    return envelopes
+
+
 def row_reasons(names: list[str]) -> Column:
     """All faulty features of a row, for reports."""
     return all_reasons(*[(F.col(f"{n}_reason").isNotNull() & ~F.col(f"{n}_reason").isin(*TRANSIENT), f"required_feature_contract_unmet:{n}") for n in names])

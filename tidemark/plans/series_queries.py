@@ -113,11 +113,13 @@ def statuses(spark: SparkSession, sf: str) -> DataFrame:
     return labels.with_status(_endpoints(spark, sf), guards).groupBy("horizon", "status", "reason").agg(F.count("*").alias("n"))
 
 
-HOLIDAYS, EARLY = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25"], {"2024-07-03": "13:00", "2024-11-29": "13:00", "2024-12-24": "13:00"}
-
-
 def rule_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return calendar.session_table(spark, "2024-01-01", "2024-12-31", holidays=HOLIDAYS, early=EARLY, version="rule-1")
+    """Sessions over all days between the first and the last order; days with certain numbers of orders are holidays or close early."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("trading_date"))
+    days = orders.agg(F.min("trading_date").alias("a"), F.max("trading_date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("trading_date"))
+    counts = orders.groupBy("trading_date").agg(F.count("*").alias("n"))
+    early = counts.where("n % 7 = 3").select("trading_date", F.lit("13:00").alias("closes"))
+    return calendar.sessions_by_rule(days, counts.where("n % 5 = 1"), early, version="rule-1")
 
 
 def blockers(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,10 +314,10 @@ SELECT CAST(horizon AS INTEGER) AS horizon, split_part(v, ':', 1) AS status, nul
     ),
     "calendar_rows": (
         rule_sessions,
-        f"""
-WITH d AS (SELECT CAST(range AS DATE) AS trading_date FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2025-01-01', INTERVAL 1 DAY)
-), c AS (SELECT trading_date, CASE WHEN trading_date IN ({", ".join(f"DATE '{d}'" for d in EARLY)}) THEN INTERVAL 13 HOUR ELSE INTERVAL 16 HOUR END AS late
-         FROM d WHERE isodow(trading_date) <= 5 AND trading_date NOT IN ({", ".join(f"DATE '{d}'" for d in HOLIDAYS)}))
+        """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT min(d)::TIMESTAMP AS a, max(d)::TIMESTAMP AS b FROM o),
+d AS (SELECT CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS trading_date FROM e),
+c AS (SELECT trading_date, CASE WHEN n % 7 = 3 THEN INTERVAL 13 HOUR ELSE INTERVAL 16 HOUR END AS late FROM d LEFT JOIN o ON o.d = d.trading_date WHERE isodow(trading_date) <= 5 AND coalesce(n % 5, 0) <> 1)
 SELECT 'rule-1' AS calendar_version, trading_date, ((trading_date::TIMESTAMP + INTERVAL '570' MINUTE) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS open_utc,
        ((trading_date::TIMESTAMP + late) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS close_utc, 'America/New_York' AS timezone FROM c""",
     ),
