@@ -170,6 +170,17 @@ def test_ledger_split_and_dividend(spark):
     assert math.isclose(labels.ledger(rows, actions, ["security"], ["id"], include_receivables=False).first().cash_return, 0.1)
 
 
+def test_ledger_goes_on_where_the_product_leaves_doubles(spark):
+    day = dt.date(2020, 1, 1)
+    told = [(f"{k:04}", "x", "split", day + dt.timedelta(days=1 + k), *((2, 1) if (k < 1100) == up else (1, 2)), None, None, s) for s, up in (("up", True), ("down", False)) for k in range(2200)]
+    told += [("9998", "x", "split", day + dt.timedelta(days=2300), n, d, None, None, s) for s, n, d in (("up", 3, 1), ("down", 3, 1), ("none", 0, 1))]
+    told += [("9999", "x", "split", day + dt.timedelta(days=2301), 2, 1, None, None, "none")]
+    actions = spark.createDataFrame(told, "version_id string, source string, event_type string, ex_date date, numerator int, denominator int, amount double, payment_date date, security string")
+    rows = spark.createDataFrame([(s, day, day + dt.timedelta(days=2400), 100.0, 50.0) for s in ("up", "down", "none")], "security string, entry_date date, exit_date date, entry_open double, exit_open double")
+    found = {r.security: r.quantity for r in labels.ledger(rows, actions, ["security"], ["security"]).collect()}
+    assert math.isclose(found["up"], 3, rel_tol=1e-9) and math.isclose(found["down"], 3, rel_tol=1e-9) and found["none"] == 0
+
+
 def test_guard_order_and_halts(spark):
     df = spark.sql("SELECT true AS a, true AS b")
     assert labels.with_status(df, {"open_invalid": F.col("a"), "conflict": F.col("b")}).first().reason == "unresolved_label_query_conflict"
