@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendar, datasets, diagnostics, intervals, label_rules, labels, pit, training
+from tidemark.operators import calendar, datasets, diagnostics, ingest, intervals, label_rules, labels, pit, training
 from tidemark.plans import contracts
 from tidemark.sources import store
 
@@ -109,6 +110,51 @@ def test_symbols_are_resolved_at_each_date(spark):
         pit.asked(rows, symbols=["S"])
 
 
+@pytest.fixture
+def whole_shuffles(spark):
+    """Shuffles whose partitions are neither merged nor split, joined by sorting."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "-1", "16")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_previous_versions_take_one_shuffle_and_equal_plain_python(spark, whole_shuffles):
+    rng = random.Random(5)
+    rows = [(f"v{i}", rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice("xyz"), rng.random() < 0.7) for i in range(60)]
+    versions = spark.createDataFrame(rows, "version_id string, k string, at int, value_hash string, ok boolean")
+    before, ok = {}, {v: good for v, _, _, _, good in rows}
+    for v, k, at, value, _ in rows:
+        times = [t for _, c, t, _, _ in rows if k is not None and at is not None and c == k and t is not None and t < at]
+        last = [(w, x) for w, c, t, x, _ in rows if times and c == k and t == max(times)]
+        before[v] = min(w for w, _ in last) if last and len({x for _, x in last}) == 1 and last[0][1] != value else None
+    found = pit.previous_version(versions, ["k"], "at")
+    assert {r.version_id: r.previous_version_id for r in found.collect()} == before and any(before.values())
+    assert plan_of(found).count("Exchange hashpartitioning") == 1
+    hidden = {v: p if p and ok[p] else None for v, p in before.items() if ok[v]}
+    for eligible in (F.col("ok"), versions.where("ok")):
+        out = pit.eligible_lineage(versions, eligible, ["k"], "at")
+        assert {r.version_id: r.previous_version_id for r in out.collect()} == hidden
+    assert not re.search(r"hashpartitioning\(previous_version_id#\d+, 16\)", plan_of(out))  # one key for all without a previous version
+
+
+def test_evidence_of_shared_content_is_dealt_out(spark, whole_shuffles):
+    at = "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(id)"
+    versions = spark.range(4000).selectExpr("cast(id AS string) AS version_id", "'other' AS raw_sha256", f"CASE WHEN id % 3 > 0 THEN {at} END AS published_at", f"CASE WHEN id % 5 = 0 THEN {at} END AS revised_at")
+    versions = versions.unionByName(versions.where("version_id = '7'"))
+    # the evidence of 4 is right, of 8 of another time, of 10 revised, of 11 unverified, of 12 of no time
+    told = spark.range(4, 13).selectExpr("'other' AS version_raw_sha256", f"CASE WHEN id = 8 THEN {at} + INTERVAL '9' HOUR WHEN id <> 12 THEN {at} END AS published_at", f"CASE WHEN id = 10 THEN {at} END AS revised_at", "id <> 11 AS verified", "id").where("id IN (4, 8, 10, 11, 12)").drop("id")
+    out = ingest.bound_evidence(versions, told)
+    assert sorted(r.version_id for r in out.where("publication_bound").collect()) == ["10", "4"] and out.count() == 4000
+    assert not re.search(r"hashpartitioning\(raw_sha256#\d+, 16\)", plan_of(out))
+
+
 def test_roots_of_long_chains(spark):
     chain = [(f"v{i}", f"v{i - 1}" if i % 37 else None) for i in range(100)]
     out = {r.version_id: (r.root_id, r.depth) for r in pit.roots(spark.createDataFrame(chain, "version_id string, previous_version_id string")).collect()}
