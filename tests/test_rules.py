@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, datasets, diagnostics, ingest, intervals, label_rules, labels, pit, training
-from tidemark.plans import contracts
+from tidemark.plans import contracts, pit_queries
+from tidemark.plans.roles import role
 from tidemark.sources import store
 
 START = dt.date(2020, 1, 1)
@@ -155,6 +156,17 @@ def test_evidence_of_shared_content_is_dealt_out(spark, whole_shuffles):
     assert not re.search(r"hashpartitioning\(raw_sha256#\d+, 16\)", plan_of(out))
 
 
+def test_exclusions_are_counted_without_the_content_of_excluded_versions(spark, sf, monkeypatch):
+    seen, real = [], pit.judged
+    monkeypatch.setattr(pit, "judged", lambda rows, *more: (seen.append(rows), real(rows, *more))[1])
+    more = {"cutoff": pit_queries.cutoff(), "policy": "observed", "key": pit_queries.KEY, "session_scope": "regular"}
+    found = pit.pit_query(role(spark, sf, "versions"), role(spark, sf, "links"), **more)
+    whole = pit.exclusion_counts(real(found["reasoned"], pit_queries.KEY, "observed"))
+    assert sorted(map(tuple, found["exclusions"].collect())) == sorted(map(tuple, whole.collect()))
+    excluded = [rows.where("reason is not null") for rows in seen]
+    assert any(rows.where("value_hash is not null or version_id is not null").isEmpty() and not rows.isEmpty() for rows in excluded)
+
+
 def test_roots_of_long_chains(spark):
     chain = [(f"v{i}", f"v{i - 1}" if i % 37 else None) for i in range(100)]
     out = {r.version_id: (r.root_id, r.depth) for r in pit.roots(spark.createDataFrame(chain, "version_id string, previous_version_id string")).collect()}
