@@ -324,6 +324,14 @@ def test_band_recall_on_documents(spark, sf):
     assert out <= want and len(out & want) >= 0.99 * len(want) and len(want) > 10
 
 
+def test_crowded_keys_bring_an_id_of_their_own(spark):
+    rows = spark.range(1, 20000).selectExpr("id", "explode(array(7, 8, 100 + id)) AS key")
+    found = {r.key: (r.low, r.high, r.head) for r in substring.crowded(rows, "id").collect()}
+    assert set(found) == {7, 8} and all(low <= head <= high for low, high, head in found.values())
+    heads = spark.createDataFrame([(k, v[2]) for k, v in found.items()], "key bigint, id bigint")
+    assert rows.join(heads, ["key", "id"]).count() == 2
+
+
 def test_short_paragraphs_and_clashing_hashes(spark, monkeypatch):
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
     edited = [*base[:-1], "changed"]  # 10 of 12 shingles in common
