@@ -179,6 +179,17 @@ def test_added_spans_by_kind(spark):
     assert sum(k == kind for k, kind in added) >= 0.9 * len(added), added
 
 
+def test_personal_data_is_learned_from_all_documents(spark):
+    texts = [f"mail a{i % 7}@b.org or +49 171 555 01{i % 90 + 10} from 10.0.0.{i % 300} on {i}" for i in range(4100)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], ""]], "text string")
+    rows = pii.corpus_rows(df).select("x.kind", "label", "n").collect()
+    count = lambda kind, label: sum(r.n for r in rows if (r.kind, r.label) == (pii.KINDS.index(kind), label))
+    every = [*texts, *texts[:50]]
+    good = sum(i % 300 <= 255 for i in [*range(4100), *range(50)])
+    assert (count("email", 1), count("phone", 1), count("ip", 1), count("ip", 0)) == (len(every), len(every), good, len(every) - good)
+    assert max(r.n for r in rows) > 100 > len(rows)  # counted by features, not listed
+
+
 def test_trees_add_spans_to_documents(spark, sf01):
     out = pii.digest(spark.read.parquet(f"{sf01}/documents.parquet")).collect()
     assert sum(r.n_added for r in out) >= 10 and sum(r.n_added > 0 for r in out) < 0.1 * len(out)
