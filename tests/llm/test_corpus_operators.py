@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -35,6 +36,17 @@ def reachable(ids, linked):
     return {i: find(i) for i in ids}
 
 
+def test_encoder_remembers_within_bounds():
+    """Two Python workers share an executor's memory with its JVM: words that never end may not take over 90 MB of each."""
+    encoder = bpe.Encoder({bytes([b]): b for b in range(256)}, r"\S+|\s+")
+    encoder._words.make = lambda word: (1000, 2000, 3000)
+    for i in range(990_000):
+        encoder._words[f"word{i}"]
+    held = [encoder._words, encoder._words.old]
+    size = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) for k in d) for d in held) + sum(64 * len(d) for d in held)
+    assert sum(map(len, held)) > 100_000 and size < 90e6, size
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 501 + i) for i in range(80)] + [(9, 9)]
