@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -403,3 +404,37 @@ def test_whole_numbers_of_vectors(spark):
     assert set(got) == {1, 2, 7, (1 << 53) + 1}
     assert got[1][0] == [128.0, -1.0] and got[2] == ([], 0.0) and got[7][0] == [256e300, 0.0]
     assert got[(1 << 53) + 1] == ([768.0, 1024.0], 1280.0)
+
+
+def test_units_of_texts_do_not_depend_on_the_texts_beside_them():
+    texts = ["", "a b c d e", "\n\né 日本 x\ty Z w\n", " ".join(f"w{i % 41}" for i in range(300)), "\n".join("same line of some words" for _ in range(40)), "a b c d"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    units = lambda batches: sorted(str(r) for b in substring.unit_rows(42)(iter(batches)) for r in b.to_pylist())
+    assert units([batch]) == units([batch.slice(i, 1) for i in range(len(texts))])
+    values = np.random.default_rng(1).integers(0, 5, 200).astype(np.uint64)
+    for wide in (1, 5, 16):
+        assert substring.first_least(values, wide).tolist() == [i + int(values[i : i + wide].argmin()) for i in range(len(values) - wide + 1)]
+
+
+def test_passages_do_not_depend_on_how_many_bands_are_dealt_out_at_once(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    out = []
+    for n in (substring.BANDS, 5):
+        monkeypatch.setattr(substring, "BANDS_AT_ONCE", n)
+        out.append(sorted(map(tuple, substring.repeated_passages(docs).collect())))
+    assert out[0] and out[0] == out[1]
+
+
+def test_rounds_over_few_links_run_in_few_tasks(spark, monkeypatch):
+    parts, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: parts.append(cut(df)) or parts[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint")
+        assert {r.component for r in components.components(links).collect()} == {0}
+        assert len(parts) > 4 and max(p.rdd.getNumPartitions() for p in parts[1:]) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
