@@ -438,3 +438,8 @@ def test_rounds_over_few_links_run_in_few_tasks(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_values_of_ids_come_in_order_for_none_one_and_many():
+    for keys in ([], [3], [2, 3, 2], np.array([1, 3])):
+        assert list(bpe.each_of({1: "a", 2: "b", 3: "c"}, keys)) == [{1: "a", 2: "b", 3: "c"}[k] for k in keys]
