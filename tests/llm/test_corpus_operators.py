@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, components, language, mixing, pii, simhash, substring, topk, toxicity
+from tidemark.llm import bpe, common, components, language, mixing, pii, simhash, substring, topk, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, uid int"
 
@@ -443,3 +443,31 @@ def test_rounds_over_few_links_run_in_few_tasks(spark, monkeypatch):
 def test_values_of_ids_come_in_order_for_none_one_and_many():
     for keys in ([], [3], [2, 3, 2], np.array([1, 3])):
         assert list(bpe.each_of({1: "a", 2: "b", 3: "c"}, keys)) == [{1: "a", 2: "b", 3: "c"}[k] for k in keys]
+
+
+def test_a_sieve_lets_all_ids_pass_and_few_others(spark, monkeypatch):
+    rows, every = spark.range(40_000), lambda step: spark.range(0, 40_000, step)
+    passed = lambda ids: {r.id for r in common.sifted(rows, ids, "id").collect()}
+    for step in (2, 20):
+        got = passed(every(step))
+        assert set(range(0, 40_000, step)) <= got and len(got) < 40_000 / step + 4_000
+    assert not passed(every(20).limit(0))
+    monkeypatch.setattr(common, "SIEVE_ROWS", 1)
+    assert set(range(0, 40_000, 2)) <= passed(every(2))
+
+
+def test_what_all_tasks_get_does_not_grow_with_repeated_lines(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    docs = spark.range(300_000).selectExpr("id AS doc_id", "concat('line number ', id % 150000, ' of many words') AS text")
+    lines = substring.lines_of(docs, 42)
+    assert not substring.clash(docs, lines.select(F.col("uid").alias("key")), 42)
+    assert sent and max(sent) <= common.SIEVE_ROWS
+
+
+def test_the_size_spark_guesses_for_links_does_not_grow_with_rounds(spark, monkeypatch):
+    bits, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: bits.append((out := cut(df))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()) or out)
+    links = spark.range(60).select(F.xxhash64("id").alias("u"), F.xxhash64(F.col("id") + 1).alias("v"))
+    assert components.components(links).select("component").distinct().count() == 1
+    assert len(bits) > 10 and max(bits) < 150
